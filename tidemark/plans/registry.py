@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import queries_feed
+from tidemark.plans import queries_feed, queries_search
 
-MODULES = [queries_feed]
+MODULES = [queries_feed, queries_search]
 
 
 def queries():
