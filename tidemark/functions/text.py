@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,8 +62,10 @@ def is_boilerplate(text: Column) -> Column:
 
 def clean_comment(comment: Column) -> Column:
     """The squeezed comment, or an empty string when it is boilerplate."""
-    text = squeeze(comment)
-    return F.when(is_boilerplate(text), F.lit("")).otherwise(text)
+    return let(
+        squeeze(comment),
+        lambda text: F.when(is_boilerplate(text), F.lit("")).otherwise(text),
+    )
 
 
 def cut(text: Column, limit: int) -> Column:
@@ -88,32 +92,35 @@ def analyse(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def run_lengths(values: Column, name: str, count: str) -> Column:
     """Distinct values of an array with their counts, in value order, without a shuffle.
 
     Sorting brings equal values together; a run starts where a value differs from the one
-    before it. The wrapping ``transform`` binds the sorted array once per row.
+    before it.
     """
 
+    def measured(ordered: Column, begin: Column) -> Column:
+        return F.transform(
+            begin,
+            lambda i, at: F.struct(
+                F.get(ordered, i - 1).alias(name),
+                (F.coalesce(F.get(begin, at + 1), F.size(ordered) + 1) - i).alias(count),
+            ),
+        )
+
     def runs(ordered: Column) -> Column:
         starts = F.filter(
             F.sequence(F.lit(1), F.size(ordered)),
             lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)),
         )
+        return F.when(F.size(ordered) > 0, let(starts, lambda begin: measured(ordered, begin)))
 
-        def measured(begin: Column) -> Column:
-            return F.transform(
-                begin,
-                lambda i, at: F.struct(
-                    F.get(ordered, i - 1).alias(name),
-                    (F.coalesce(F.get(begin, at + 1), F.size(ordered) + 1) - i).alias(count),
-                ),
-            )
-
-        return F.get(F.transform(F.array(starts), measured), F.lit(0))
-
-    bound = F.get(F.transform(F.array(F.array_sort(values)), runs), F.lit(0))
-    return F.when(F.size(values) > 0, bound)
+    return let(F.sort_array(values), runs)
 
 
 def quoted(text: Column) -> Column:

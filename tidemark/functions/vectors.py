@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import run_lengths, words
+from tidemark.functions.text import let, run_lengths, words
 
 DEFAULT_DIMS = 384
 
@@ -28,25 +28,29 @@ def hash_counts(text: Column, dims: int = DEFAULT_DIMS) -> Column:
 def unit_vector(counts: Column, dims: int = DEFAULT_DIMS) -> Column:
     """Dense unit vector of sparse counts; no counts give the zero vector."""
 
-    def dense(bound: Column) -> Column:
-        slots = bound.getField("slot")
-        sizes = bound.getField("n")
-        total = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda acc, n: acc + n * n)
-        norm = F.sqrt(F.greatest(total, F.lit(1)).cast("double"))
-
-        def scaled(length: Column) -> Column:
-            return F.transform(
-                F.sequence(F.lit(0), F.lit(dims - 1)),
-                lambda at: F.coalesce(
-                    (F.get(sizes, (F.array_position(slots, at) - 1).cast("int")) / length)
-                    .cast("float"),
-                    F.lit(0.0).cast("float"),
-                ),
-            )
-
-        return F.get(F.transform(F.array(norm), scaled), F.lit(0))
+    def dense(slots: Column, sizes: Column, norm: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)),
+            lambda at: F.coalesce(
+                (F.get(sizes, (F.array_position(slots, at) - 1).cast("int")) / norm).cast("float"),
+                F.lit(0.0).cast("float"),
+            ),
+        )
 
-    return F.get(F.transform(F.array(counts), dense), F.lit(0))
+    def length(sizes: Column) -> Column:
+        total = F.aggregate(sizes, F.lit(0).cast("bigint"), lambda acc, n: acc + n * n)
+        return F.sqrt(F.greatest(total, F.lit(1)).cast("double"))
+
+    return let(
+        counts,
+        lambda bound: let(
+            bound.getField("slot"),
+            lambda slots: let(
+                bound.getField("n"),
+                lambda sizes: let(length(sizes), lambda norm: dense(slots, sizes, norm)),
+            ),
+        ),
+    )
 
 
 def hash_embedding(text: Column, dims: int = DEFAULT_DIMS) -> Column:

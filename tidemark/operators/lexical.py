@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.coercion import bind
 from tidemark.functions.text import analyse, words
+from tidemark.operators.blocks import (
+    RESULT,
+    UNITS,
+    best_of,
+    filter_groups,
+    match_blocks,
+    offsets_of,
+    passing,
+    result,
+)
 from tidemark.operators.fold import is_live
 from tidemark.operators.index import FIELDS, TextIndex
-from tidemark.session import MAX_BROADCAST_ROWS, equi_join
+from tidemark.session import MAX_BROADCAST_ROWS, equi_join, staged
 
 # Field boosts, phrase boost, saturation and length parameters, the share of
 # terms a long query must match (as a fraction), and the most spellings a word is given.
@@ -21,28 +34,30 @@ B = 0.75
 LONG_SHARE = (3, 5)
 MAX_SPELLINGS = 50
 
-# Scores are summed as whole billionths, so that a sum does not depend on its order.
-UNITS = 1e9
+TAGS = list(FIELDS)
+
+# Cells of one score matrix.
+CELLS = 4_000_000
 
 LONGEST_TEXT = 1_000_000_000
 
 
-def deletions(text: Column) -> Column:
-    """The text with each single character left out."""
-    return F.transform(
-        F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(
-            F.array().cast("array<int>")
-        ),
-        lambda i: F.concat(F.substring(text, F.lit(1), i - 1), text.substr(i + 1, F.length(text))),
+def without(text: Column, at: Column) -> Column:
+    """The text without the character at a position counted from one."""
+    return F.concat(F.substring(text, F.lit(1), at - 1), text.substr(at + 1, F.length(text)))
+
+
+def positions(first: Column, last: Column) -> Column:
+    """The whole numbers from ``first`` to ``last``, none when they are out of order."""
+    return F.when(first <= last, F.sequence(first, last)).otherwise(
+        F.array().cast("array<int>")
     )
 
 
 def swaps(text: Column) -> Column:
     """The text with each pair of neighbours exchanged."""
     return F.transform(
-        F.when(F.length(text) > 1, F.sequence(F.lit(1), F.length(text) - 1)).otherwise(
-            F.array().cast("array<int>")
-        ),
+        positions(F.lit(1), F.length(text) - 1),
         lambda i: F.concat(
             F.substring(text, F.lit(1), i - 1),
             text.substr(i + 1, F.lit(1)),
@@ -60,8 +75,16 @@ def allowed_edits(term: Column) -> Column:
 def neighbourhood(term: Column, edits: Column) -> Column:
     """The term and everything up to ``edits`` deletions from it. Two terms within that many
     edits of each other share a member, so close pairs are found by equality."""
-    one = deletions(term)
-    two = F.flatten(F.transform(one, deletions))
+    one = F.transform(positions(F.lit(1), F.length(term)), lambda i: without(term, i))
+    # A second deletion at or after the first reaches every pair of positions once.
+    two = F.flatten(
+        F.transform(
+            one,
+            lambda shorter, at: F.transform(
+                positions(at + 1, F.length(shorter)), lambda i: without(shorter, i)
+            ),
+        )
+    )
     return F.array_distinct(
         F.when(edits == 0, F.array(term))
         .when(edits == 1, F.concat(F.array(term), one))
@@ -69,17 +92,22 @@ def neighbourhood(term: Column, edits: Column) -> Column:
     )
 
 
-def edit_distance(a: Column, b: Column) -> Column:
-    """Edits up to two, an exchange of neighbours being one edit; null above two."""
-    plain = F.levenshtein(a, b, 2)
-    near = F.exists(swaps(a), lambda s: F.levenshtein(s, b, 1) >= 0) | F.exists(
-        swaps(b), lambda s: F.levenshtein(a, s, 1) >= 0
+def with_edit_distance(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """Add ``edits`` between two columns, an exchange of neighbours being one edit; null
+    above two."""
+    left, right = F.col(a), F.col(b)
+    bound = bind(
+        pairs, _plain=F.levenshtein(left, right, 2), _left=swaps(left), _right=swaps(right)
     )
-    return (
-        F.when((plain >= 0) & (plain <= 1), plain)
-        .when(F.array_contains(swaps(a), b), F.lit(1))
-        .when((plain == 2) | near | F.arrays_overlap(swaps(a), swaps(b)), F.lit(2))
+    near = F.exists("_left", lambda s: F.levenshtein(s, right, 1) >= 0) | F.exists(
+        "_right", lambda s: F.levenshtein(left, s, 1) >= 0
     )
+    edits = (
+        F.when((F.col("_plain") >= 0) & (F.col("_plain") <= 1), F.col("_plain"))
+        .when(F.array_contains("_left", right), F.lit(1))
+        .when((F.col("_plain") == 2) | near | F.arrays_overlap("_left", "_right"), F.lit(2))
+    )
+    return bind(bound, edits=edits).drop("_plain", "_left", "_right")
 
 
 def analyse_queries(queries: DataFrame) -> DataFrame:
@@ -105,33 +133,43 @@ def spellings(
 ) -> DataFrame:
     """Dictionary terms close to each wanted term, best fifty per field:
     ``(q_term, term, weight, df)`` with ``df`` the largest among them."""
+    spark = terms.sparkSession
     distinct = wanted.select("q_term").distinct()
-    probes = distinct.select(
-        "q_term",
-        F.explode(neighbourhood(F.col("q_term"), allowed_edits(F.col("q_term")))).alias("member"),
-    )
-    probe_rows = probes.count()
-    longest = distinct.agg(F.max(F.length("q_term"))).first()[0] or 0
+    allowed = allowed_edits(F.col("q_term"))
+    length = F.length("q_term")
+    members = 1 + length + F.floor(length * (length - 1) / 2)
+    sizes = distinct.agg(
+        F.coalesce(F.sum(members), F.lit(0)).alias("members"),
+        F.count(F.lit(1)).alias("terms"),
+        F.collect_set(length).alias("lengths"),
+    ).first()
+    near_lengths = {n + d for n in sizes["lengths"] for d in (-2, -1, 0, 1, 2)}
+    probes = distinct.select("q_term", F.explode(neighbourhood(F.col("q_term"), allowed)).alias("member"))
+    # Each word grows into its whole neighbourhood, so words are spread evenly beforehand.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     word = F.substring("term", 3, LONGEST_TEXT)
-    candidates = terms.where(F.length("term") <= longest + 4)
-    candidates = candidates.select(
-        "term", "df", F.explode(neighbourhood(word, F.lit(2))).alias("member")
+    entries = terms.select(word.alias("word")).where(F.length("word").isin(sorted(near_lengths)))
+    found_words = entries.repartition(tasks, "word").distinct()
+    candidates = found_words.select(
+        "word", F.explode(neighbourhood(F.col("word"), F.lit(2))).alias("member")
     )
     met = equi_join(
-        candidates, probes, ["member"], spread=F.col("term"), small_rows=probe_rows,
+        candidates, probes, ["member"], spread=F.col("word"), small_rows=sizes["members"],
         max_broadcast_rows=max_broadcast_rows,
     )
-    pairs = met.select("q_term", "term", "df").distinct()
-    edits = edit_distance(F.col("q_term"), word)
-    pairs = bind(pairs, edits=edits).where(F.col("edits") <= allowed_edits(F.col("q_term")))
-    shorter = F.least(F.length("q_term"), F.length(word))
+    pairs = with_edit_distance(met.select("q_term", "word").distinct(), "q_term", "word")
+    pairs = pairs.where(F.col("edits") <= allowed)
+    shorter = F.least(F.length("q_term"), F.length("word"))
     pairs = pairs.withColumn("weight", 1.0 - F.col("edits") / shorter)
+    pairs = pairs.join(terms.withColumn("word", word), "word")
     pairs = pairs.withColumn("field", F.substring("term", 1, 1))
     per_field = W.partitionBy("q_term", "field")
     ranked = pairs.withColumn(
         "no", F.row_number().over(per_field.orderBy(F.col("weight").desc(), "term"))
     ).where(F.col("no") <= MAX_SPELLINGS)
-    return ranked.withColumn("df", F.max("df").over(per_field)).drop("no", "edits", "field")
+    return ranked.withColumn("df", F.max("df").over(per_field)).select(
+        "q_term", "term", "weight", "df"
+    )
 
 
 def idf(df: Column, documents: Column) -> Column:
@@ -146,7 +184,10 @@ def by_field(field: Column, values: dict[str, float], default: float = 0.0) -> C
 
 
 def query_entries(
-    analysed_queries: DataFrame, index: TextIndex, max_broadcast_rows: int = MAX_BROADCAST_ROWS
+    analysed_queries: DataFrame,
+    index: TextIndex,
+    term_rows: int,
+    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """What each query looks for: ``(query_id, needed, field, term, df, weight)`` with one
     row per query term and field, or per spelling for short queries. Terms that no document
@@ -159,9 +200,8 @@ def query_entries(
         "query_id", "needed", "q_term", F.explode(tags).alias("field")
     )
     exact = exact.withColumn("term", F.concat("field", F.lit(":"), "q_term"))
-    entry_rows = exact.count()
     exact = equi_join(
-        index.terms, exact, ["term"], spread=F.col("term"), small_rows=entry_rows,
+        index.terms, exact, ["term"], spread=F.col("term"), small_rows=term_rows * len(FIELDS),
         max_broadcast_rows=max_broadcast_rows,
     ).select("query_id", "needed", "field", "term", "df", F.lit(1.0).alias("weight"))
     close = spread.where("fuzzy").select("query_id", "needed", "q_term")
@@ -175,60 +215,32 @@ def query_entries(
 def query_plans(
     queries: DataFrame, index: TextIndex, max_broadcast_rows: int = MAX_BROADCAST_ROWS
 ) -> DataFrame:
-    """One row per query: weighted entries, the probe terms that find its candidates, and
-    the phrase weight.
-
-    A field matches only when ``needed`` of its entries occur. Of the entries in order of
-    rarity, any such match must include one of the first ``count - needed + 1``; only those
-    are probed. Frequent words are therefore never used to find candidates unless a query
-    consists of nothing else.
-    """
+    """One row per query: its weighted entries, how many must match in one field, and the
+    weight of its title phrase."""
     ready = analyse_queries(queries)
-    entries = query_entries(ready, index, max_broadcast_rows)
-    rarity = W.partitionBy("query_id", "field").orderBy("df", "term")
-    per_field = W.partitionBy("query_id", "field")
+    term_rows = ready.agg(F.coalesce(F.sum(F.size("q_terms")), F.lit(0))).first()[0]
+    entries = query_entries(ready, index, term_rows, max_broadcast_rows)
     boost = by_field(F.col("field"), BOOSTS)
     size = by_field(F.col("field"), index.counts)
     weight = boost * idf(F.col("df"), size) * F.col("weight") * (K1 + 1)
-    entries = entries.select(
-        "query_id",
-        "field",
-        "term",
-        "df",
-        weight.alias("w"),
-        (
-            (F.count(F.lit(1)).over(per_field) >= F.col("needed"))
-            & (
-                F.row_number().over(rarity)
-                <= F.count(F.lit(1)).over(per_field) - F.col("needed") + 1
-            )
-        ).alias("probe"),
-    )
-    entry = F.struct("term", "w")
     per_query = entries.groupBy("query_id").agg(
-        *[
-            F.array_sort(F.collect_list(F.when(F.col("field") == tag, entry))).alias(f"{tag}_find")
-            for tag in FIELDS
-        ],
-        F.array_sort(F.collect_set(F.when(F.col("probe"), F.struct("df", "term")))).alias("found"),
+        F.collect_list(F.struct("term", weight.alias("w"))).alias("entries")
     )
-    title_df = ready.select(
-        "query_id", F.explode("q_terms").alias("q_term")
-    ).withColumn("term", F.concat(F.lit("t:"), "q_term"))
-    phrase_rows = title_df.count()
+    title_df = ready.select("query_id", F.explode("q_terms").alias("q_term"))
+    title_df = title_df.withColumn("term", F.concat(F.lit("t:"), "q_term"))
     phrase = equi_join(
-        index.terms, title_df, ["term"], spread=F.col("term"), small_rows=phrase_rows,
+        index.terms, title_df, ["term"], spread=F.col("term"), small_rows=term_rows,
         max_broadcast_rows=max_broadcast_rows,
     )
     units = F.round(idf(F.col("df"), F.lit(index.counts.get("t", 0))) * UNITS).cast("bigint")
     phrase = phrase.groupBy("query_id").agg(F.sum(units).alias("idf_units"))
+    phrase_w = F.col("idf_units") / UNITS * PHRASE_BOOST * (K1 + 1)
     return (
         ready.join(per_query, "query_id")
         .join(phrase, "query_id", "left")
         .select(
-            "query_id", "wiki", "namespace", "q_terms", "needed", "t_find", "s_find", "c_find",
-            F.col("found.term").alias("probes"),
-            (F.col("idf_units") / UNITS * PHRASE_BOOST * (K1 + 1)).alias("phrase_w"),
+            "query_id", "wiki", "namespace", "q_terms", "needed", "entries",
+            F.coalesce(phrase_w, F.lit(0.0)).alias("phrase_w"),
         )
     )
 
@@ -242,107 +254,122 @@ def phrase_frequency(title: Column, phrase: Column) -> Column:
     return F.size(F.filter(starts, lambda i: F.slice(title, i, span) == phrase))
 
 
-def _saturation(tf: Column, norm: Column) -> Column:
-    return tf / (tf + norm)
-
-
-def score_units(index: TextIndex) -> Column:
-    """The score of a query row joined to a document row, in whole units; null when the
-    query does not match. The best field counts, and a title phrase adds to it."""
-
-    def norm(tag: str) -> Column:
-        mean = index.mean_lengths.get(tag, 1.0)
-        return K1 * ((1 - B) + B * F.col(f"{tag}_len") / F.lit(mean))
-
-    def field_units(tag: str) -> Column:
-        found = F.filter(
-            F.transform(
-                F.col(f"{tag}_find"),
-                lambda e: F.struct(
-                    e["w"].alias("w"),
-                    F.get(
-                        F.col("tfs"), (F.array_position(F.col("terms"), e["term"]) - 1).cast("int")
-                    ).alias("tf"),
-                ),
-            ),
-            lambda hit: hit["tf"].isNotNull(),
-        )
-
-        def total(hits: Column) -> Column:
-            units = F.aggregate(
-                hits,
-                F.lit(0).cast("bigint"),
-                lambda acc, hit: acc
-                + F.round(hit["w"] * _saturation(hit["tf"], norm(tag)) * UNITS).cast("bigint"),
-            )
-            return F.when(F.size(hits) >= F.col("needed"), units)
-
-        return F.get(F.transform(F.array(found), total), F.lit(0))
-
-    phrase_tf = phrase_frequency(F.col("title_terms"), F.col("q_terms"))
-    phrase = F.get(
-        F.transform(
-            F.array(phrase_tf),
-            lambda tf: F.when(
-                tf > 0,
-                F.round(F.col("phrase_w") * _saturation(tf, norm("t")) * UNITS).cast("bigint"),
-            ),
-        ),
-        F.lit(0),
-    )
-    best = F.greatest(*[field_units(tag) for tag in FIELDS])
-    return best + F.coalesce(phrase, F.lit(0))
-
-
-def admits(query_wiki: Column, query_namespace: Column) -> Column:
-    """Whether a document passes a query's filters; a null filter admits everything."""
-    return (query_wiki.isNull() | (query_wiki == F.col("wiki"))) & (
-        query_namespace.isNull() | (query_namespace == F.col("namespace"))
-    )
+class Entries:
+    """The entries of a block of queries, laid out by term for one pass over documents."""
+
+    def __init__(self, queries: pa.Table):
+        self.ids = np.array(queries["query_id"].to_pylist(), dtype=object)
+        self.groups = filter_groups(queries)
+        self.needed = queries["needed"].to_numpy()
+        self.phrases = queries["q_terms"].to_pylist()
+        self.phrase_w = queries["phrase_w"].to_numpy()
+        found, ends = offsets_of(queries["entries"])
+        terms = found.field("term")
+        owner = np.repeat(np.arange(len(self.ids)), np.diff(ends))
+        coded = terms.dictionary_encode()
+        self.vocabulary = coded.dictionary
+        codes = coded.indices.to_numpy()
+        tags = np.array([term[0] for term in self.vocabulary.to_pylist()], dtype=object)
+        field = np.array([TAGS.index(tag) for tag in tags], dtype=np.int64)
+        order = np.argsort(codes, kind="stable")
+        # A slot is one query and one field.
+        self.slot = (owner * len(TAGS) + field[codes])[order] if len(codes) else codes
+        self.weight = found.field("w").to_numpy()[order]
+        self.count = np.bincount(codes, minlength=len(self.vocabulary))
+        self.begin = np.concatenate([[0], np.cumsum(self.count)])[:-1]
+        self.field = field
+
+
+def score_terms(
+    entries: Entries, docs: pa.Table, k: int, mean_lengths: dict[str, float]
+) -> pa.Table:
+    """The best ``k`` documents of a block per query.
+
+    Each posting of a document is multiplied out to the queries that contain its term and
+    added up in a document-by-slot matrix; a few documents at a time, so the matrix has a
+    fixed size. A query's best field counts if enough of its entries matched there.
+    """
+    queries = len(entries.ids)
+    if not queries or not docs.num_rows:
+        return RESULT.empty_table()
+    ids = np.array(docs["id"].to_pylist(), dtype=object)
+    terms, ends = offsets_of(docs["terms"])
+    codes = pc.index_in(terms, value_set=entries.vocabulary)
+    known = np.flatnonzero(codes.is_valid().to_numpy(zero_copy_only=False))
+    codes = codes.drop_null().to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(docs.num_rows), np.diff(ends))[known]
+    tf = offsets_of(docs["tfs"])[0].to_numpy()[known].astype(np.float64)
+    lengths = np.stack([docs[f"{tag}_len"].to_numpy() for tag in TAGS])
+    means = np.array([mean_lengths.get(tag, 1.0) for tag in TAGS])
+    norms = K1 * ((1 - B) + B * lengths / means[:, None])
+    part = tf / (tf + norms[entries.field[codes], owner])
+    masks = [(members, passing(docs, *key)) for key, members in entries.groups.items()]
+    titles = docs["title_terms"].to_pylist()
+    slots = queries * len(TAGS)
+    step = max(1, CELLS // slots)
+    tables = []
+    for start in range(0, docs.num_rows, step):
+        stop = min(start + step, docs.num_rows)
+        lo, hi = np.searchsorted(owner, [start, stop])
+        times = entries.count[codes[lo:hi]]
+        source = np.repeat(np.arange(lo, hi), times)
+        within = np.arange(len(source)) - np.repeat(np.cumsum(times) - times, times)
+        entry = entries.begin[codes[source]] + within
+        cell = (owner[source] - start) * slots + entries.slot[entry]
+        units = np.floor(entries.weight[entry] * part[source] * UNITS + 0.5)
+        shape = (stop - start, queries, len(TAGS))
+        totals = np.bincount(cell, weights=units, minlength=np.prod(shape)).reshape(shape)
+        matched = np.bincount(cell, minlength=np.prod(shape)).reshape(shape)
+        good = matched >= entries.needed[None, :, None]
+        best = np.where(good, totals, -1).max(axis=2)
+        for members, mask in masks:
+            best[np.ix_(~mask[start:stop], members)] = -1
+        d_at, q_at = np.nonzero(best >= 0)
+        score = best[d_at, q_at]
+        whole = np.flatnonzero(matched[d_at, q_at, 0] > 0)
+        for at in whole:
+            doc, query = d_at[at] + start, q_at[at]
+            times = phrase_count(titles[doc], entries.phrases[query])
+            if times:
+                share = times / (times + norms[0, doc])
+                score[at] += np.floor(entries.phrase_w[query] * share * UNITS + 0.5)
+        keep = best_of(q_at, d_at + start, score, ids, k)
+        tables.append(result(entries.ids, ids, q_at[keep], d_at[keep] + start, score[keep]))
+    return pa.concat_tables(tables)
+
+
+def phrase_count(title: list[str], phrase: list[str]) -> int:
+    """How often ``phrase`` occurs as neighbouring terms of ``title``."""
+    span = len(phrase)
+    return sum(title[at : at + span] == phrase for at in range(len(title) - span + 1))
 
 
 def bm25_matches(
     queries: DataFrame,
     index: TextIndex,
-    query_rows: int,
+    k: int,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    **bounds,
 ) -> DataFrame:
-    """All matching live documents per query: ``(query_id, id, units)``.
+    """Matching live documents per query ``(query_id, id, units)``, among them the best ``k``.
 
-    Documents are read where they lie and never shuffled while the query side is within the
-    broadcast bound. A pair is met once per probe term the document has; it is kept only at
-    the first of them, so no grouping is needed to remove repeats.
+    A document row holds all that its scores need, so the index is read once and never
+    shuffled while the query side is within the block bounds.
     """
-    plans = query_plans(queries, index, max_broadcast_rows)
-    plans = plans.withColumnsRenamed({"wiki": "q_wiki", "namespace": "q_namespace"})
-    probes = plans.select(
-        "query_id", "q_wiki", "q_namespace", F.col("probes"), F.posexplode("probes").alias("at", "term")
-    ).select(
-        "query_id", "q_wiki", "q_namespace", "term",
-        F.slice("probes", F.lit(1), F.col("at")).alias("earlier"),
-    )
+    plans = staged(query_plans(queries, index, max_broadcast_rows), "query-plans")
+    sizes = plans.agg(
+        F.count(F.lit(1)).alias("queries"),
+        F.coalesce(F.sum(F.size("entries")), F.lit(0)).alias("entries"),
+    ).first()
     docs = index.docs.where(is_live()).select(
-        "id", "wiki", "namespace", "title_terms", "terms", "tfs", "t_len", "s_len", "c_len",
-        F.explode("terms").alias("term"),
-    )
-    probe_rows = probes.count()
-    pairs = equi_join(
-        docs, probes, ["term"], spread=F.col("id"), small_rows=probe_rows,
-        max_broadcast_rows=max_broadcast_rows,
+        "id", "wiki", "namespace", "title_terms", "terms", "tfs", *[f"{tag}_len" for tag in TAGS]
     )
-    pairs = pairs.where(
-        admits(F.col("q_wiki"), F.col("q_namespace"))
-        & ~F.arrays_overlap(F.col("earlier"), F.col("terms"))
-    ).drop("term", "earlier", "q_wiki", "q_namespace")
-    full = plans.select(
-        "query_id", "q_terms", "needed", "t_find", "s_find", "c_find", "phrase_w"
-    )
-    pairs = equi_join(
-        pairs, full, ["query_id"], spread=F.col("id"), small_rows=query_rows,
-        max_broadcast_rows=max_broadcast_rows,
+    means = dict(index.mean_lengths)
+    return match_blocks(
+        plans, docs, Entries, lambda state, table: score_terms(state, table, k, means),
+        query_rows=sizes["queries"], entry_rows=sizes["entries"], doc_rows=index.documents,
+        **bounds,
     )
-    scored = pairs.select("query_id", "id", F.inline(F.array(F.struct(score_units(index).alias("units")))))
-    return scored.where(F.col("units").isNotNull())
 
 
 def top_per_query(matches: DataFrame, k: int) -> DataFrame:

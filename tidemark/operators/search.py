@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import strip, words
 from tidemark.operators.index import TextIndex
-from tidemark.operators.lexical import UNITS, bm25_matches, top_per_query
+from tidemark.operators.blocks import UNITS
+from tidemark.operators.lexical import bm25_matches, top_per_query
 from tidemark.operators.nearest import embed_queries, nearest
 from tidemark.session import MAX_BROADCAST_ROWS, equi_join
 
@@ -135,6 +136,7 @@ def search(
     weights: tuple[float, float] = (BM25_WEIGHT, KNN_WEIGHT),
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
     query_vectors: DataFrame | None = None,
+    **bounds,
 ) -> DataFrame:
     """Hits ``(query_id, position, id, score, bm25_rank, knn_rank)`` for a table of requests.
 
@@ -145,13 +147,18 @@ def search(
     query_rows = asked.count()
     lexical = asked.where(F.col("mode").isin("hybrid", "bm25"))
     semantic = asked.where(F.col("mode").isin("hybrid", "vector"))
-    bm25 = top_per_query(bm25_matches(lexical, index, query_rows, max_broadcast_rows), candidates)
+    bm25 = top_per_query(
+        bm25_matches(lexical, index, candidates, max_broadcast_rows, **bounds), candidates
+    )
     if query_vectors is None:
         semantic = embed_queries(semantic)
     else:
         semantic = semantic.join(query_vectors.select("query_id", "embedding"), "query_id")
     knn = top_per_query(
-        nearest(semantic, index.docs, candidates, floor, query_rows, index.documents), candidates
+        nearest(
+            semantic, index.docs, candidates, floor, query_rows, index.documents, **bounds
+        ),
+        candidates,
     )
     return fuse(bm25, knn, asked, query_rows, max_broadcast_rows, weights)
 
@@ -168,6 +175,6 @@ def responses(queries: DataFrame, hits: DataFrame) -> DataFrame:
     response holds at most a page."""
     asked = admit(queries).select("query_id", "query", "mode")
     hit = F.struct("position", *[c for c in hits.columns if c not in ("query_id", "position")])
-    grouped = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    grouped = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(hit)).alias("hits"))
     found = asked.join(grouped, "query_id", "left")
     return found.withColumn("count", F.coalesce(F.size("hits"), F.lit(0)))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.session import configure
+from tidemark.session import configure, scan
 
 TABLES = ["events", "documents", "labels", "benchmark", "conversations", "embeddings"]
 
@@ -312,7 +312,7 @@ def view(spark: SparkSession, sf_dir: str, builder) -> DataFrame:
     body = builder(Dialect(duck=False))
     for table in TABLES:
         if f"@{table}" in body:
-            spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(prefix + table)
+            scan(spark, f"{sf_dir}/{table}.parquet").createOrReplaceTempView(prefix + table)
     return spark.sql(render(body, False, prefix))
 
 

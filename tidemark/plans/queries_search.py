@@ -112,7 +112,7 @@ def phrase_match(spark, sf_dir):
 
 def bm25_search(spark, sf_dir):
     asked = asked_in(spark, sf_dir, "bm25")
-    found = lexical.bm25_matches(asked, index_of(spark, sf_dir), asked.count())
+    found = lexical.bm25_matches(asked, index_of(spark, sf_dir), search.CANDIDATES)
     return lexical.top_per_query(found, search.CANDIDATES)
 
 

@@ -57,9 +57,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads no further than one past it."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """Read a Parquet table. A table with fewer splits than cores, such as a single small
+    file, is spread over the cores; a large one is left exactly as it is laid out."""
+    table = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def equi_join(
