@@ -96,16 +96,7 @@ def _pages_as_state(pages: DataFrame) -> DataFrame:
     )
 
 
-def fold_edits(edits: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """One row per page: kept fields from the first arrival, refreshed fields from the last
-    arrival (nulls included), and the number of arrivals.
-
-    A stored page and a single edit are both states, and states combine associatively, so
-    the work is combined before the shuffle and ``existing`` simply joins the union.
-    """
-    states = _as_state(edits)
-    if existing is not None:
-        states = states.unionByName(_pages_as_state(existing))
+def _combine(states: DataFrame) -> DataFrame:
     folded = states.groupBy("wiki_key", "title_key").agg(
         F.min_by("kept", "first_seq").alias("kept"),
         F.max_by("refreshed", "last_seq").alias("refreshed"),
@@ -119,6 +110,24 @@ def fold_edits(edits: DataFrame, existing: DataFrame | None = None) -> DataFrame
     )
 
 
+def fold_edits(edits: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """One row per page: kept fields from the first arrival, refreshed fields from the last
+    arrival (nulls included), and the number of arrivals.
+
+    A stored page and a single edit are both states, and states combine associatively, so
+    the work is combined before the shuffle and ``existing`` simply joins the union.
+    """
+    states = _as_state(edits)
+    if existing is not None:
+        states = states.unionByName(_pages_as_state(existing))
+    return _combine(states)
+
+
+def combine_pages(parts: DataFrame) -> DataFrame:
+    """Pages from several folds of different stretches of the log."""
+    return _combine(_pages_as_state(parts))
+
+
 def derive_changelog(edits: DataFrame, part_positions: int = PART_POSITIONS) -> DataFrame:
     """The change log the upsert emits: ``c`` for the first sight of a page, ``u`` after it,
     with full row images before and after.

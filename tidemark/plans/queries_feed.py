@@ -9,7 +9,7 @@ from tidemark.functions.coercion import bind
 from tidemark.operators import edits as edit_ops
 from tidemark.operators import fold, live, metrics
 from tidemark.plans import fixtures as fx
-from tidemark.session import configure
+from tidemark.session import configure, scan
 from tidemark.sources import changelog as feed
 from tidemark.sources import recent_changes as recent
 from tidemark.sources import repo_events as repos
@@ -48,7 +48,7 @@ def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn(
+    return scan(spark, f"{sf_dir}/events.parquet").withColumn(
         "ts", F.col("ts").cast("timestamp")
     )
 
@@ -73,8 +73,7 @@ def drop_reasons(spark, sf_dir):
     )
 
 
-def edit_fold(spark, sf_dir):
-    pages = edit_ops.fold_edits(edits(spark, sf_dir))
+def page_cols(pages: DataFrame) -> DataFrame:
     return pages.select(
         "wiki", "title", "title_url", "last_comment", "last_user", "event_type", "namespace",
         "is_bot", "is_minor", "length_new", "edit_count",
@@ -82,6 +81,10 @@ def edit_fold(spark, sf_dir):
     )
 
 
+def edit_fold(spark, sf_dir):
+    return page_cols(edit_ops.fold_edits(edits(spark, sf_dir)))
+
+
 def derive_changelog(spark, sf_dir):
     log = edit_ops.derive_changelog(edits(spark, sf_dir))
     return log.select(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import queries_feed, queries_search
+from tidemark.plans import queries_feed, queries_search, queries_stream
 
-MODULES = [queries_feed, queries_search]
+MODULES = [queries_feed, queries_search, queries_stream]
 
 
 def queries():
