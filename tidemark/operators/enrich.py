@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import SUMMARY_LIMIT, cut, none_if_empty, strip
 from tidemark.operators.fold import is_live, with_stage
+from tidemark.session import hot_key_join
 
 # Titles that are not articles, and summary kinds without an extract.
 SKIPPED_TITLES = ["User:", "Talk:", "Wikipedia:", "Template:", "Category:"]
@@ -42,12 +43,13 @@ def enrichable(docs: DataFrame) -> DataFrame:
     )
 
 
-def enrich(docs: DataFrame, summaries: DataFrame) -> DataFrame:
+def enrich(docs: DataFrame, summaries: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
     """The enrichable documents for which a summary exists, with that summary.
 
     ``summaries`` holds ``wiki, title, type, extract, description``; an empty table is a
     provider that knows nothing. It is reduced to one record per page before the join, so a
-    page listed many times does not multiply its documents. The documents keep their
+    page listed many times does not multiply its documents, and titles that very many
+    documents share do not gather in one task. The documents keep their
     version and are marked as the later write, and so go through the guarded merge: a newer
     edit wins, and enriching twice changes nothing. Vectors are recomputed from the new text.
     """
@@ -56,7 +58,7 @@ def enrich(docs: DataFrame, summaries: DataFrame) -> DataFrame:
     text = summary_text(F.col("found.type"), F.col("found.extract"), F.col("found.description"))
     known = one.select("wiki", "title", text.alias("new_summary"))
     known = known.where(F.col("new_summary").isNotNull())
-    joined = with_stage(enrichable(docs)).join(known, ["wiki", "title"])
+    joined = hot_key_join(with_stage(enrichable(docs)), known, ["wiki", "title"], hot_rows)
     return joined.withColumns({"summary": F.col("new_summary"), "stage": F.lit(1)}).drop(
         "new_summary", "embedding"
     )

@@ -206,7 +206,12 @@ def query_entries(
     ).select("query_id", "needed", "field", "term", "df", F.lit(1.0).alias("weight"))
     close = spread.where("fuzzy").select("query_id", "needed", "q_term")
     near = spellings(close, index.terms, max_broadcast_rows)
-    loose = close.join(near, "q_term").select(
+    # No word has more than fifty spellings per field.
+    near_rows = term_rows * len(FIELDS) * MAX_SPELLINGS
+    loose = equi_join(
+        close, near, ["q_term"], spread=F.col("query_id"), small_rows=near_rows,
+        max_broadcast_rows=max_broadcast_rows,
+    ).select(
         "query_id", "needed", F.substring("term", 1, 1).alias("field"), "term", "df", "weight"
     )
     return exact.unionByName(loose)

@@ -151,7 +151,7 @@ def search(
         bm25_matches(lexical, index, candidates, max_broadcast_rows, **bounds), candidates
     )
     if query_vectors is None:
-        semantic = embed_queries(semantic)
+        semantic = embed_queries(semantic, query_rows)
     else:
         semantic = semantic.join(query_vectors.select("query_id", "embedding"), "query_id")
     knn = top_per_query(

@@ -340,6 +340,19 @@ def latency_quantiles() -> str:
         FROM f"""
 
 
+def sync_latency(moment: int) -> str:
+    bounds = [3600 * n for n in (1, 6, 24, 72, 168, 336, 720)]
+    values = ", ".join(f"({n}, {b}::DOUBLE)" for n, b in enumerate(bounds))
+    return f"""
+        WITH b AS (SELECT * FROM (VALUES {values}, ({len(bounds)}, 'infinity'::DOUBLE)) t(n, le)),
+        l AS (SELECT op, greatest(0.0, ({moment} - version) / 1000.0) AS seconds
+              FROM (SELECT op, version FROM ({parsed_changelog()}) p WHERE error IS NULL
+                    QUALIFY row_number() OVER (PARTITION BY id ORDER BY version DESC, seq DESC) = 1) s
+              WHERE version > 0)
+        SELECT op AS label, n AS "at", count(CASE WHEN seconds <= le THEN 1 END) AS observations
+        FROM l, b GROUP BY ALL"""
+
+
 def rate_1m() -> str:
     return """
         SELECT event_type AS label, epoch_us(time_bucket(INTERVAL 1 MINUTE, ts)) AS window_us,

@@ -189,12 +189,26 @@ def knn_floor() -> str:
 
 
 def phrase_match() -> str:
-    """Titles that hold the terms of a title probe next to each other."""
-    return f"""WITH {search_ctes(f"SELECT * FROM ({probe_queries()}) z WHERE mode = 'bm25'")}
-        SELECT query_id, id, CAST(freq AS BIGINT) AS freq FROM (
-          SELECT query_id, t.id, len(list_filter(range(1, len(ts) - len(qts) + 2),
-                 lambda i: list_slice(ts, i, i + len(qts) - 1) = qts)) AS freq
-          FROM qb, (SELECT id, ts FROM toks WHERE field = 't') t) x WHERE freq > 0"""
+    """Distinct title probes as phrases over all titles."""
+    return f"""WITH {search_ctes(f"SELECT * FROM ({probe_queries()}) z WHERE mode = 'bm25'")},
+        x AS (SELECT p.qts, len(list_filter(range(1, len(ts) - len(p.qts) + 2),
+                     lambda i: list_slice(ts, i, i + len(p.qts) - 1) = p.qts)) AS freq
+              FROM (SELECT DISTINCT qts FROM qb) p, (SELECT ts FROM toks WHERE field = 't') t)
+        SELECT array_to_string(qts, ' ') AS phrase, count(*) AS titles, CAST(sum(freq) AS BIGINT) AS occurrences
+        FROM x WHERE freq > 0 GROUP BY 1"""
+
+
+def source_documents() -> str:
+    optional = ["event_time", "last_comment", "last_user", "length_new", "summary", "title_url"]
+    always = ["deleted", "edit_count", "event_type", "id", "is_bot", "is_minor", "namespace", "title", "version", "wiki"]
+    source = {name: name for name in optional} | {"event_time": "event_us", "last_comment": "cleaned"}
+    present = ", ".join(
+        [f"CASE WHEN {source[name]} IS NOT NULL THEN '{name}' END" for name in optional]
+        + [f"'{name}'" for name in always]
+    )
+    return f"""SELECT id, array_to_string(list_sort(list_filter([{present}], lambda x: x IS NOT NULL)), ',') AS fields,
+        cleaned AS last_comment, version
+        FROM (SELECT *, nullif({clean('last_comment')}, '') AS cleaned FROM ({fx.cte(fx.docs)}) d0) d"""
 
 
 def fuzzy_terms() -> str:

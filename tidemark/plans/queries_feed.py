@@ -69,7 +69,7 @@ def drop_reasons(spark, sf_dir):
     recent_all = recent.classify_recent_changes(raw_lines(spark, sf_dir, fx.recent_raw))
     repo_all = repos.classify_repo_events(raw_lines(spark, sf_dir, fx.repo_raw))
     return metrics.drop_counts(recent_all, recent.SOURCE).unionByName(
-        metrics.drop_counts(repos.mark_repeats(repo_all), repos.SOURCE)
+        repos.repo_drop_counts(repo_all)
     )
 
 
@@ -232,6 +232,19 @@ def latency_quantiles(spark, sf_dir):
     )
 
 
+# The moment at which the sync latency below is taken, in epoch milliseconds.
+LATENCY_MOMENT = 1_706_745_600_000
+
+
+def sync_latency(spark, sf_dir):
+    """Age of the written documents at a fixed moment, by operation."""
+    state = fold.latest_per_id(changes(spark, sf_dir))
+    observed = metrics.sync_latency(state, F.lit(LATENCY_MOMENT), "op")
+    hours = [3600 * n for n in (1, 6, 24, 72, 168, 336, 720)]
+    buckets = metrics.bucket_counts(observed, hours, "op")
+    return buckets.select("label", "at", "observations")
+
+
 def rates(spark, sf_dir, width_s, slide_s=None):
     found = metrics.windowed_rate(events(spark, sf_dir), "ts", "event_type", width_s, slide_s)
     return found.select(
@@ -271,6 +284,7 @@ def queries():
         "counters_by_op": counters_by_op,
         "latency_histogram": latency_histogram,
         "latency_quantiles": latency_quantiles,
+        "sync_latency": sync_latency,
         "rate_1m": rate_1m,
         "rate_5m_sliding": rate_5m_sliding,
     }
@@ -301,6 +315,7 @@ def oracle_sql():
         "counters_by_op": o.counters(),
         "latency_histogram": o.latency_histogram(),
         "latency_quantiles": o.latency_quantiles(),
+        "sync_latency": o.sync_latency(LATENCY_MOMENT),
         "rate_1m": o.rate_1m(),
         "rate_5m_sliding": o.rate_5m(),
     }

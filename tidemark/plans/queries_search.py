@@ -49,6 +49,19 @@ def clean_comments(spark, sf_dir):
     return docs(spark, sf_dir).select("id", clean_comment(F.col("last_comment")).alias("cleaned"))
 
 
+def source_documents(spark, sf_dir):
+    """Fields of the written JSON documents: absent ones are absent, comments are clean."""
+    body = F.try_parse_json("source")
+    written = fold.source_json(docs(spark, sf_dir), with_embedding=False)
+    names = F.map_keys(F.from_json("source", "map<string,string>"))
+    return written.select(
+        "id",
+        F.array_join(F.sort_array(names), ",").alias("fields"),
+        F.try_variant_get(body, "$.last_comment", "string").alias("last_comment"),
+        F.try_variant_get(body, "$.version", "bigint").alias("version"),
+    )
+
+
 def searchable_text(spark, sf_dir):
     text = searchable(F.col("title"), F.col("summary"), F.col("last_comment"))
     return docs(spark, sf_dir).select("id", text.alias("text"))
@@ -92,22 +105,26 @@ def fuzzy_terms(spark, sf_dir):
 
 
 def phrase_match(spark, sf_dir):
-    """Titles that hold the terms of a title probe next to each other. Probe and title meet
-    at the phrase's rarest term."""
+    """Every distinct title probe as a phrase: in how many titles its terms stand next to
+    each other, and how often. Equal phrases and equal titles are reduced to one before they
+    meet, and they meet at the phrase's rarest term."""
     index = index_of(spark, sf_dir)
     probes = evaluate.title_probes(index.docs, ["bm25"], "enwiki")
-    ready = lexical.analyse_queries(search.admit(probes))
-    rarest = ready.select("query_id", "q_terms", F.explode("q_terms").alias("q_term")).withColumn(
-        "term", F.concat(F.lit("t:"), "q_term")
+    phrases = lexical.analyse_queries(search.admit(probes)).select("q_terms").distinct()
+    tagged = phrases.select("q_terms", F.explode("q_terms").alias("q_term"))
+    tagged = tagged.withColumn("term", F.concat(F.lit("t:"), "q_term"))
+    rarest = tagged.join(index.terms, "term").groupBy("q_terms").agg(
+        F.min(F.struct("df", "term")).getField("term").alias("term")
     )
-    rarest = index.terms.join(rarest, "term").groupBy("query_id", "q_terms").agg(
-        F.min(F.struct("df", "term")).alias("key")
-    ).select("query_id", "q_terms", F.col("key.term").alias("term"))
-    titles = index.docs.select("id", "title_terms", F.explode("terms").alias("term"))
-    titles = titles.where(F.col("term").startswith("t:"))
-    met = titles.join(rarest, "term")
+    titles = index.docs.groupBy("title_terms").agg(F.count(F.lit(1)).alias("docs"))
+    placed = titles.select(
+        "title_terms", "docs", F.explode(F.array_distinct("title_terms")).alias("word")
+    ).withColumn("term", F.concat(F.lit("t:"), "word"))
     freq = lexical.phrase_frequency(F.col("title_terms"), F.col("q_terms")).cast("bigint")
-    return bind(met, freq=freq).where(F.col("freq") > 0).select("query_id", "id", "freq")
+    met = bind(placed.join(rarest, "term"), freq=freq).where(F.col("freq") > 0)
+    return met.groupBy(F.array_join("q_terms", " ").alias("phrase")).agg(
+        F.sum("docs").alias("titles"), F.sum(F.col("docs") * F.col("freq")).alias("occurrences")
+    )
 
 
 def bm25_search(spark, sf_dir):
@@ -119,7 +136,7 @@ def bm25_search(spark, sf_dir):
 def knn_floor(spark, sf_dir):
     asked = asked_in(spark, sf_dir, "vector")
     index = index_of(spark, sf_dir)
-    vectors = nearest.embed_queries(asked)
+    vectors = nearest.embed_queries(asked, asked.count())
     found = nearest.nearest(
         vectors, index.docs, search.CANDIDATES, search.KNN_FLOOR, asked.count(), index.documents
     )
@@ -272,7 +289,7 @@ def eval_grounding(spark, sf_dir):
 
 
 NAMES = """
-    clean_comments searchable_text hash_embeddings postings corpus_stats fuzzy_terms phrase_match
+    clean_comments source_documents searchable_text hash_embeddings postings corpus_stats fuzzy_terms phrase_match
     bm25_search knn_exact knn_floor query_weights hybrid_search search_response summary_enrich
     enrich_guard rag_prompt extractive_answer rag_answers grounding eval_titles eval_cases
     eval_grounding

@@ -108,3 +108,19 @@ def equi_join(
     repeats = F.sequence(F.lit(0), F.lit(salts - 1))
     salted_small = small.withColumn("_salt", F.explode(repeats))
     return salted_big.join(salted_small, [*keys, "_salt"], how).drop("_salt")
+
+
+def hot_key_join(
+    big: DataFrame, unique: DataFrame, keys: list[str], hot_rows: int = 1_000_000
+) -> DataFrame:
+    """Inner join to a table with one row per key that may itself be too large to broadcast.
+
+    Keys with more than ``hot_rows`` rows cannot be many: at most the row count divided by
+    ``hot_rows``. They and their single partner rows are broadcast, so that their rows stay
+    where they are; all other keys meet in an ordinary shuffle, in groups of bounded size.
+    """
+    hot = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    hot = F.broadcast(hot.select(*keys))
+    few = F.broadcast(unique.join(hot, keys, "left_semi"))
+    rest = big.join(hot, keys, "left_anti").join(unique, keys)
+    return rest.unionByName(big.join(few, keys))

@@ -80,15 +80,25 @@ def classify_repo_events(raw: DataFrame) -> DataFrame:
     )
 
 
-def mark_repeats(classified: DataFrame) -> DataFrame:
-    """Every line, those after the first arrival of their event id marked as repeats."""
-    first = classified.groupBy("event_id").agg(F.min("seq").alias("first_seq"))
+def repo_drop_counts(classified: DataFrame) -> DataFrame:
+    """Dropped lines by reason. Every arrival of an id after its first is a repeat; they are
+    counted per id, so neither a hot id nor the lines without one gather in a task."""
     known = F.col("event_id").isNotNull() & (F.col("event_id") != "")
-    joined = classified.join(first, "event_id", "left")
-    reason = F.when(known & (F.col("seq") > F.col("first_seq")), "repeat").otherwise(
-        F.col("drop_reason")
+    per_id = classified.where(known).groupBy("event_id").agg(
+        F.min_by("drop_reason", "seq").alias("reason"), F.count(F.lit(1)).alias("n")
+    )
+    nameless = classified.where(~F.coalesce(known, F.lit(False)))
+    rows = (
+        per_id.select("reason", F.lit(1).cast("bigint").alias("n"))
+        .unionByName(per_id.select(F.lit("repeat").alias("reason"), (F.col("n") - 1).alias("n")))
+        .unionByName(
+            nameless.select(F.col("drop_reason").alias("reason"), F.lit(1).cast("bigint").alias("n"))
+        )
+    )
+    dropped = rows.where(F.col("reason").isNotNull() & (F.col("n") > 0))
+    return dropped.groupBy("reason").agg(F.sum("n").alias("events")).select(
+        F.lit(SOURCE).alias("source"), "reason", "events"
     )
-    return joined.withColumn("drop_reason", reason).drop("first_seq")
 
 
 def first_arrivals(classified: DataFrame) -> DataFrame:
