@@ -17,6 +17,15 @@ from tidemark.plans import registry  # noqa: E402
 from tidemark.plans.queries_search import index_of  # noqa: E402
 from tidemark.session import build_session  # noqa: E402
 
+# One query per kind of work; ``BENCH_QUERIES`` names others.
+HEADLINES = """
+    recent_changes repo_events_dedup drop_reasons edit_fold derive_changelog changelog_parse
+    dead_letters collapse_latest index_state live_docs doc_lookup live_feed counters_by_op
+    latency_quantiles rate_1m rate_5m_sliding searchable_text hash_embeddings corpus_stats
+    fuzzy_terms phrase_match bm25_search knn_exact knn_floor hybrid_search summary_enrich
+    enrich_guard rag_answers eval_titles stream_index stream_pages stream_rates
+""".split()
+
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -36,7 +45,7 @@ def main() -> None:
     started = time.time()
     index_of(spark, sf_dir)
     seconds["build_index"] = round(time.time() - started, 3)
-    for name in chosen or queries:
+    for name in chosen or HEADLINES:
         started = time.time()
         try:
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
@@ -46,7 +55,7 @@ def main() -> None:
         seconds[name] = round(time.time() - started, 3)
         print(name, seconds[name], file=sys.stderr, flush=True)
     line = {
-        "metric": "total seconds of all registered queries",
+        "metric": "total seconds of the headline queries",
         "value": round(sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,

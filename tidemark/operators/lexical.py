@@ -244,7 +244,7 @@ def query_plans(
         ready.join(per_query, "query_id")
         .join(phrase, "query_id", "left")
         .select(
-            "query_id", "wiki", "namespace", "q_terms", "needed", "entries",
+            "query_id", "wiki", "namespace", "q_terms", "fuzzy", "needed", "entries",
             F.coalesce(phrase_w, F.lit(0.0)).alias("phrase_w"),
         )
     )
@@ -268,6 +268,12 @@ class Entries:
         self.needed = queries["needed"].to_numpy()
         self.phrases = queries["q_terms"].to_pylist()
         self.phrase_w = queries["phrase_w"].to_numpy()
+        # A title that holds an exact phrase has matched all its terms; of a short query
+        # with several spellings at least one.
+        exact = np.array([len(phrase) for phrase in self.phrases])
+        self.phrase_needs = np.where(queries["fuzzy"].to_numpy(zero_copy_only=False), 1, exact)
+        # The score of the k-th best document met so far, per query and task.
+        self.floor = np.zeros(len(self.ids))
         found, ends = offsets_of(queries["entries"])
         terms = found.field("term")
         owner = np.repeat(np.arange(len(self.ids)), np.diff(ends))
@@ -284,6 +290,13 @@ class Entries:
         self.begin = np.concatenate([[0], np.cumsum(self.count)])[:-1]
         self.field = field
 
+    def raise_floor(self, q_at: np.ndarray, score: np.ndarray, k: int) -> None:
+        """Later documents must reach what ``k`` documents of a query have reached."""
+        full = np.bincount(q_at, minlength=len(self.ids)) >= k
+        worst = np.full(len(self.ids), np.inf)
+        np.minimum.at(worst, q_at, score)
+        self.floor = np.where(full, np.maximum(self.floor, worst), self.floor)
+
 
 def score_terms(
     entries: Entries, docs: pa.Table, k: int, mean_lengths: dict[str, float]
@@ -312,7 +325,8 @@ def score_terms(
     titles = docs["title_terms"].to_pylist()
     slots = queries * len(TAGS)
     step = max(1, CELLS // slots)
-    tables = []
+    kept = (np.array([], np.int64), np.array([], np.int64), np.array([]))
+    pending, waiting = [], 0
     for start in range(0, docs.num_rows, step):
         stop = min(start + step, docs.num_rows)
         lo, hi = np.searchsorted(owner, [start, stop])
@@ -331,16 +345,24 @@ def score_terms(
             best[np.ix_(~mask[start:stop], members)] = -1
         d_at, q_at = np.nonzero(best >= 0)
         score = best[d_at, q_at]
-        whole = np.flatnonzero(matched[d_at, q_at, 0] > 0)
+        whole = np.flatnonzero(matched[d_at, q_at, 0] >= entries.phrase_needs[q_at])
         for at in whole:
             doc, query = d_at[at] + start, q_at[at]
             times = phrase_count(titles[doc], entries.phrases[query])
             if times:
                 share = times / (times + norms[0, doc])
                 score[at] += np.floor(entries.phrase_w[query] * share * UNITS + 0.5)
-        keep = best_of(q_at, d_at + start, score, ids, k)
-        tables.append(result(entries.ids, ids, q_at[keep], d_at[keep] + start, score[keep]))
-    return pa.concat_tables(tables)
+        able = score >= entries.floor[q_at]
+        pending.append((q_at[able], d_at[able] + start, score[able]))
+        waiting += int(able.sum())
+        if waiting > CELLS or stop == docs.num_rows:
+            q_at, d_at, score = (np.concatenate(part) for part in zip(kept, *pending, strict=True))
+            best_at = best_of(q_at, d_at, score, ids, k)
+            kept = (q_at[best_at], d_at[best_at], score[best_at])
+            entries.raise_floor(kept[0], kept[2], k)
+            pending, waiting = [], 0
+    q_at, d_at, score = kept
+    return result(entries.ids, ids, q_at, d_at, score)
 
 
 def phrase_count(title: list[str], phrase: list[str]) -> int:

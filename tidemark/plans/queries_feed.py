@@ -192,18 +192,13 @@ def live_feed(spark, sf_dir):
 
 
 def counters_by_op(spark, sf_dir):
-    good, bad = feed.split_dead_letters(messages(spark, sf_dir))
-    parts = [
-        metrics.counter(edits(spark, sf_dir), "ingested", F.col("wiki")),
-        metrics.counter(good, "consumed", F.col("op")),
-        metrics.counter(bad, "failed", "parse"),
-        metrics.counter(bad, "dead_letters"),
-        metrics.counter(fold.latest_per_id(good), "indexed"),
-    ]
-    total = parts[0]
-    for part in parts[1:]:
-        total = total.unionByName(part)
-    return total
+    parsed = feed.parse_changelog(messages(spark, sf_dir))
+    written = fold.latest_per_id(feed.changes_of(parsed))
+    return (
+        metrics.sync_counters(parsed)
+        .unionByName(metrics.counter(edits(spark, sf_dir), "ingested", F.col("wiki")))
+        .unionByName(metrics.counter(written, "indexed"))
+    )
 
 
 def latencies(spark, sf_dir):

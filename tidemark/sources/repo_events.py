@@ -83,16 +83,24 @@ def classify_repo_events(raw: DataFrame) -> DataFrame:
 def repo_drop_counts(classified: DataFrame) -> DataFrame:
     """Dropped lines by reason. Every arrival of an id after its first is a repeat; they are
     counted per id, so neither a hot id nor the lines without one gather in a task."""
-    known = F.col("event_id").isNotNull() & (F.col("event_id") != "")
-    per_id = classified.where(known).groupBy("event_id").agg(
-        F.min_by("drop_reason", "seq").alias("reason"), F.count(F.lit(1)).alias("n")
-    )
-    nameless = classified.where(~F.coalesce(known, F.lit(False)))
-    rows = (
-        per_id.select("reason", F.lit(1).cast("bigint").alias("n"))
-        .unionByName(per_id.select(F.lit("repeat").alias("reason"), (F.col("n") - 1).alias("n")))
-        .unionByName(
-            nameless.select(F.col("drop_reason").alias("reason"), F.lit(1).cast("bigint").alias("n"))
+    known = F.coalesce(F.col("event_id") != "", F.lit(False))
+    groups = classified.groupBy(
+        F.when(known, F.col("event_id")).alias("event_id"),
+        F.when(~known, F.col("drop_reason")).alias("nameless"),
+    ).agg(F.min_by("drop_reason", "seq").alias("first"), F.count(F.lit(1)).alias("n"))
+    nameless = F.col("nameless").isNotNull()
+    rows = groups.select(
+        F.inline(
+            F.array(
+                F.struct(
+                    F.coalesce("nameless", "first").alias("reason"),
+                    F.when(nameless, F.col("n")).otherwise(1).alias("n"),
+                ),
+                F.struct(
+                    F.lit("repeat").alias("reason"),
+                    F.when(nameless, 0).otherwise(F.col("n") - 1).alias("n"),
+                ),
+            )
         )
     )
     dropped = rows.where(F.col("reason").isNotNull() & (F.col("n") > 0))
