@@ -13,7 +13,8 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from tidemark.plans import registry  # noqa: E402
+from tidemark.plans import fixtures, registry  # noqa: E402
+from tidemark.plans.queries_feed import landed  # noqa: E402
 from tidemark.plans.queries_search import index_of  # noqa: E402
 from tidemark.session import build_session  # noqa: E402
 
@@ -45,6 +46,10 @@ def main() -> None:
     started = time.time()
     index_of(spark, sf_dir)
     seconds["build_index"] = round(time.time() - started, 3)
+    started = time.time()
+    for builder in (fixtures.recent_raw, fixtures.repo_raw, fixtures.changelog):
+        landed(spark, sf_dir, builder)
+    seconds["land_inputs"] = round(time.time() - started, 3)
     for name in chosen or HEADLINES:
         started = time.time()
         try:

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.coercion import bind
 from tidemark.operators import edits as edit_ops
 from tidemark.operators import fold, live, metrics
 from tidemark.plans import fixtures as fx
-from tidemark.session import configure, scan
+from tidemark.session import configure, scan, staged
 from tidemark.sources import changelog as feed
 from tidemark.sources import recent_changes as recent
 from tidemark.sources import repo_events as repos
@@ -28,14 +27,24 @@ def micros(name: str, alias: str):
     return F.unix_micros(name).alias(alias)
 
 
+_LANDED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def landed(spark: SparkSession, sf_dir: str, builder) -> DataFrame:
+    """A raw input view over whole tables, landed once per application as a feed would be."""
+    key = (spark.sparkContext.applicationId, sf_dir, builder.__name__)
+    if key not in _LANDED:
+        _LANDED[key] = staged(fx.view(spark, sf_dir, builder), builder.__name__)
+    return _LANDED[key]
+
+
 def raw_lines(spark: SparkSession, sf_dir: str, builder) -> DataFrame:
-    lines = fx.view(spark, sf_dir, builder)
-    timed = lines.select("seq", F.timestamp_micros("arrived_us").alias("arrived_at"), "value")
-    return bind(timed, value=F.col("value"))
+    lines = landed(spark, sf_dir, builder)
+    return lines.select("seq", F.timestamp_micros("arrived_us").alias("arrived_at"), "value")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bind(fx.view(spark, sf_dir, fx.changelog), value=F.col("value"))
+    return landed(spark, sf_dir, fx.changelog)
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:

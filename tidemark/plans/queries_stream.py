@@ -11,15 +11,17 @@ from tidemark.sources import changelog, recent_changes, repo_events
 from tidemark.streaming import jobs
 from tidemark.streaming.store import DocumentStore, PageStore
 
-FILES = 4
+BATCHES = 4
 
 
 def landed(df, label):
-    """Write rows as a few files in log order, and read them back one file per batch."""
+    """Write rows as files in log order, and read them back in a few batches, each with a
+    file per core."""
     spark = df.sparkSession
     path = staging_dir(spark, label)
-    df.repartitionByRange(FILES, "seq").write.parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    df.repartitionByRange(BATCHES * cores, "seq").write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", cores).parquet(path)
 
 
 def synced(spark, sf_dir):
