@@ -33,7 +33,7 @@ _LANDED: dict[tuple[str, str, str], DataFrame] = {}
 def landed(spark: SparkSession, sf_dir: str, builder) -> DataFrame:
     """A raw input view over whole tables, landed once per application as a feed would be."""
     key = (spark.sparkContext.applicationId, sf_dir, builder.__name__)
-    if key not in _LANDED:
+    if key not in _LANDED or _LANDED[key].sparkSession is not spark:
         _LANDED[key] = staged(fx.view(spark, sf_dir, builder), builder.__name__)
     return _LANDED[key]
 

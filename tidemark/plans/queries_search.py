@@ -28,7 +28,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index_of(spark: SparkSession, sf_dir: str) -> indexing.TextIndex:
     """The stored index of the documents; built once per application, as an index is."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
+    if key not in _INDEXES or _INDEXES[key].docs.sparkSession is not spark:
         _INDEXES[key] = indexing.build_index(docs(spark, sf_dir))
     return _INDEXES[key]
 
