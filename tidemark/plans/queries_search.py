@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.coercion import bind
 from tidemark.functions.text import clean_comment, searchable_text as searchable, strip
-from tidemark.functions.vectors import hash_counts
 from tidemark.operators import answers, evaluate, fold
 from tidemark.operators import enrich as enrichment
 from tidemark.operators import index as indexing

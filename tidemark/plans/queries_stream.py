@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.plans import fixtures as fx
 from tidemark.plans import queries_feed as feed
 from tidemark.session import staging_dir
-from tidemark.sources import changelog, recent_changes, repo_events
+from tidemark.sources import recent_changes, repo_events
 from tidemark.streaming import jobs
 from tidemark.streaming.store import DocumentStore, PageStore
 

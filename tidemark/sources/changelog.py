@@ -10,7 +10,6 @@ from tidemark.functions.coercion import (
     BOOL,
     NULL,
     OBJECT,
-    TEXT,
     bad_optional_text,
     bad_optional_whole,
     bad_text_or_empty,
