@@ -35,3 +35,14 @@ def text_bytes(text: Column) -> Column:
 def one_row(df: DataFrame):
     """The only row of an aggregate without groups."""
     return df.collect()[0]
+
+
+def where_in(docs: DataFrame, kept: DataFrame, key: dict[str, Column]) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` (name in ``kept``, and expression over ``docs``) is among
+    those of ``kept``. Null is a value like any other, and rows alike in the key go together."""
+    wanted = kept.select(*key).distinct()
+    same = [of.eqNullSafe(wanted[name]) for name, of in key.items()]
+    condition = same[0]
+    for each in same[1:]:
+        condition = condition & each
+    return docs.join(wanted, condition, "left_semi")

@@ -30,10 +30,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep, narrow, one_row, text_bytes
+from tidemark.llm.common import keep, one_row, text_bytes
 from tidemark.llm.suffixes import suffix_array
 
 LENGTH = 100
@@ -181,14 +181,12 @@ def joined(pieces):
 RUN_COLUMNS = "h bigint, context bigint, doc bigint, version int, lo int, width smallint, reach smallint"
 
 
-def documents(docs: DataFrame) -> DataFrame:
+def documents(docs: DataFrame, *others: Column) -> DataFrame:
     """``doc, version, text``: the id, with null as the smallest, what tells apart texts that share
-    an id, and the text's bytes."""
-    rows = narrow(docs, doc_id="bigint", text="string")
-    text = F.coalesce("text", F.lit(""))
-    return rows.select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.hash(text).alias("version"), text_bytes(text).alias("text")
-    )
+    an id, and the text's bytes; then ``others``."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+    return docs.select(doc.alias("doc"), F.hash(text).alias("version"), text_bytes(text).alias("text"), *others)
 
 
 def anchored(rows: DataFrame, only_hash: bool = False) -> DataFrame:
@@ -349,7 +347,9 @@ def merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
 
 
 def cleaned(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """``doc, version, text, spans, kept``: removed runs and what is left of each text."""
+    """``spans, kept`` for ``rows``, after their own columns: removed runs and what is left of each
+    text."""
+    own = rows.columns
     spans = windows.groupBy("doc", "version").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def run(batches):
@@ -362,12 +362,13 @@ def cleaned(rows: DataFrame, windows: DataFrame) -> DataFrame:
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 removed.append([{"start": a, "end": b} for a, b in gone])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc", "version", "text")), pa.array(removed, kind), pa.array(kept, pa.binary())],
-                ["doc", "version", "text", "spans", "kept"],
+                [*(batch.column(c) for c in own), pa.array(removed, kind), pa.array(kept, pa.binary())],
+                [*own, "spans", "kept"],
             )
 
-    return rows.join(spans, ["doc", "version"], "left").select("doc", "version", "text", "spans").mapInArrow(
-        run, "doc bigint, version int, text binary, spans array<struct<start:bigint,end:bigint>>, kept binary"
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
+    return rows.join(spans, ["doc", "version"], "left").select(*own, "spans").mapInArrow(
+        run, ", ".join([*columns, "spans array<struct<start:bigint,end:bigint>>", "kept binary"])
     )
 
 
@@ -378,6 +379,18 @@ def dedup(docs: DataFrame) -> DataFrame:
     return cleaned(rows, covered(rows)).select(doc_id.alias("doc_id"), "text", "spans", "kept")
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with what repeats cut out of ``text``, and ``n_chars`` counted anew. A character
+    that loses one of its bytes is dropped."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    rows = documents(docs, whole.alias("others"))
+    found = cleaned(rows, covered(rows.drop("others")))
+    text = F.when(F.size("spans") > 0, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
+    found = found.withColumn("text", F.coalesce(text, F.decode("kept", "UTF-8")))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
+    return found.select(*(new.get(c, F.col(f"others.`{c}`")).alias(c) for c in docs.columns))
+
+
 def digests(docs: DataFrame) -> DataFrame:
     found = dedup(docs)
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda t, s: t + s["end"] - s["start"])

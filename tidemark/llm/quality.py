@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep, narrow, one_row
+from tidemark.llm.common import keep, narrow, where_in
 
 FEATURES = [
     "log_words", "log_word_length", "symbols", "digits", "capitals", "punctuation", "bars",
@@ -66,17 +66,19 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """``doc_id, x``: the statistics of every whole text."""
+def measure(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """``doc_id, key, x``: the statistics of every whole text, and what tells rows apart."""
 
     def run(batches):
         for batch in batches:
             rows = [statistics(text or "") for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"]
+                [batch.column("doc_id"), batch.column("key"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "key", "x"]
             )
 
-    return narrow(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, x array<double>")
+    key = F.lit(0).cast("bigint") if key is None else key
+    rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), key.alias("key"), docs["text"].cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, key bigint, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -146,16 +148,16 @@ def fit(labelled: DataFrame, shrinkage: float = 0.05, size: int = len(FEATURES))
 
 
 def score(measured: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score`` of measured documents; the factors travel with the task."""
+    """``doc_id, key, score`` of measured documents; the factors travel with the task."""
 
     def run(batches):
         for batch in batches:
             x = np.array(batch.column("x").to_pylist(), dtype=float).reshape(len(batch), len(FEATURES))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"]
+                [batch.column("doc_id"), batch.column("key"), pa.array(model.score(x))], ["doc_id", "key", "score"]
             )
 
-    return measured.select("doc_id", "x").mapInArrow(run, "doc_id bigint, score double")
+    return measured.mapInArrow(run, "doc_id bigint, key bigint, score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -163,16 +165,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold == HELD_OUT, F.lit(False))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with their own columns. Rows alike in
+    id and text have one score."""
+    key = F.xxhash64(docs["doc_id"], docs["text"], F.lit(2))
+    scored = scored_by(measure(docs, key), labels).where(F.col("score") >= threshold)
+    return where_in(docs, scored, {"key": key})
+
+
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, held_out, score, predicted``: one row per row of ``docs``, learned only from
     labelled documents that aren't held out."""
-    measured = keep(measure(docs), "quality")
-    marks = narrow(labels, doc_id="bigint", quality="int").where("quality in (0, 1)")
-    marks = marks.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("label"))
-    model = fit(measured.join(marks, "doc_id"))
-    return score(measured, model).select(
+    return scored_by(measure(docs), labels).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def scored_by(measured: DataFrame, labels: DataFrame) -> DataFrame:
+    measured = keep(measured, "quality")
+    marks = narrow(labels, doc_id="bigint", quality="int").where("quality in (0, 1)")
+    marks = marks.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("label"))
+    model = fit(measured.join(marks, "doc_id"))
+    return score(measured, model)

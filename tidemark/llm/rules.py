@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ASCII_SPACE, keep, narrow, one_row
+from tidemark.llm.common import ASCII_SPACE, keep, narrow, one_row, where_in
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
@@ -142,7 +142,7 @@ def fit_prior(hosts: DataFrame) -> Prior:
 def host_verdicts(hosts: DataFrame, prior: Prior, host_limit: float = HOST_LIMIT) -> DataFrame:
     """``host, host_rate, host_kept``."""
     rate = (F.col("failures") + prior.alpha) / (F.col("docs") + prior.alpha + prior.beta)
-    return hosts.select("host", "docs", rate.alias("host_rate")).withColumn(
+    return hosts.select("host", rate.alias("host_rate")).withColumn(
         "host_kept", F.col("host_rate") <= host_limit
     )
 
@@ -151,12 +151,27 @@ def judge(docs: DataFrame, host: str = "source", host_limit: float = HOST_LIMIT)
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     host_rate``: one row per row of ``docs``."""
     rows = narrow(docs, doc_id="bigint", text="string", **{host: "string"}).withColumnRenamed(host, "host")
-    measured = keep(measures(rows).withColumn("base_failed", base_failed()), "rules")
+    return verdicts_of(measures(rows), host_limit).drop("host")
+
+
+def keep_good(docs: DataFrame, host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns. Rows alike in id, host and text
+    are alike in their verdict."""
+    rows = docs.select(
+        F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(1)).alias("doc_id"), "text", F.col(host).cast("string").alias("host")
+    )
+    judged = verdicts_of(measures(rows), host_limit).where("kept")
+    key = {"doc_id": F.xxhash64(docs["doc_id"], docs["text"], F.lit(1)), "host": docs[host].cast("string")}
+    return where_in(docs, judged, key)
+
+
+def verdicts_of(measured: DataFrame, host_limit: float) -> DataFrame:
+    measured = keep(measured.withColumn("base_failed", base_failed()), "rules")
     hosts = by_host(measured)
-    verdicts = host_verdicts(hosts, fit_prior(hosts), host_limit).drop("docs")
+    verdicts = host_verdicts(hosts, fit_prior(hosts), host_limit)
     joined = measured.alias("m").join(verdicts.alias("v"), F.col("m.host").eqNullSafe(F.col("v.host")), "left")
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).alias("kept"),
-        "host_rate",
+        "host_rate", F.col("m.host").alias("host"),
     )

@@ -84,12 +84,13 @@ def cell_of(fp: Column) -> Column:
     return cell
 
 
-def grid(distinct: DataFrame) -> DataFrame:
-    """``fp, cell``: every cell within Manhattan distance 1 of a fingerprint's point."""
+def grid(distinct: DataFrame, print_of: Column | None = None) -> DataFrame:
+    """``fp, cell``: every cell within Manhattan distance 1 of a fingerprint's point. Where ``fp``
+    is more than the fingerprint, ``print_of`` takes that from it."""
     cell = F.col("_cell")
     steps = [F.shiftleft(F.lit(1).cast("bigint"), SEGMENT_BITS * at) for at in range(SEGMENTS)]
     around = F.array(cell, *(cell + s for s in steps), *(cell - s for s in steps))
-    return distinct.withColumn("_cell", cell_of(F.col("fp"))).select("fp", F.explode(around).alias("cell"))
+    return distinct.withColumn("_cell", cell_of(F.col("fp") if print_of is None else print_of)).select("fp", F.explode(around).alias("cell"))
 
 
 def close(a: Column, b: Column, bits: int = 2) -> Column:

@@ -1,0 +1,152 @@
+"""Near-duplicate texts by their word shingles, found with SimHash fingerprints.
+
+Texts are alike when the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
+Candidates come from several fingerprints of a text's words, each word weighing the square root
+of its count: texts that similar differ in few words. Fingerprints meet in the grid cells of
+``simhash``; cells find every pair of points at most 2 apart in Manhattan distance. Candidates
+whose fingerprints differ in too many bits in all go first, the others are compared exactly by
+their shingles. Groups are the connected components, and texts alike in all words are one from
+the start, so a group of exact copies is one row per task.
+
+In a crowded cell members meet its first one and the few others of a part of it, drawn anew in
+each cell, instead of all others: a pair missed in one cell has its other cells.
+
+Definitions: texts with fewer words than a shingle are one shingle; texts without words are alike;
+repeated rows are alike, and one row of each group stays: that with the smallest id, then the
+smallest row number of its table.
+"""
+
+from __future__ import annotations
+
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import keep
+from tidemark.llm.components import components
+from tidemark.llm.simhash import grid
+
+SHINGLE = 5
+SIMILARITY = 0.8
+TABLES = 6
+# Bits in which the fingerprints of a candidate pair may differ, over all tables.
+MOST_BITS = 9 * TABLES
+CROWDED = 32
+PART_ROWS = 8
+
+
+def weighted_prints(words: list[bytes], tables: int) -> list[int]:
+    """One fingerprint per table: the weighted majority of the bits of all words' hashes."""
+    if not words:
+        return [0] * tables
+    counts = Counter(words)
+    weight = np.sqrt(np.fromiter(counts.values(), dtype=np.float64, count=len(counts))).astype(np.float32)
+    half = weight.sum() / 2
+    prints = []
+    for seed in range(tables):
+        hashes = np.array([xxhash.xxh3_64_intdigest(word, seed) for word in counts], dtype="<u8")
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        packed = np.packbits(weight @ bits > half, bitorder="little")
+        prints.append(int(packed.view("<i8")[0]))
+    return prints
+
+
+def shingles(text: str | None) -> bytes:
+    """The sorted set of 64-bit hashes of all shingles."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if len(words) < SHINGLE:
+        whole = [b" ".join(words)]
+    else:
+        whole = map(b" ".join, zip(*(words[at:] for at in range(SHINGLE))))
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(s) for s in whole], dtype="<u8")).tobytes()
+
+
+def printed(docs: DataFrame, tables: int = TABLES) -> DataFrame:
+    """The rows of ``docs`` with a number, the class of texts alike in all words, and prints."""
+    own = docs.columns
+
+    def run(batches):
+        for batch in batches:
+            classes, prints = [], []
+            for text in batch.column("text").to_pylist():
+                words = (text or "").encode("utf-8", "replace").lower().split()
+                digest = xxhash.xxh3_64_digest(b" ".join(words))
+                classes.append(int.from_bytes(digest, "little", signed=True))
+                prints.append(weighted_prints(words, tables))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(classes, pa.int64()), pa.array(prints, pa.list_(pa.int64()))],
+                [*batch.schema.names, "_class", "_prints"],
+            )
+
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    schema = ", ".join([*columns, "_row bigint", "_class bigint", "_prints array<bigint>"])
+    return numbered.select(*own, "_row").mapInArrow(run, schema)
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """``a, b``: pairs of classes that meet in a cell of any table."""
+    one = classes.select("_class", F.posexplode("_prints").alias("table", "fp"))
+    cells = grid(one.select(F.struct("_class", "table", "fp").alias("fp")), F.col("fp.fp"))
+    cells = cells.select(F.xxhash64("fp.table", "cell").alias("cell"), F.col("fp._class").alias("c"))
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lead")).where("n > 1")
+    shared = keep(cells.join(sizes, "cell"), "cells")
+    parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
+    part = F.when(F.col("n") <= CROWDED, 0).otherwise(F.pmod(F.xxhash64("c", "cell"), parts))
+    dealt = shared.select("cell", part.alias("part"), "c")
+    left, right = dealt.withColumnRenamed("c", "a"), dealt.withColumnRenamed("c", "b")
+    met = left.join(right, ["cell", "part"]).where("a < b").select("a", "b")
+    led = shared.where((F.col("n") > CROWDED) & (F.col("c") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("c").alias("b"))
+    return met.unionByName(led).distinct()
+
+
+def alike(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b``: candidates whose shingles are similar enough. ``texts`` has one row per class."""
+    prints = classes.select("_class", "_prints")
+    bits = F.aggregate(
+        F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n
+    )
+    pairs = candidates(classes)
+    pairs = pairs.join(prints.select(F.col("_class").alias("a"), F.col("_prints").alias("p")), "a")
+    pairs = pairs.join(prints.select(F.col("_class").alias("b"), F.col("_prints").alias("q")), "b")
+    pairs = keep(pairs.where(bits <= MOST_BITS).select("a", "b"), "pairs")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("_class")).distinct()
+
+    def cut(batches):
+        for batch in batches:
+            found = [shingles(text) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("_class"), pa.array(found, pa.binary())], ["_class", "s"])
+
+    sets = keep(texts.join(used, "_class", "left_semi").select("_class", "text").mapInArrow(cut, "_class bigint, s binary"), "shingles")
+
+    def compare(batches):
+        for batch in batches:
+            good = []
+            for s, t in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist()):
+                x, y = np.frombuffer(s, dtype="<u8"), np.frombuffer(t, dtype="<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    joined = pairs.join(sets.select(F.col("_class").alias("a"), "s"), "a")
+    joined = joined.join(sets.select(F.col("_class").alias("b"), F.col("s").alias("t")), "b")
+    return joined.select("a", "b", "s", "t").mapInArrow(compare, "a bigint, b bigint")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with their own columns."""
+    rows = keep(printed(docs), "printed")
+    # No id is larger than any id, so that a row with an id stays before one without.
+    order = F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("id"), F.col("_row").alias("row"))
+    firsts = rows.select("_class", order.alias("o")).groupBy("_class").agg(F.min("o").alias("first"))
+    firsts = keep(firsts, "classes")
+    leads = firsts.select(F.col("first.row").alias("_row"), "_class")
+    texts = rows.join(leads, ["_row", "_class"], "left_semi")
+    roots = components(alike(texts.select("_class", "_prints"), texts.select("_class", "text")))
+    rooted = firsts.join(roots.withColumnRenamed("node", "_class"), "_class", "left")
+    stays = rooted.groupBy(F.coalesce("root", "_class").alias("root")).agg(F.min("first").alias("first"))
+    return rows.join(stays.select(F.col("first.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
