@@ -4,10 +4,11 @@ import pytest
 from checking import compare, duck
 
 import __spark_entry__ as entry_points
+from tidemark.plans import registry
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = registry.queries()
+ORACLES = registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
