@@ -9,13 +9,14 @@ document with a smaller id, or in the same document further left.
    Neighbouring windows with one anchor are a run.
 2. *Equal runs.* Runs alike in all their bytes are one class; all but the earliest are covered.
    This takes whole copies out, before anything is grouped.
-3. *Unequal runs with one anchor* are sorted: the earliest of each class gives its bytes twice,
-   for the windows that begin far left of the anchor and for the others, under the hash of the
-   bytes that all of those windows share. Rows with a hash of their own drop out. The others are
-   dealt to blocks by that hash; in a block, a suffix array of all bytes (see ``suffixes``)
-   brings equal windows next to each other, and all but the earliest are covered. A hash with
-   more than ``CROWDED`` rows isn't sorted in one block: its windows are compared by digest, by
-   an aggregate and a join that no key can overload.
+3. *Unequal runs with one anchor* are sorted. The earliest run of each class is cut, by the
+   distance to the anchor, into cells of neighbouring windows, each with its bytes and with a
+   hash of the bytes that all windows of the cell share. Cells with a hash of their own drop out,
+   and of equal cells all but the earliest are covered. The others are dealt to blocks by that
+   hash; in a block, a suffix array of all bytes (see ``suffixes``) brings equal windows next to
+   each other, and all but the earliest are covered. A hash with more than ``CROWDED`` unequal
+   cells isn't sorted in one block: its windows are compared by digest, by an aggregate and a
+   join that no key can overload.
 4. Covered windows are gathered by document and cut out of its text.
 
 Definitions: a null text is empty; an id that is null is smaller than all others; rows alike in
@@ -37,11 +38,12 @@ from tidemark.llm.common import keep, one_row, text_bytes
 from tidemark.llm.suffixes import suffix_array
 
 LENGTH = 100
-GRAM = 32
+GRAM = 24
 WINDOW = LENGTH - GRAM + 1
-# Windows that start this far or less left of their anchor are the near half.
-NEAR = WINDOW // 2
-CROWDED = 256
+# Cells that windows with one anchor are cut into, and the windows of a cell.
+CELLS = 4
+CELL = -(-WINDOW // CELLS)
+CROWDED = 1024
 BLOCK_BYTES = 1 << 17
 # Bytes measured at a time. Longer texts go in parts that overlap by a window.
 PART = 1 << 20
@@ -72,7 +74,7 @@ def gram_hashes(eight: np.ndarray) -> np.ndarray:
     """A hash of the ``GRAM`` bytes from every place on; never 0."""
     n = max(0, len(eight) - GRAM + 1)
     h = mixed(eight[:n])
-    for at, multiplier in zip((8, 16, 24), _MIX[1:]):
+    for at, multiplier in zip(range(8, GRAM, 8), _MIX[1:]):
         h += eight[at : at + n]
         h *= multiplier
         h ^= h >> _U(31)
@@ -113,20 +115,24 @@ class Powers:
 POWERS = Powers()
 
 
-def runs(data: bytes, valid: np.ndarray):
-    """Runs of windows with one anchor: first and last window, anchor's place and hash, and a
-    hash of all bytes of the run. ``valid`` says which windows lie within one document."""
-    eight = eights(data)
+def least_grams(eight: np.ndarray, valid: np.ndarray):
+    """Hashes of all grams, the least hash of every window, and the places of grams that are the
+    least of a valid window."""
     grams = gram_hashes(eight)
     least = sliding(grams, WINDOW, np.minimum)
-    n = len(least)
-    if not n or not valid[:n].any():
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, _U)] * 2
-    valid = valid[:n]
-    masked = np.where(valid, least, _U(0))
+    masked = np.where(valid[: len(least)], least, _U(0))
     pad = np.zeros(WINDOW - 1, dtype=_U)
     most = sliding(np.concatenate([pad, masked, pad]), WINDOW, np.maximum)
-    chosen = np.flatnonzero(grams == most)
+    return grams, least, np.flatnonzero(grams == most)
+
+
+def runs(data: bytes, valid: np.ndarray):
+    """Runs of windows with one anchor: first and last window, anchor's place and hash, and a
+    hash of all bytes of the run. ``valid`` says which windows lie within one document; there is
+    one at least."""
+    eight = eights(data)
+    grams, least, chosen = least_grams(eight, valid)
+    valid = valid[: len(least)]
     starts = np.flatnonzero(valid)
     at = np.searchsorted(chosen, starts + WINDOW - 1, side="right") - 1
     wanted = least[starts]
@@ -197,10 +203,12 @@ def anchored(rows: DataFrame, only_hash: bool = False) -> DataFrame:
         for batch in batches:
             doc, version = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "version"))
             for data, valid, ends, row_of, shift in parts_of(batch.column("text").to_pylist()):
-                lo, hi, anchor, h, context = runs(data, valid)
                 if only_hash:
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
+                    # Equal least hashes of one window all count: a few more anchors to look at.
+                    grams, _, chosen = least_grams(eights(data), valid)
+                    yield pa.RecordBatch.from_arrays([pa.array(grams[chosen].view(np.int64))], ["h"])
                     continue
+                lo, hi, anchor, h, context = runs(data, valid)
                 piece = np.searchsorted(ends, lo, side="right")
                 row = row_of[piece]
                 yield pa.RecordBatch.from_arrays(
@@ -215,32 +223,34 @@ def anchored(rows: DataFrame, only_hash: bool = False) -> DataFrame:
     return rows.mapInArrow(run, "h bigint" if only_hash else RUN_COLUMNS)
 
 
-def halves(rows: DataFrame) -> DataFrame:
-    """From texts with their runs (``runs``): ``key, doc, version, lo, hi, data``, the windows of
-    each half and their bytes, under a hash of the bytes that they all share."""
+CELL_COLUMNS = "key bigint, content bigint, doc bigint, version int, lo int, hi int, data binary"
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """From texts with their runs (``runs``, each as one number): windows by cell, with their bytes,
+    under a hash of the bytes that a cell's windows share and a hash of all of the cell."""
+    number = lambda data: int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
             for doc, version, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc", "version", "text", "runs"))):
-                for r in found:
-                    lo, hi = r["lo"], r["lo"] + r["width"]
-                    anchor = hi + r["reach"]
-                    middle = anchor - NEAR
-                    # Windows of the far half start before ``middle``.
-                    for half, (a, b), common in (
-                        (b"f", (lo, min(hi, middle - 1)), (middle - 1, anchor - WINDOW + 1 + LENGTH)),
-                        (b"n", (max(lo, middle), hi), (anchor, middle + LENGTH)),
-                    ):
-                        if a <= b:
-                            key = hashlib.blake2b(half + text[common[0] : common[1]], digest_size=8).digest()
-                            out.append((int.from_bytes(key, "little", signed=True), doc, version, a, b, text[a : b + LENGTH]))
+                for packed in found:
+                    lo, width, reach = packed >> 16, packed >> 8 & 255, packed & 255
+                    hi = lo + width
+                    anchor = hi + reach
+                    for cell in range(reach // CELL, (reach + width) // CELL + 1):
+                        near, far = cell * CELL, min(WINDOW, (cell + 1) * CELL) - 1
+                        a, b = max(lo, anchor - far), min(hi, anchor - near)
+                        data = text[a : b + LENGTH]
+                        key = number(b"%d " % cell + text[anchor - near : anchor - far + LENGTH])
+                        out.append((key, number(b"%d " % (anchor - a) + data), doc, version, a, b, data))
             if out:
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-                names = ["key", "doc", "version", "lo", "hi", "data"]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+                names = [c.split(" ")[0] for c in CELL_COLUMNS.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    return rows.mapInArrow(run, "key bigint, doc bigint, version int, lo int, hi int, data binary")
+    return rows.mapInArrow(run, CELL_COLUMNS)
 
 
 SPANS = "doc bigint, version int, lo int, hi int"
@@ -317,50 +327,58 @@ def covered(rows: DataFrame) -> DataFrame:
 
     unequal = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     firsts = classes.join(unequal, "h").select("first.*")
-    by_doc = firsts.groupBy("doc", "version").agg(F.collect_list(F.struct("lo", "width", "reach")).alias("runs"))
+    packed = F.shiftleft(F.col("lo").cast("bigint"), 16) + F.shiftleft(F.col("width").cast("bigint"), 8) + F.col("reach")
+    by_doc = firsts.groupBy("doc", "version").agg(F.collect_set(packed).alias("runs"))
     # Texts that are alike in id and bytes are one document, and bring their runs once.
     texts = rows.join(by_doc, ["doc", "version"]).select("doc", "version", "text", "runs")
-    cut = keep(halves(texts).dropDuplicates(["key", "doc", "version", "lo"]), "halves")
-    sizes = keep(
-        cut.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("data")).alias("size")).where("n > 1"),
-        "keys",
-    )
-    total = one_row(sizes.where(F.col("n") <= CROWDED).agg(F.sum("size").alias("size")))["size"] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    shared = cut.join(sizes.select("key", "n"), "key")
-    dealt = shared.where(F.col("n") <= CROWDED).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+    return copies.unionByName(covered_cells(keep(cells(texts), "cells")))
+
+
+def covered_cells(cut: DataFrame) -> DataFrame:
+    kinds = cut.groupBy("key", "content").agg(F.min(F.struct("doc", "lo", "version")).alias("first"))
+    kinds = keep(kinds, "kinds")
+    sizes = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    compared = keep(kinds.join(sizes.where("n > 1"), "key").select("key", "content", "first", "n"), "compared")
+    own = cut.join(kinds, ["key", "content"])
+    copies = own.where("doc <> first.doc or lo <> first.lo").select("doc", "version", "lo", "hi")
+    firsts = cut.join(compared, ["key", "content"]).where("doc = first.doc and lo = first.lo and version = first.version")
+    total = one_row(compared.where(F.col("n") <= CROWDED).agg(F.count(F.lit(1)).alias("n")))["n"]
+    blocks = max(1, -(-total * (CELL + LENGTH) // BLOCK_BYTES))
+    dealt = firsts.where(F.col("n") <= CROWDED).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
     sorted_ones = dealt.select("block", "doc", "version", "lo", "data").groupBy("block").applyInArrow(sorted_block, SPANS)
-    crowded = shared.where(F.col("n") > CROWDED).select("doc", "version", "lo", "hi", "data")
+    crowded = firsts.where(F.col("n") > CROWDED).select("doc", "version", "lo", "hi", "data")
     return copies.unionByName(sorted_ones).unionByName(by_digest(crowded))
 
 
-def merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes under the windows of ``spans``."""
-    out: list[list[int]] = []
-    for lo, hi in sorted((s["lo"], s["hi"]) for s in spans):
-        end = min(size, hi + LENGTH)
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([lo, end])
-    return [(a, b) for a, b in out]
+def merged(spans: np.ndarray, size: int) -> tuple[list[int], list[int]]:
+    """Starts and ends of the maximal runs of bytes under windows; a span is one number, first
+    start and last start."""
+    spans = np.sort(spans)
+    lo, end = spans >> 32, np.maximum.accumulate((spans & 0xFFFFFFFF) + LENGTH)
+    new = np.flatnonzero(np.append(True, lo[1:] > end[:-1]))
+    return lo[new].tolist(), np.minimum(end[np.append(new[1:] - 1, len(end) - 1)], size).tolist()
 
 
 def cleaned(rows: DataFrame, windows: DataFrame) -> DataFrame:
     """``spans, kept`` for ``rows``, after their own columns: removed runs and what is left of each
     text."""
     own = rows.columns
-    spans = windows.groupBy("doc", "version").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    span = F.shiftleft(F.col("lo").cast("bigint"), 32) + F.col("hi")
+    spans = windows.groupBy("doc", "version").agg(F.collect_list(span).alias("spans"))
 
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             removed, kept = [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                gone = merged(found or [], len(text))
-                edges = [0, *(edge for span in gone for edge in span), len(text)]
-                kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
-                removed.append([{"start": a, "end": b} for a, b in gone])
+            for text, found in zip(batch.column("text"), batch.column("spans")):
+                text = text.as_py()
+                if not found.is_valid:
+                    removed.append([])
+                    kept.append(text)
+                    continue
+                starts, ends = merged(found.values.to_numpy(zero_copy_only=False), len(text))
+                kept.append(b"".join([text[a:b] for a, b in zip([0, *ends], [*starts, len(text)])]))
+                removed.append([{"start": a, "end": b} for a, b in zip(starts, ends)])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in own), pa.array(removed, kind), pa.array(kept, pa.binary())],
                 [*own, "spans", "kept"],
