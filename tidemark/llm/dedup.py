@@ -45,6 +45,8 @@ CELLS = 4
 CELL = -(-WINDOW // CELLS)
 CROWDED = 1024
 BLOCK_BYTES = 1 << 17
+# Tasks that blocks are dealt to; a task takes its blocks one by one.
+MOST_TASKS = 20_000
 # Bytes measured at a time. Longer texts go in parts that overlap by a window.
 PART = 1 << 20
 NO_ID = -(2**63)
@@ -338,14 +340,24 @@ def covered_cells(cut: DataFrame) -> DataFrame:
     kinds = cut.groupBy("key", "content").agg(F.min(F.struct("doc", "lo", "version")).alias("first"))
     kinds = keep(kinds, "kinds")
     sizes = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    compared = keep(kinds.join(sizes.where("n > 1"), "key").select("key", "content", "first", "n"), "compared")
-    own = cut.join(kinds, ["key", "content"])
-    copies = own.where("doc <> first.doc or lo <> first.lo").select("doc", "version", "lo", "hi")
-    firsts = cut.join(compared, ["key", "content"]).where("doc = first.doc and lo = first.lo and version = first.version")
-    total = one_row(compared.where(F.col("n") <= CROWDED).agg(F.count(F.lit(1)).alias("n")))["n"]
-    blocks = max(1, -(-total * (CELL + LENGTH) // BLOCK_BYTES))
-    dealt = firsts.where(F.col("n") <= CROWDED).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-    sorted_ones = dealt.select("block", "doc", "version", "lo", "data").groupBy("block").applyInArrow(sorted_block, SPANS)
+    # One pass over all cells: copies of an earlier cell, and the first cells that have others to
+    # be compared with; only these go on with their bytes.
+    own = cut.join(kinds.join(sizes, "key"), ["key", "content"])
+    is_first = F.col("version").eqNullSafe(F.col("first.version")) & (F.col("doc") == F.col("first.doc")) & (F.col("lo") == F.col("first.lo"))
+    is_copy = (F.col("doc") != F.col("first.doc")) | (F.col("lo") != F.col("first.lo"))
+    own = own.where(is_copy | (is_first & (F.col("n") > 1))).select(
+        "key", "doc", "version", "lo", "hi", "n", is_copy.alias("is_copy"), F.when(~is_copy, F.col("data")).alias("data")
+    )
+    own = keep(own, "compared")
+    copies = own.where("is_copy").select("doc", "version", "lo", "hi")
+    firsts = own.where("not is_copy")
+    few = firsts.where(F.col("n") <= CROWDED)
+    total = one_row(few.agg(F.sum(F.length("data")).alias("size")))["size"] or 0
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    dealt = few.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), "doc", "version", "lo", "data")
+    # Sorting costs far more than reading, so blocks aren't gathered by their bytes.
+    dealt = dealt.repartition(min(blocks, MOST_TASKS), "block")
+    sorted_ones = dealt.groupBy("block").applyInArrow(sorted_block, SPANS)
     crowded = firsts.where(F.col("n") > CROWDED).select("doc", "version", "lo", "hi", "data")
     return copies.unionByName(sorted_ones).unionByName(by_digest(crowded))
 
