@@ -22,6 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,13 +67,13 @@ def shingles(text: str | None) -> bytes:
 
 
 def printed(docs: DataFrame, tables: int = TABLES) -> DataFrame:
-    """The rows of ``docs`` with a number, the class of texts alike in all words, and prints."""
-    own = docs.columns
+    """The rows of ``docs``, each whole in ``doc``, with a number, the class of texts alike in all
+    words, and prints."""
 
     def run(batches):
         for batch in batches:
             classes, prints = [], []
-            for text in batch.column("text").to_pylist():
+            for text in pc.struct_field(batch.column("doc"), "text").to_pylist():
                 words = (text or "").encode("utf-8", "replace").lower().split()
                 digest = xxhash.xxh3_64_digest(b" ".join(words))
                 classes.append(int.from_bytes(digest, "little", signed=True))
@@ -82,10 +83,9 @@ def printed(docs: DataFrame, tables: int = TABLES) -> DataFrame:
                 [*batch.schema.names, "_class", "_prints"],
             )
 
-    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    schema = ", ".join([*columns, "_row bigint", "_class bigint", "_prints array<bigint>"])
-    return numbered.select(*own, "_row").mapInArrow(run, schema)
+    numbered = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.monotonically_increasing_id().alias("_row"))
+    schema = f"doc {numbered.schema['doc'].dataType.simpleString()}, _row bigint, _class bigint, _prints array<bigint>"
+    return numbered.mapInArrow(run, schema)
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -141,12 +141,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
     rows = keep(printed(docs), "printed")
     # No id is larger than any id, so that a row with an id stays before one without.
-    order = F.struct(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("id"), F.col("_row").alias("row"))
+    order = F.struct(F.coalesce(F.col("doc.doc_id").cast("bigint"), F.lit(2**63 - 1)).alias("id"), F.col("_row").alias("row"))
     firsts = rows.select("_class", order.alias("o")).groupBy("_class").agg(F.min("o").alias("first"))
     firsts = keep(firsts, "classes")
     leads = firsts.select(F.col("first.row").alias("_row"), "_class")
     texts = rows.join(leads, ["_row", "_class"], "left_semi")
-    roots = components(alike(texts.select("_class", "_prints"), texts.select("_class", "text")))
+    roots = components(alike(texts.select("_class", "_prints"), texts.select("_class", F.col("doc.text").cast("string").alias("text"))))
     rooted = firsts.join(roots.withColumnRenamed("node", "_class"), "_class", "left")
     stays = rooted.groupBy(F.coalesce("root", "_class").alias("root")).agg(F.min("first").alias("first"))
-    return rows.join(stays.select(F.col("first.row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    return rows.join(stays.select(F.col("first.row").alias("_row")), "_row", "left_semi").select("doc.*")
