@@ -243,3 +243,13 @@ def test_quantiles(spark):
     buckets = bucket_counts(df, [0.5, 1.0])
     got = {r["quantile"]: r.seconds for r in bucket_quantiles(buckets, [0.2, 0.6, 0.99]).collect()}
     assert got == pytest.approx({0.2: 0.25, 0.6: 0.75, 0.99: 1.0})
+
+
+def test_a_record_without_text_never_wins(spark):
+    from tidemark.operators.enrich import summary_text
+
+    schema = "wiki string, title string, type string, extract string, description string"
+    rows = [("enwiki", "A", None, None, None), ("enwiki", "A", "standard", "Good text.", None)]
+    summaries = spark.createDataFrame(rows, schema)
+    text = summary_text(F.col("type"), F.col("extract"), F.col("description"))
+    assert [r[0] for r in summaries.select(text).collect()] == [None, "Good text."]

@@ -111,3 +111,16 @@ def test_rates_drop_what_is_too_late_only_when_asked(spark):
         found[lateness] = sorted(r.events for r in rows)
     assert found[None] == [1, 1, 2]
     assert found["1 minute"] == [1, 1, 1]
+
+
+def test_a_batch_that_lands_while_compacting_is_kept(spark, tmp_path):
+    from tidemark.streaming.store import BatchTable
+
+    table = BatchTable(str(tmp_path / "t"), "id STRING, version BIGINT")
+    row = lambda name: spark.createDataFrame([(name, 1)], table.schema)
+    table.write_batch(row("1"), 0)
+    until = table.newest(spark)
+    state = table.parts(spark, until)
+    table.write_batch(row("2"), 1)
+    table.snapshot(state, until)
+    assert sorted(r.id for r in table.parts(spark).collect()) == ["1", "2"]

@@ -53,11 +53,12 @@ def enrich(docs: DataFrame, summaries: DataFrame, hot_rows: int = 1_000_000) ->
     version and are marked as the later write, and so go through the guarded merge: a newer
     edit wins, and enriching twice changes nothing. Vectors are recomputed from the new text.
     """
-    record = F.struct("type", "extract", "description")
-    one = summaries.groupBy("wiki", "title").agg(F.min(record).alias("found"))
-    text = summary_text(F.col("found.type"), F.col("found.extract"), F.col("found.description"))
-    known = one.select("wiki", "title", text.alias("new_summary"))
-    known = known.where(F.col("new_summary").isNotNull())
+    text = summary_text(F.col("type"), F.col("extract"), F.col("description"))
+    useful = summaries.withColumn("new_summary", text).where(F.col("new_summary").isNotNull())
+    # Of the records with a text, the least by type, extract and description.
+    record = F.struct("type", "extract", "description", "new_summary")
+    one = useful.groupBy("wiki", "title").agg(F.min(record).alias("found"))
+    known = one.select("wiki", "title", F.col("found.new_summary").alias("new_summary"))
     joined = hot_key_join(with_stage(enrichable(docs)), known, ["wiki", "title"], hot_rows)
     return joined.withColumns({"summary": F.col("new_summary"), "stage": F.lit(1)}).drop(
         "new_summary", "embedding"

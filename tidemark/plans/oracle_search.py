@@ -263,17 +263,22 @@ def search_response() -> str:
         FROM q LEFT JOIN hits USING (query_id) GROUP BY ALL"""
 
 
+def picked_text() -> str:
+    return strip(
+        "coalesce(CASE WHEN type IN ('disambiguation', 'no-extract') THEN description "
+        "ELSE coalesce(nullif(extract, ''), description) END, '')"
+    )
+
+
 def summary_pick() -> str:
     return f"""SELECT wiki, title, type, extract, description FROM ({fx.cte(fx.summaries)}) s
+        WHERE {picked_text()} <> ''
         QUALIFY row_number() OVER (PARTITION BY wiki, title ORDER BY type NULLS FIRST,
                 extract NULLS FIRST, description NULLS FIRST) = 1"""
 
 
 def enriched() -> str:
-    picked = strip(
-        "coalesce(CASE WHEN type IN ('disambiguation', 'no-extract') THEN description "
-        "ELSE coalesce(nullif(extract, ''), description) END, '')"
-    )
+    picked = picked_text()
     return f"""SELECT d.id, d.version, d.wiki, d.title, nullif(substr({picked}, 1, 1000), '') AS summary
         FROM ({fx.cte(fx.docs)}) d JOIN ({summary_pick()}) s ON d.wiki = s.wiki AND d.title = s.title
         WHERE NOT d.deleted AND d.namespace = 0 AND d.title <> '' AND coalesce(d.summary, '') = ''

@@ -34,6 +34,8 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **conf)
 def configure(spark: SparkSession) -> SparkSession:
     """Settings every job here relies on; safe to call on a session made elsewhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # Of a key that a message repeats, the last value counts.
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     ship_package(spark)
     return spark
 
@@ -58,10 +60,13 @@ def staging_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder in the cluster's shared checkpoint storage.
 
     The cluster names that storage in ``spark.checkpoint.dir``. Only when the setting is
-    absent (tests on one machine) is a temporary folder chosen, once per session.
+    absent on one machine (tests) is a temporary folder chosen, once per session; on a cluster
+    there would be one on each machine, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"

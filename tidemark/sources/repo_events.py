@@ -127,6 +127,8 @@ def read_repo_events(raw: DataFrame) -> DataFrame:
 def stream_repo_events(raw: DataFrame, horizon: str = "7 days") -> DataFrame:
     """The same for a stream: an id is remembered for ``horizon`` of arrival time, so the
     state stays bounded. Repeats further apart than the horizon are not recognised."""
-    classified = classify_repo_events(raw).where(F.col("drop_reason").isNull())
-    marked = classified.withWatermark("arrived_at", horizon)
-    return marked.dropDuplicatesWithinWatermark(["event_id"]).drop("event_id", "drop_reason")
+    named = classify_repo_events(raw).where(F.col("event_id").isNotNull())
+    marked = named.withWatermark("arrived_at", horizon)
+    # As in a batch, an id counts as seen whether or not its first line is of use.
+    kept = marked.dropDuplicatesWithinWatermark(["event_id"]).where(F.col("drop_reason").isNull())
+    return kept.drop("event_id", "drop_reason")

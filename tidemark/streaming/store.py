@@ -52,26 +52,27 @@ class BatchTable:
             return spark.createDataFrame([], schema)
         return spark.read.schema(schema).parquet(f"{self.path}/{folder}")
 
-    def parts(self, spark: SparkSession) -> DataFrame:
-        """The rows to combine: the newest snapshot and every batch after it. Folders are
-        partitions, so older ones are never opened."""
+    def newest(self, spark: SparkSession) -> int | None:
+        """The number of the newest batch written so far."""
+        return self._read(spark, "log", "batch_id").agg(F.max("batch_id")).first()[0]
+
+    def parts(self, spark: SparkSession, until: int | None = None) -> DataFrame:
+        """The rows to combine: the newest snapshot and every batch after it, or those of them
+        up to ``until``. Folders are partitions, so older ones are never opened."""
         snapshots = self._read(spark, "snapshots", "upto")
         upto = snapshots.agg(F.max("upto")).first()[0]
         log = self._read(spark, "log", "batch_id")
+        if until is not None:
+            log = log.where(F.col("batch_id") <= until)
         if upto is None:
             return log.drop("batch_id")
         newer = log.where(F.col("batch_id") > upto).drop("batch_id")
         return snapshots.where(F.col("upto") == upto).drop("upto").unionByName(newer)
 
-    def snapshot(self, combined: DataFrame) -> None:
-        """Store the combined state as the new starting point of readers."""
-        spark = combined.sparkSession
-        upto = self._read(spark, "log", "batch_id").agg(F.max("batch_id")).first()[0]
-        if upto is not None:
-            names = [field.split()[0] for field in self.schema.replace("\n", " ").split(",")]
-            combined.select(*names).write.mode("overwrite").parquet(
-                f"{self.path}/snapshots/upto={upto}"
-            )
+    def snapshot(self, combined: DataFrame, upto: int) -> None:
+        """Store the state of the batches up to ``upto`` as the new starting point of readers."""
+        names = [field.split()[0] for field in self.schema.replace("\n", " ").split(",")]
+        combined.select(*names).write.mode("overwrite").parquet(f"{self.path}/snapshots/upto={upto}")
 
 
 class DocumentStore:
@@ -88,13 +89,16 @@ class DocumentStore:
         newest = fold.source_form(fold.latest_per_id(changes)).drop("op")
         self.docs.write_batch(embed_documents(newest, self.dims), batch_id)
 
-    def state(self, spark: SparkSession) -> DataFrame:
-        """The newest document per id."""
-        written = self.docs.parts(spark).unionByName(self.enriched.parts(spark))
+    def state(self, spark: SparkSession, until: int | None = None) -> DataFrame:
+        """The newest document per id, of all batches or of those up to ``until``."""
+        written = self.docs.parts(spark, until).unionByName(self.enriched.parts(spark))
         return fold.conform(fold.latest_per_id(written), self.dims)
 
     def compact(self, spark: SparkSession) -> None:
-        self.docs.snapshot(self.state(spark))
+        """The batches to take in are settled first: one that lands meanwhile stays after them."""
+        until = self.docs.newest(spark)
+        if until is not None:
+            self.docs.snapshot(self.state(spark, until), until)
 
     def enrich(self, spark: SparkSession, summaries: DataFrame, run: int) -> None:
         """Add summaries to documents that lack one. Documents were searchable before; a
@@ -115,8 +119,10 @@ class PageStore:
         self.pages.write_batch(edit_ops.fold_edits(good), batch_id)
         self.rejected.write_batch(bad, batch_id)
 
-    def state(self, spark: SparkSession) -> DataFrame:
-        return edit_ops.combine_pages(self.pages.parts(spark))
+    def state(self, spark: SparkSession, until: int | None = None) -> DataFrame:
+        return edit_ops.combine_pages(self.pages.parts(spark, until))
 
     def compact(self, spark: SparkSession) -> None:
-        self.pages.snapshot(self.state(spark))
+        until = self.pages.newest(spark)
+        if until is not None:
+            self.pages.snapshot(self.state(spark, until), until)
