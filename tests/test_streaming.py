@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemark.session import staging_dir
 from tidemark.sources.changelog import file_messages
 from tidemark.streaming import jobs
-from tidemark.streaming.store import DocumentStore
+from tidemark.streaming.store import BatchTable, DocumentStore, finished
 
 
 def change(op, ident, version, title="A page", comment="c"):
@@ -46,7 +46,8 @@ def test_sync_late_data_replay_compaction_and_enrichment(spark):
     from tidemark.sources.changelog import split_dead_letters
 
     again = spark.read.parquet(path).where("seq < 10")
-    store.write_changes(split_dead_letters(again)[0], 0)
+    own = jobs.run_of(checkpoint)(spark)
+    store.write_changes(split_dead_letters(again)[0], 0, own)
     assert state(spark, store) == want
     assert store.docs.parts(spark).count() == 5
 
@@ -63,10 +64,10 @@ def test_sync_late_data_replay_compaction_and_enrichment(spark):
         [("enwiki", "A page", "standard", " About it ", None)],
         "wiki string, title string, type string, extract string, description string",
     )
-    store.enrich(spark, summaries, 0)
+    store.enrich(spark, summaries)
     assert state(spark, store)["1"] == (100, False, "About it")
     before = state(spark, store)
-    store.enrich(spark, summaries, 1)  # nothing left to enrich
+    store.enrich(spark, summaries)  # nothing left to enrich
     assert state(spark, store) == before
 
     # A newer edit replaces the whole document, summary included.
@@ -81,7 +82,7 @@ def test_failed_batch_is_repeated(spark):
     land(spark, path, 0, [change("c", 1, 1), change("c", 2, 1)])
 
     class Failing(DocumentStore):
-        def write_changes(self, changes, batch_id):
+        def write_changes(self, changes, batch_id, run):
             raise RuntimeError("storage is away")
 
     root = staging_dir(spark, "store")
@@ -114,13 +115,51 @@ def test_rates_drop_what_is_too_late_only_when_asked(spark):
 
 
 def test_a_batch_that_lands_while_compacting_is_kept(spark, tmp_path):
-    from tidemark.streaming.store import BatchTable
-
     table = BatchTable(str(tmp_path / "t"), "id STRING, version BIGINT")
     row = lambda name: spark.createDataFrame([(name, 1)], table.schema)
+    found = lambda: sorted(r.id for r in table.parts(spark).collect())
     table.write_batch(row("1"), 0)
-    until = table.newest(spark)
-    state = table.parts(spark, until)
+    cut = table.cut(spark)
+    state = table.parts(spark, cut)
     table.write_batch(row("2"), 1)
-    table.snapshot(state, until)
-    assert sorted(r.id for r in table.parts(spark).collect()) == ["1", "2"]
+    table.snapshot(state, cut)
+    assert found() == ["1", "2"]
+
+    # A snapshot that is not published, and a batch that is not finished, are not looked at.
+    row("half").write.parquet(f"{table.path}/snapshots/number=1")
+    row("half").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(table.batch_path("main", 2))
+    assert found() == ["1", "2"]
+
+    # What goes is what two snapshots cover.
+    table.snapshot(table.parts(spark), table.cut(spark))
+    table.expire(spark)
+    assert found() == ["1", "2"] and finished(spark, f"{table.path}/log", "run", "batch_id") == [("main", "1")]
+    table.snapshot(table.parts(spark), table.cut(spark))
+    table.expire(spark)
+    assert found() == ["1", "2"] and table.snapshots(spark) == [1, 2]
+
+
+def test_replay_into_a_compacted_store_adds_what_is_missing(spark):
+    path, store = staging_dir(spark, "in"), DocumentStore(staging_dir(spark, "store"), 8)
+    land(spark, path, 0, [change("c", 1, 100), change("c", 2, 100)])
+    checkpoint = staging_dir(spark, "offsets")
+    run(spark, path, store, checkpoint)
+    land(spark, path, 10, [change("u", 1, 200)])
+    run(spark, path, store, checkpoint)
+    store.compact(spark)
+    other = staging_dir(spark, "other")
+    land(spark, other, 0, [change("u", 2, 300), change("c", 3, 5)])
+    run(spark, other, store, staging_dir(spark, "offsets"))
+    want = {"1": (200, False, None), "2": (300, False, None), "3": (5, False, None)}
+    assert state(spark, store) == want
+    # Enrichment is part of the next snapshot.
+    summaries = spark.createDataFrame(
+        [("enwiki", "A page", "standard", "About it", None)],
+        "wiki string, title string, type string, extract string, description string",
+    )
+    store.enrich(spark, summaries)
+    store.compact(spark)
+    assert store.docs.parts(spark).count() == 3
+    assert {s for _, _, s in state(spark, store).values()} == {"About it"}
+    run(spark, path, store, staging_dir(spark, "offsets"))
+    assert {k: v[0] for k, v in state(spark, store).items()} == {k: v[0] for k, v in want.items()}

@@ -43,6 +43,15 @@ def stream_compacted(spark, sf_dir):
     return feed.state_cols(store.state(spark))
 
 
+def stream_replay(spark, sf_dir):
+    """The same after a replay of the whole log, with a new checkpoint, into a compacted store."""
+    store = synced(spark, sf_dir)
+    store.compact(spark)
+    messages = landed(feed.messages(spark, sf_dir), "messages")
+    jobs.sync_changes(messages, store, staging_dir(spark, "offsets"), None).awaitTermination()
+    return feed.state_cols(store.state(spark))
+
+
 def stream_dead_letters(spark, sf_dir):
     bad = synced(spark, sf_dir).dead_letters.parts(spark)
     decoded = ~F.col("payload").startswith('{"_raw":')
@@ -92,6 +101,7 @@ def queries():
     return {
         "stream_index": stream_index,
         "stream_compacted": stream_compacted,
+        "stream_replay": stream_replay,
         "stream_dead_letters": stream_dead_letters,
         "stream_pages": stream_pages,
         "stream_repo_dedup": stream_repo_dedup,
@@ -109,6 +119,7 @@ def oracle_sql():
     return {
         "stream_index": state,
         "stream_compacted": state,
+        "stream_replay": state,
         "stream_dead_letters": o.dead_letters(),
         "stream_pages": o.edit_fold(),
         "stream_repo_dedup": f"SELECT * EXCLUDE (seq) FROM ({o.repo_events()}) r",

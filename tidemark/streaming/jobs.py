@@ -6,7 +6,10 @@ repeats exactly that batch, and the store makes the repetition harmless.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -31,22 +34,38 @@ def _start(
     return writer.trigger(processingTime=f"{seconds} seconds").start()
 
 
+def run_of(checkpoint: str) -> Callable[[SparkSession], str]:
+    """The identity that Spark gives a checkpoint: the same after a restart, another one where
+    the checkpoint is new. It is there once a batch runs, and read with the first."""
+    known: list[str] = []
+
+    def run(spark: SparkSession) -> str:
+        if not known:
+            known.append(json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"])
+        return known[0]
+
+    return run
+
+
 def sync_changes(
     messages: DataFrame, store: DocumentStore, checkpoint: str, seconds: float | None = SYNC_SECONDS
 ) -> StreamingQuery:
     """Change messages into the document store, rejected ones into its dead letters.
 
     There is no watermark: however late a change is, its version decides. Rebuilding the
-    index is this job with a new checkpoint and an empty store.
+    index is this job with a new checkpoint and an empty store; with a new checkpoint and the
+    same store it is a replay, which changes only what was missing.
     """
+    run = run_of(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         parsed = parse_changelog(batch).persist()
         try:
             if parsed.isEmpty():
                 return
-            store.write_changes(changes_of(parsed), batch_id)
-            store.dead_letters.write_batch(dead_letters_of(parsed), batch_id)
+            own = run(batch.sparkSession)
+            store.write_changes(changes_of(parsed), batch_id, own)
+            store.dead_letters.write_batch(dead_letters_of(parsed), batch_id, own)
         finally:
             parsed.unpersist()
 
@@ -58,9 +77,14 @@ def ingest_edits(
 ) -> StreamingQuery:
     """Edits into the page store. Page keys ignore case and accents, which streaming state
     does not support, so each batch is folded as a batch."""
+    run = run_of(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.write_edits(batch, batch_id)
+        parsed = batch.persist()
+        try:
+            store.write_edits(parsed, batch_id, run(batch.sparkSession))
+        finally:
+            parsed.unpersist()
 
     return _start(edits.writeStream.foreachBatch(write), checkpoint, seconds)
 
@@ -103,9 +127,10 @@ def stream_rates(
     if lateness is not None:
         events = events.withWatermark(time, lateness)
     table = BatchTable(path, RATE)
+    run = run_of(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        table.write_batch(batch, batch_id)
+        table.write_batch(batch, batch_id, run(batch.sparkSession))
 
     rates = windowed_rate(events, time, label, width_s, slide_s)
     writer = rates.writeStream.outputMode("update").foreachBatch(write)

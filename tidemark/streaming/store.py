@@ -1,8 +1,12 @@
 """Log-structured tables written by streams: one folder per batch, merged when read.
 
 A batch overwrites its own folder, so a retried batch cannot count twice. Readers combine
-the latest snapshot with the batches after it; folding is associative, so neither the cut
-into batches nor the moment of a snapshot changes what is read.
+the latest snapshot with the batches it does not cover; folding is associative, so neither the
+cut into batches nor the moment of a snapshot changes what is read.
+
+Folders are named by run and batch. A run is one checkpoint: a replay with a new checkpoint,
+which numbers its batches from 0 again, is a run of its own and hides behind no snapshot. What
+counts as written is read from folder names and their success marks, without a job.
 """
 
 from __future__ import annotations
@@ -10,7 +14,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import DEFAULT_DIMS
 from tidemark.operators import edits as edit_ops
@@ -28,51 +31,105 @@ STORED_PAGE = """
     first_seq BIGINT, last_seq BIGINT
 """
 
+COVERS = "run STRING, upto BIGINT"
+
+# The run of batches written without a checkpoint, and that of enrichment.
+MAIN, ENRICHMENT = "main", "enrichment"
+
 DEAD_LETTER = "error STRING, payload STRING, raw STRING, key STRING, seq BIGINT"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def finished(spark: SparkSession, path: str, *names: str) -> list[tuple[str, ...]]:
+    """Values of the ``name=value`` folders below ``path`` whose write has ended."""
+    pattern = "/".join([path, *(f"{name}=*" for name in names), "_SUCCESS"])
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    folders = [status.getPath().toString().split("/")[-len(names) - 1 : -1] for status in found or []]
+    return [tuple(folder.split("=", 1)[1] for folder in each) for each in folders]
+
+
+def delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@dataclass(frozen=True)
+class Cut:
+    """What there is of a table at one moment: the newest snapshot, up to which batch of each
+    run it goes, and the finished batches after it."""
+
+    snapshot: int | None
+    covers: dict[str, int]
+    batches: list[tuple[str, int]]
+
+    def upto(self) -> dict[str, int]:
+        """The newest batch of each run. Batches of one run end in order."""
+        newest = dict(self.covers)
+        for run, batch in self.batches:
+            newest[run] = max(batch, newest.get(run, batch))
+        return newest
 
 
 @dataclass(frozen=True)
 class BatchTable:
-    """A table kept as ``log/batch_id=N`` folders and ``snapshots/upto=N`` folders."""
+    """A table kept as ``log/run=R/batch_id=N`` and ``snapshots/number=N`` folders. A snapshot
+    counts once ``covers/number=N``, written after it, says what it covers. One compaction at a
+    time, beside any number of readers and writers."""
 
     path: str
     schema: str
 
-    def write_batch(self, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/log/batch_id={batch_id}")
-
-    def _read(self, spark: SparkSession, folder: str, number: str) -> DataFrame:
-        schema = f"{self.schema}, {number} BIGINT"
-        if not exists(spark, f"{self.path}/{folder}"):
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).parquet(f"{self.path}/{folder}")
-
-    def newest(self, spark: SparkSession) -> int | None:
-        """The number of the newest batch written so far."""
-        return self._read(spark, "log", "batch_id").agg(F.max("batch_id")).first()[0]
-
-    def parts(self, spark: SparkSession, until: int | None = None) -> DataFrame:
-        """The rows to combine: the newest snapshot and every batch after it, or those of them
-        up to ``until``. Folders are partitions, so older ones are never opened."""
-        snapshots = self._read(spark, "snapshots", "upto")
-        upto = snapshots.agg(F.max("upto")).first()[0]
-        log = self._read(spark, "log", "batch_id")
-        if until is not None:
-            log = log.where(F.col("batch_id") <= until)
-        if upto is None:
-            return log.drop("batch_id")
-        newer = log.where(F.col("batch_id") > upto).drop("batch_id")
-        return snapshots.where(F.col("upto") == upto).drop("upto").unionByName(newer)
-
-    def snapshot(self, combined: DataFrame, upto: int) -> None:
-        """Store the state of the batches up to ``upto`` as the new starting point of readers."""
+    def batch_path(self, run: str, batch_id: int) -> str:
+        return f"{self.path}/log/run={run}/batch_id={batch_id}"
+
+    def write_batch(self, rows: DataFrame, batch_id: int, run: str = MAIN) -> None:
+        rows.write.mode("overwrite").parquet(self.batch_path(run, batch_id))
+
+    def snapshots(self, spark: SparkSession) -> list[int]:
+        return sorted(int(number) for (number,) in finished(spark, f"{self.path}/covers", "number"))
+
+    def covers(self, spark: SparkSession, number: int) -> dict[str, int]:
+        rows = spark.read.schema(COVERS).parquet(f"{self.path}/covers/number={number}").collect()
+        return {row["run"]: row["upto"] for row in rows}
+
+    def cut(self, spark: SparkSession) -> Cut:
+        """The snapshot is looked up before the batches, so none can fall between them."""
+        numbers = self.snapshots(spark)
+        newest = numbers[-1] if numbers else None
+        covers = {} if newest is None else self.covers(spark, newest)
+        written = [(run, int(batch)) for run, batch in finished(spark, f"{self.path}/log", "run", "batch_id")]
+        return Cut(newest, covers, [(run, batch) for run, batch in written if batch > covers.get(run, -1)])
+
+    def parts(self, spark: SparkSession, cut: Cut | None = None) -> DataFrame:
+        """The rows to combine: of a moment, or of now."""
+        cut = cut or self.cut(spark)
+        folders = [self.batch_path(run, batch) for run, batch in cut.batches]
+        if cut.snapshot is not None:
+            folders.append(f"{self.path}/snapshots/number={cut.snapshot}")
+        if not folders:
+            return spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(*folders)
+
+    def snapshot(self, combined: DataFrame, cut: Cut) -> None:
+        """Store the state of a moment as the new starting point of readers."""
+        number = 0 if cut.snapshot is None else cut.snapshot + 1
         names = [field.split()[0] for field in self.schema.replace("\n", " ").split(",")]
-        combined.select(*names).write.mode("overwrite").parquet(f"{self.path}/snapshots/upto={upto}")
+        combined.select(*names).write.mode("overwrite").parquet(f"{self.path}/snapshots/number={number}")
+        covers = combined.sparkSession.createDataFrame(sorted(cut.upto().items()), COVERS)
+        covers.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/covers/number={number}")
+
+    def expire(self, spark: SparkSession) -> None:
+        """Remove what only readers from before the last snapshot but one could still ask for."""
+        numbers = self.snapshots(spark)
+        if len(numbers) < 2:
+            return
+        covers = self.covers(spark, numbers[-2])
+        for run, batch in finished(spark, f"{self.path}/log", "run", "batch_id"):
+            if int(batch) <= covers.get(run, -1):
+                delete(spark, self.batch_path(run, int(batch)))
+        for number in numbers[:-2]:
+            delete(spark, f"{self.path}/covers/number={number}")
+            delete(spark, f"{self.path}/snapshots/number={number}")
 
 
 class DocumentStore:
@@ -81,48 +138,49 @@ class DocumentStore:
     def __init__(self, path: str, dims: int = DEFAULT_DIMS):
         self.dims = dims
         self.docs = BatchTable(f"{path}/docs", STORED_DOC)
-        self.enriched = BatchTable(f"{path}/enriched", STORED_DOC)
         self.dead_letters = BatchTable(f"{path}/dead_letters", DEAD_LETTER)
 
-    def write_changes(self, changes: DataFrame, batch_id: int) -> None:
+    def write_changes(self, changes: DataFrame, batch_id: int, run: str = MAIN) -> None:
         """Collapse a batch of changes, embed what is live, and store it in source form."""
         newest = fold.source_form(fold.latest_per_id(changes)).drop("op")
-        self.docs.write_batch(embed_documents(newest, self.dims), batch_id)
+        self.docs.write_batch(embed_documents(newest, self.dims), batch_id, run)
 
-    def state(self, spark: SparkSession, until: int | None = None) -> DataFrame:
-        """The newest document per id, of all batches or of those up to ``until``."""
-        written = self.docs.parts(spark, until).unionByName(self.enriched.parts(spark))
-        return fold.conform(fold.latest_per_id(written), self.dims)
+    def state(self, spark: SparkSession, cut: Cut | None = None) -> DataFrame:
+        """The newest document per id, of now or of a moment."""
+        return fold.conform(fold.latest_per_id(self.docs.parts(spark, cut)), self.dims)
 
     def compact(self, spark: SparkSession) -> None:
         """The batches to take in are settled first: one that lands meanwhile stays after them."""
-        until = self.docs.newest(spark)
-        if until is not None:
-            self.docs.snapshot(self.state(spark, until), until)
+        cut = self.docs.cut(spark)
+        if cut.batches:
+            self.docs.snapshot(self.state(spark, cut), cut)
 
-    def enrich(self, spark: SparkSession, summaries: DataFrame, run: int) -> None:
+    def enrich(self, spark: SparkSession, summaries: DataFrame) -> None:
         """Add summaries to documents that lack one. Documents were searchable before; a
-        newer edit that arrives meanwhile wins over what is written here."""
-        found = enrich(self.state(spark), summaries)
-        self.enriched.write_batch(embed_documents(found, self.dims), run)
+        newer edit that arrives meanwhile wins over what is written here. One at a time."""
+        cut = self.docs.cut(spark)
+        found = enrich(self.state(spark, cut), summaries)
+        number = cut.upto().get(ENRICHMENT, -1) + 1
+        self.docs.write_batch(embed_documents(found, self.dims), number, ENRICHMENT)
 
 
 class PageStore:
-    """The system of record: one partly folded page per batch and key."""
+    """The system of record: one partly folded page per batch and key. Edits add up, so a new
+    checkpoint is for edits that no other has brought."""
 
     def __init__(self, path: str):
         self.pages = BatchTable(f"{path}/pages", STORED_PAGE)
         self.rejected = BatchTable(f"{path}/rejected", f"{EDIT}, arrived_at TIMESTAMP, error STRING")
 
-    def write_edits(self, edits: DataFrame, batch_id: int) -> None:
+    def write_edits(self, edits: DataFrame, batch_id: int, run: str = MAIN) -> None:
         good, bad = edit_ops.split_too_wide(edits)
-        self.pages.write_batch(edit_ops.fold_edits(good), batch_id)
-        self.rejected.write_batch(bad, batch_id)
+        self.pages.write_batch(edit_ops.fold_edits(good), batch_id, run)
+        self.rejected.write_batch(bad, batch_id, run)
 
-    def state(self, spark: SparkSession, until: int | None = None) -> DataFrame:
-        return edit_ops.combine_pages(self.pages.parts(spark, until))
+    def state(self, spark: SparkSession, cut: Cut | None = None) -> DataFrame:
+        return edit_ops.combine_pages(self.pages.parts(spark, cut))
 
     def compact(self, spark: SparkSession) -> None:
-        until = self.pages.newest(spark)
-        if until is not None:
-            self.pages.snapshot(self.state(spark, until), until)
+        cut = self.pages.cut(spark)
+        if cut.batches:
+            self.pages.snapshot(self.state(spark, cut), cut)
