@@ -318,7 +318,10 @@ def by_digest(crowded: DataFrame) -> DataFrame:
 
 def covered(rows: DataFrame) -> DataFrame:
     """``doc, version, lo, hi``: windows (by first and last start) that also start earlier."""
-    often = anchored(rows, only_hash=True).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # Written, so that the join below may split a hash that very many windows have.
+    often = keep(
+        anchored(rows, only_hash=True).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often"
+    )
     repeated = keep(anchored(rows).join(often, "h"), "anchors")
     classes = keep(
         repeated.groupBy("h", "context").agg(F.min(F.struct("doc", "lo", "version", "width", "reach")).alias("first")),
