@@ -230,6 +230,20 @@ def test_one_of_each_group_stays(spark, odd, empty):
     assert similar.one_of_each(empty).count() == 0
 
 
+@pytest.mark.parametrize("crowded", [32, 4])
+def test_groups_of_many_near_copies(spark, monkeypatch, crowded):
+    monkeypatch.setattr(similar, "CROWDED", crowded)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    bases = [[word() for _ in range(300)] for _ in range(2)]
+    docs = []
+    for n in range(100):
+        words = list(bases[n % 2])
+        words[rng.randrange(300)] = word()
+        docs.append((n, " ".join(words), "s", "h", "r", "k", 1))
+    assert sorted(r.doc_id for r in similar.one_of_each(spark.createDataFrame(docs, DOCS)).collect()) == [0, 1]
+
+
 def test_url_rules_and_hosts(spark):
     schema = "page_id bigint, url string, host string, path string, score double"
     found = [

@@ -8,8 +8,9 @@ whose fingerprints differ in too many bits in all go first, the others are compa
 their shingles. Groups are the connected components, and texts alike in all words are one from
 the start, so a group of exact copies is one row per task.
 
-In a crowded cell members meet its first one and the few others of a part of it, drawn anew in
-each cell, instead of all others: a pair missed in one cell has its other cells.
+In a crowded cell members meet its first one. Where that leaves several groups in the cell, they
+also meet those of other groups in a part of it, drawn anew in each cell, instead of all others:
+a pair missed in one cell has its other cells.
 
 Definitions: texts with fewer words than a shingle are one shingle; texts without words are alike;
 repeated rows are alike, and one row of each group stays: that with the smallest id, then the
@@ -88,29 +89,48 @@ def printed(docs: DataFrame, tables: int = TABLES) -> DataFrame:
     return numbered.mapInArrow(run, schema)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """``a, b``: pairs of classes that meet in a cell of any table."""
+def met_cells(classes: DataFrame) -> DataFrame:
+    """``cell, c, n, lead``: the cells of any table with several classes, written; ``n`` classes are
+    in the cell, ``lead`` is the least of them."""
     one = classes.select("_class", F.posexplode("_prints").alias("table", "fp"))
     cells = grid(one.select(F.struct("_class", "table", "fp").alias("fp")), F.col("fp.fp"))
     cells = cells.select(F.xxhash64("fp.table", "cell").alias("cell"), F.col("fp._class").alias("c"))
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lead")).where("n > 1")
-    shared = keep(cells.join(sizes, "cell"), "cells")
-    parts = F.ceil(F.col("n") / PART_ROWS).cast("int")
-    part = F.when(F.col("n") <= CROWDED, 0).otherwise(F.pmod(F.xxhash64("c", "cell"), parts))
-    dealt = shared.select("cell", part.alias("part"), "c")
+    return keep(cells.join(sizes, "cell"), "cells")
+
+
+def first_pairs(shared: DataFrame) -> DataFrame:
+    """``a, b``: all pairs of a cell that isn't crowded, and in a crowded one each with its first."""
+    dealt = shared.where(F.col("n") <= CROWDED).select("cell", "c")
     left, right = dealt.withColumnRenamed("c", "a"), dealt.withColumnRenamed("c", "b")
-    met = left.join(right, ["cell", "part"]).where("a < b").select("a", "b")
+    met = left.join(right, "cell").where("a < b").select("a", "b")
     led = shared.where((F.col("n") > CROWDED) & (F.col("c") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("c").alias("b"))
     return met.unionByName(led).distinct()
 
 
-def alike(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b``: candidates whose shingles are similar enough. ``texts`` has one row per class."""
+def further_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """``a, b``: of a crowded cell whose classes aren't in one group yet (``node, root``), those
+    that a draw puts together and that are in different groups."""
+    crowded = shared.where(F.col("n") > CROWDED).select("cell", "n", "c")
+    rooted = crowded.join(roots.withColumnRenamed("node", "c"), "c", "left")
+    rooted = keep(rooted.select("cell", "n", "c", F.coalesce("root", "c").alias("root")), "crowded")
+    groups = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    # Written, so that the join may split a very crowded cell.
+    split = keep(groups.where("low <> high").select("cell"), "split")
+    part = F.pmod(F.xxhash64("c", "cell"), F.ceil(F.col("n") / PART_ROWS).cast("int"))
+    dealt = rooted.join(split, "cell").select("cell", part.alias("part"), "c", "root")
+    left = dealt.withColumnsRenamed({"c": "a", "root": "root_a"})
+    right = dealt.withColumnsRenamed({"c": "b", "root": "root_b"})
+    return left.join(right, ["cell", "part"]).where("a < b and root_a <> root_b").select("a", "b").distinct()
+
+
+def alike(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (``a, b``) whose shingles are similar enough. ``texts`` has one row per
+    class."""
     prints = classes.select("_class", "_prints")
     bits = F.aggregate(
         F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n
     )
-    pairs = candidates(classes)
     pairs = pairs.join(prints.select(F.col("_class").alias("a"), F.col("_prints").alias("p")), "a")
     pairs = pairs.join(prints.select(F.col("_class").alias("b"), F.col("_prints").alias("q")), "b")
     pairs = keep(pairs.where(bits <= MOST_BITS).select("a", "b"), "pairs")
@@ -137,6 +157,15 @@ def alike(classes: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "s", "t").mapInArrow(compare, "a bigint, b bigint")
 
 
+def grouped(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node, root`` of the classes that have one alike. Members of one group aren't compared
+    again, so a crowded cell of near copies costs a row per member."""
+    shared = met_cells(classes)
+    roots = components(alike(first_pairs(shared), classes, texts))
+    more = alike(further_pairs(shared, roots), classes, texts)
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
     rows = keep(printed(docs), "printed")
@@ -146,7 +175,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     firsts = keep(firsts, "classes")
     leads = firsts.select(F.col("first.row").alias("_row"), "_class")
     texts = rows.join(leads, ["_row", "_class"], "left_semi")
-    roots = components(alike(texts.select("_class", "_prints"), texts.select("_class", F.col("doc.text").cast("string").alias("text"))))
+    roots = grouped(texts.select("_class", "_prints"), texts.select("_class", F.col("doc.text").cast("string").alias("text")))
     rooted = firsts.join(roots.withColumnRenamed("node", "_class"), "_class", "left")
     stays = rooted.groupBy(F.coalesce("root", "_class").alias("root")).agg(F.min("first").alias("first"))
     return rows.join(stays.select(F.col("first.row").alias("_row")), "_row", "left_semi").select("doc.*")
