@@ -8,9 +8,9 @@ whose fingerprints differ in too many bits in all go first, the others are compa
 their shingles. Groups are the connected components, and texts alike in all words are one from
 the start, so a group of exact copies is one row per task.
 
-In a crowded cell members meet its first one. Where that leaves several groups in the cell, they
-also meet those of other groups in a part of it, drawn anew in each cell, instead of all others:
-a pair missed in one cell has its other cells.
+The members of a cell meet its first one. Where that leaves several groups in the cell, members
+of different groups meet too: all of them, or in a crowded cell those in a part of it, drawn anew
+in each cell, so that a pair missed in one cell has its other cells.
 
 Definitions: texts with fewer words than a shingle are one shingle; texts without words are alike;
 repeated rows are alike, and one row of each group stays: that with the smallest id, then the
@@ -100,24 +100,20 @@ def met_cells(classes: DataFrame) -> DataFrame:
 
 
 def first_pairs(shared: DataFrame) -> DataFrame:
-    """``a, b``: all pairs of a cell that isn't crowded, and in a crowded one each with its first."""
-    dealt = shared.where(F.col("n") <= CROWDED).select("cell", "c")
-    left, right = dealt.withColumnRenamed("c", "a"), dealt.withColumnRenamed("c", "b")
-    met = left.join(right, "cell").where("a < b").select("a", "b")
-    led = shared.where((F.col("n") > CROWDED) & (F.col("c") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("c").alias("b"))
-    return met.unionByName(led).distinct()
+    """``a, b``: each class of a cell with the cell's first."""
+    return shared.where("c <> lead").select(F.col("lead").alias("a"), F.col("c").alias("b")).distinct()
 
 
 def further_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """``a, b``: of a crowded cell whose classes aren't in one group yet (``node, root``), those
-    that a draw puts together and that are in different groups."""
-    crowded = shared.where(F.col("n") > CROWDED).select("cell", "n", "c")
-    rooted = crowded.join(roots.withColumnRenamed("node", "c"), "c", "left")
-    rooted = keep(rooted.select("cell", "n", "c", F.coalesce("root", "c").alias("root")), "crowded")
+    """``a, b``: of cells whose classes aren't in one group yet (``node, root``), the pairs of
+    different groups; in a crowded cell those that a draw puts together."""
+    rooted = shared.select("cell", "n", "c").join(roots.withColumnRenamed("node", "c"), "c", "left")
+    rooted = keep(rooted.select("cell", "n", "c", F.coalesce("root", "c").alias("root")), "rooted")
     groups = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     # Written, so that the join may split a very crowded cell.
     split = keep(groups.where("low <> high").select("cell"), "split")
-    part = F.pmod(F.xxhash64("c", "cell"), F.ceil(F.col("n") / PART_ROWS).cast("int"))
+    drawn = F.pmod(F.xxhash64("c", "cell"), F.ceil(F.col("n") / PART_ROWS).cast("int"))
+    part = F.when(F.col("n") <= CROWDED, 0).otherwise(drawn)
     dealt = rooted.join(split, "cell").select("cell", part.alias("part"), "c", "root")
     left = dealt.withColumnsRenamed({"c": "a", "root": "root_a"})
     right = dealt.withColumnsRenamed({"c": "b", "root": "root_b"})
