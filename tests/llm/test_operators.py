@@ -230,9 +230,9 @@ def test_one_of_each_group_stays(spark, odd, empty):
     assert similar.one_of_each(empty).count() == 0
 
 
-@pytest.mark.parametrize("crowded", [32, 4])
-def test_groups_of_many_near_copies(spark, monkeypatch, crowded):
-    monkeypatch.setattr(similar, "CROWDED", crowded)
+@pytest.mark.parametrize("block", [256, 4])
+def test_groups_of_many_near_copies(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     bases = [[word() for _ in range(300)] for _ in range(2)]
@@ -244,6 +244,26 @@ def test_groups_of_many_near_copies(spark, monkeypatch, crowded):
     assert sorted(r.doc_id for r in similar.one_of_each(spark.createDataFrame(docs, DOCS)).collect()) == [0, 1]
 
 
+@pytest.mark.parametrize("block", [256, 5])
+def test_members_of_different_groups_all_meet(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = random.Random(6)
+    shared = [f"w{n}" for n in range(100)]
+    texts = [" ".join([*shared, *(f"x{rng.randrange(10**6)}" for _ in range(rng.randint(0, 12)))]) for _ in range(60)]
+    rooted = [("cell", n, rng.choice([0, 0, n])) for n in range(60)]
+    met = spark.createDataFrame([(1, c, r) for _, c, r in rooted], "cell bigint, c bigint, root bigint")
+    classes = spark.createDataFrame([(n, [n - 30] * 6, t) for n, t in enumerate(texts)], "_class bigint, _prints array<bigint>, text string")
+    roots = met.selectExpr("c AS node", "root")
+    found = similar.further_pairs(met.select("cell", "c"), roots, classes.select("_class", "_prints"), classes.select("_class", "text")).collect()
+    sets = [set(np.frombuffer(similar.shingles(t), dtype="<u8").tolist()) for t in texts]
+    bits = lambda a, b: 6 * (((a - 30) ^ (b - 30)) % 2**64).bit_count()
+    wanted = {
+        (a, b) for b in range(60) for a in range(b)
+        if rooted[a][2] != rooted[b][2] and bits(a, b) <= similar.MOST_BITS and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    }
+    assert wanted and wanted <= {(r.a, r.b) for r in found} and len(found) == len({(r.a, r.b) for r in found})
+
+
 def test_url_rules_and_hosts(spark):
     schema = "page_id bigint, url string, host string, path string, score double"
     found = [

@@ -8,9 +8,9 @@ whose fingerprints differ in too many bits in all go first, the others are compa
 their shingles. Groups are the connected components, and texts alike in all words are one from
 the start, so a group of exact copies is one row per task.
 
-The members of a cell meet its first one. Where that leaves several groups in the cell, members
-of different groups meet too: all of them, or in a crowded cell those in a part of it, drawn anew
-in each cell, so that a pair missed in one cell has its other cells.
+The members of a cell meet its first one. Where that leaves several groups in the cell, all members
+of different groups are looked at too, block by block, by prints and by a sketch of their shingles;
+no cell is too crowded for that, and only pairs that the sketch leaves likely become rows.
 
 Definitions: texts with fewer words than a shingle are one shingle; texts without words are alike;
 repeated rows are alike, and one row of each group stays: that with the smallest id, then the
@@ -37,8 +37,12 @@ SIMILARITY = 0.8
 TABLES = 6
 # Bits in which the fingerprints of a candidate pair may differ, over all tables.
 MOST_BITS = 9 * TABLES
-CROWDED = 32
-PART_ROWS = 8
+# Members of a cell compared at a time, per side.
+BLOCK = 256
+# Ranges of a sketch, and the estimate from which a pair is compared exactly: 2.8 standard errors
+# below ``SIMILARITY`` for long texts, more for short ones.
+BINS = 512
+LIKELY = 0.75
 
 
 def weighted_prints(words: list[bytes], tables: int) -> list[int]:
@@ -90,13 +94,16 @@ def printed(docs: DataFrame, tables: int = TABLES) -> DataFrame:
 
 
 def met_cells(classes: DataFrame) -> DataFrame:
-    """``cell, c, n, lead``: the cells of any table with several classes, written; ``n`` classes are
-    in the cell, ``lead`` is the least of them."""
+    """``cell, c, lead``: the cells of any table with several classes, written; ``lead`` is the least
+    class of the cell. Of cells that hold the same classes one is enough."""
     one = classes.select("_class", F.posexplode("_prints").alias("table", "fp"))
     cells = grid(one.select(F.struct("_class", "table", "fp").alias("fp")), F.col("fp.fp"))
     cells = cells.select(F.xxhash64("fp.table", "cell").alias("cell"), F.col("fp._class").alias("c"))
-    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lead")).where("n > 1")
-    return keep(cells.join(sizes, "cell"), "cells")
+    held = cells.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("c").alias("lead"), F.max("c").alias("last"), F.bit_xor(F.xxhash64("c")).alias("all")
+    )
+    chosen = held.where("n > 1").groupBy("n", "lead", "last", "all").agg(F.min("cell").alias("cell"))
+    return keep(cells.join(chosen.select("cell", "lead"), "cell"), "cells")
 
 
 def first_pairs(shared: DataFrame) -> DataFrame:
@@ -104,20 +111,88 @@ def first_pairs(shared: DataFrame) -> DataFrame:
     return shared.where("c <> lead").select(F.col("lead").alias("a"), F.col("c").alias("b")).distinct()
 
 
-def further_pairs(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """``a, b``: of cells whose classes aren't in one group yet (``node, root``), the pairs of
-    different groups; in a crowded cell those that a draw puts together."""
-    rooted = shared.select("cell", "n", "c").join(roots.withColumnRenamed("node", "c"), "c", "left")
-    rooted = keep(rooted.select("cell", "n", "c", F.coalesce("root", "c").alias("root")), "rooted")
+def sketched(texts: DataFrame) -> DataFrame:
+    """``_class, sketch``: of the shingles' hashes in each of ``BINS`` ranges one byte of the least,
+    and which ranges have any. The share of equal bytes estimates the similarity."""
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for text in batch.column("text").to_pylist():
+                hashes = np.frombuffer(shingles(text), dtype="<u8")
+                # Sorted, so that the first of each range is its least.
+                places, first = np.unique(hashes >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
+                sketch = np.zeros(2 * BINS, dtype=np.uint8)
+                sketch[places] = (hashes[first] & np.uint64(255)).astype(np.uint8)
+                sketch[BINS + places.astype(np.int64)] = 1
+                found.append(sketch.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("_class"), pa.array(found, pa.binary())], ["_class", "sketch"])
+
+    return texts.mapInArrow(run, "_class bigint, sketch binary")
+
+
+def likely_pairs(block: pa.Table) -> pa.Table:
+    """``a, b`` of a block: members of different groups that may be alike. Sides 0 and 1 meet each
+    other, those of side 2 all others."""
+    number, root, side = (block.column(c).to_numpy() for c in ("c", "root", "side"))
+    prints = np.array(block.column("_prints").to_pylist(), dtype=np.int64).view(np.uint64)
+    sketch = np.frombuffer(b"".join(block.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(number), 2, BINS)
+    least, filled = sketch[:, 0], sketch[:, 1].astype(bool)
+    found: list[tuple] = []
+    for at in range(len(number)):
+        others = np.flatnonzero((number > number[at]) & (root != root[at]) & ((side != side[at]) | (side == 2)))
+        others = others[np.bitwise_count(prints[others] ^ prints[at]).sum(axis=1) <= MOST_BITS]
+        either = filled[others] | filled[at]
+        same = (filled[others] & filled[at]) & (least[others] == least[at])
+        others = others[same.sum(axis=1) >= LIKELY * either.sum(axis=1)]
+        found.extend((number[at], other) for other in number[others])
+    a, b = zip(*found) if found else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def blocks_of(met: DataFrame) -> DataFrame:
+    """Rows of ``met`` dealt to blocks of about ``BLOCK`` per side, so that all members of a cell's
+    different groups meet. Those of its largest group meet only the others, not each other."""
+    sizes = met.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(
+        F.max(F.struct("k", "root")).alias("most"), F.sum("k").alias("n")
+    )
+    sizes = keep(sizes.select("cell", "most.k", F.col("most.root").alias("major"), "n"), "sizes")
+    rows = met.join(sizes, "cell")
+    parts = lambda size: F.greatest(F.ceil(size / BLOCK), F.lit(1)).cast("int")
+    large, small = parts(F.col("k")), parts(F.col("n") - F.col("k"))
+    mine = lambda count: F.pmod(F.xxhash64("c", "cell"), count).cast("int")
+    each = lambda count, place: F.transform(F.sequence(F.lit(0), count - 1), place)
+    place = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+    zero = F.lit(0)
+    of_major = each(small, lambda j: place(1, mine(large), j, F.lit(0)))
+    to_major = each(large, lambda i: place(1, i, mine(small), F.lit(1)))
+    among = each(
+        small,
+        lambda k: place(
+            2, F.least(mine(small), k), F.greatest(mine(small), k),
+            F.when(mine(small) == k, 2).when(mine(small) < k, 0).otherwise(1),
+        ),
+    )
+    where = F.when(F.col("n") <= BLOCK, F.array(place(0, zero, zero, F.lit(2))))
+    where = where.when(F.col("root") == F.col("major"), of_major).otherwise(F.concat(to_major, among))
+    return rows.select("cell", "c", "root", F.inline(where))
+
+
+def further_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b``: of cells whose classes aren't in one group yet (``node, root``), all pairs of
+    different groups that their prints and sketches leave likely. Pairs are looked at within
+    blocks, and only likely ones become rows."""
+    rooted = shared.select("cell", "c").join(roots.withColumnRenamed("node", "c"), "c", "left")
+    rooted = keep(rooted.select("cell", "c", F.coalesce("root", "c").alias("root")), "rooted")
     groups = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     # Written, so that the join may split a very crowded cell.
     split = keep(groups.where("low <> high").select("cell"), "split")
-    drawn = F.pmod(F.xxhash64("c", "cell"), F.ceil(F.col("n") / PART_ROWS).cast("int"))
-    part = F.when(F.col("n") <= CROWDED, 0).otherwise(drawn)
-    dealt = rooted.join(split, "cell").select("cell", part.alias("part"), "c", "root")
-    left = dealt.withColumnsRenamed({"c": "a", "root": "root_a"})
-    right = dealt.withColumnsRenamed({"c": "b", "root": "root_b"})
-    return left.join(right, ["cell", "part"]).where("a < b and root_a <> root_b").select("a", "b").distinct()
+    met = keep(rooted.join(split, "cell", "left_semi"), "met")
+    used = met.select(F.col("c").alias("_class")).distinct()
+    marks = keep(sketched(texts.join(used, "_class", "left_semi")).join(classes.select("_class", "_prints"), "_class"), "sketches")
+    dealt = blocks_of(met).join(marks.withColumnRenamed("_class", "c"), "c")
+    keys = ["cell", "kind", "i", "j"]
+    return dealt.groupBy(*keys).applyInArrow(likely_pairs, "a bigint, b bigint").distinct()
 
 
 def alike(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -158,7 +233,7 @@ def grouped(classes: DataFrame, texts: DataFrame) -> DataFrame:
     again, so a crowded cell of near copies costs a row per member."""
     shared = met_cells(classes)
     roots = components(alike(first_pairs(shared), classes, texts))
-    more = alike(further_pairs(shared, roots), classes, texts)
+    more = alike(further_pairs(shared, roots, classes, texts), classes, texts)
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
