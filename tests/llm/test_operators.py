@@ -264,6 +264,33 @@ def test_members_of_different_groups_all_meet(spark, monkeypatch, block):
     assert wanted and wanted <= {(r.a, r.b) for r in found} and len(found) == len({(r.a, r.b) for r in found})
 
 
+def edited(rng, word, kind, similarity):
+    """A text of invented words and a copy with one passage changed, whose shingles are about so similar."""
+    words = [word() for _ in range(rng.randint(80, 400))]
+    n = int(len(words) * (1 / similarity - 1 if kind == "appended" else 1 - similarity if kind == "truncated" else (1 - similarity) / (1 + similarity))) - 4
+    at = rng.randrange(len(words) - n)
+    if kind == "appended":
+        return words, [*words, *(word() for _ in range(n))]
+    if kind == "truncated":
+        return words, words[: len(words) - n - 2]
+    return words, [*words[:at], *(word() for _ in range(n)), *words[at + n :]]
+
+
+def test_every_pair_alike_is_found(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    texts = []
+    for n in range(180):
+        kind = ("appended", "replaced", "truncated")[n % 3]
+        texts += [" ".join(words) for words in edited(rng, word, kind, rng.choice([0.8, 0.83, 0.87, 0.95]))]
+    sets = [set(np.frombuffer(similar.shingles(t), dtype="<u8").tolist()) for t in texts]
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    wanted = [n for n in range(len(texts)) if n % 2 == 0 or not alike(n - 1, n)]
+    assert 180 < len(wanted) < 260
+    docs = [(n, t, "s", "h", "r", "k", 1) for n, t in enumerate(texts)]
+    assert sorted(r.doc_id for r in similar.one_of_each(spark.createDataFrame(docs, DOCS)).collect()) == wanted
+
+
 def test_url_rules_and_hosts(spark):
     schema = "page_id bigint, url string, host string, path string, score double"
     found = [

@@ -1,16 +1,17 @@
-"""Near-duplicate texts by their word shingles, found with SimHash fingerprints.
+"""Near-duplicate texts by their word shingles: a quick round by fingerprints, then an exact one.
 
 Texts are alike when the Jaccard similarity of their sets of five-word shingles is 0.8 or more.
-Candidates come from several fingerprints of a text's words, each word weighing the square root
-of its count: texts that similar differ in few words. Fingerprints meet in the grid cells of
-``simhash``; cells find every pair of points at most 2 apart in Manhattan distance. Candidates
-whose fingerprints differ in too many bits in all go first, the others are compared exactly by
-their shingles. Groups are the connected components, and texts alike in all words are one from
-the start, so a group of exact copies is one row per task.
-
-The members of a cell meet its first one. Where that leaves several groups in the cell, all members
-of different groups are looked at too, block by block, by prints and by a sketch of their shingles;
-no cell is too crowded for that, and only pairs that the sketch leaves likely become rows.
+The first round only saves work: several fingerprints of a text's words, each word weighing the
+square root of its count, meet in the grid cells of ``simhash``, the members of a cell meet its
+first one, and candidates are compared exactly. Texts alike in all words are one from the start.
+
+The second round finds every pair of different groups that is alike, by prefixes: shingles that no
+other group has come first, then the rarer ones. Texts alike share one of the first
+``held - least + 1`` shingles that other groups have too, where ``held`` counts those of a text and
+``least`` is how many of its own it must share; a text that holds fewer is alike to none. The
+members of such a cell meet its first one. Where that leaves several groups in the cell, all members
+of different groups are looked at, block by block, by sketches; no cell is too crowded for that, and only pairs that the
+sketches leave likely become rows and are compared exactly. Groups are the connected components.
 
 Definitions: texts with fewer words than a shingle are one shingle; texts without words are alike;
 repeated rows are alike, and one row of each group stays: that with the smallest id, then the
@@ -35,7 +36,8 @@ from tidemark.llm.simhash import grid
 SHINGLE = 5
 SIMILARITY = 0.8
 TABLES = 6
-# Bits in which the fingerprints of a candidate pair may differ, over all tables.
+# Bits in which the fingerprints of a pair of the first round may differ, over all tables; the
+# second round looks at the others.
 MOST_BITS = 9 * TABLES
 # Members of a cell compared at a time, per side.
 BLOCK = 256
@@ -43,6 +45,8 @@ BLOCK = 256
 # below ``SIMILARITY`` for long texts, more for short ones.
 BINS = 512
 LIKELY = 0.75
+# Hashes per batch of rows.
+SPREAD = 1 << 17
 
 
 def weighted_prints(words: list[bytes], tables: int) -> list[int]:
@@ -94,11 +98,15 @@ def printed(docs: DataFrame, tables: int = TABLES) -> DataFrame:
 
 
 def met_cells(classes: DataFrame) -> DataFrame:
-    """``cell, c, lead``: the cells of any table with several classes, written; ``lead`` is the least
-    class of the cell. Of cells that hold the same classes one is enough."""
+    """``cell, c, lead``: the cells of any table with several classes, see ``distinct_cells``."""
     one = classes.select("_class", F.posexplode("_prints").alias("table", "fp"))
     cells = grid(one.select(F.struct("_class", "table", "fp").alias("fp")), F.col("fp.fp"))
-    cells = cells.select(F.xxhash64("fp.table", "cell").alias("cell"), F.col("fp._class").alias("c"))
+    return distinct_cells(cells.select(F.xxhash64("fp.table", "cell").alias("cell"), F.col("fp._class").alias("c")))
+
+
+def distinct_cells(cells: DataFrame) -> DataFrame:
+    """``cells`` (``cell, c``) with several classes, and ``lead``, the least class of the cell;
+    written. Of cells that hold the same classes one is enough."""
     held = cells.groupBy("cell").agg(
         F.count(F.lit(1)).alias("n"), F.min("c").alias("lead"), F.max("c").alias("last"), F.bit_xor(F.xxhash64("c")).alias("all")
     )
@@ -111,6 +119,60 @@ def first_pairs(shared: DataFrame) -> DataFrame:
     return shared.where("c <> lead").select(F.col("lead").alias("a"), F.col("c").alias("b")).distinct()
 
 
+def near_prints(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (``a, b``) that are worth comparing in the first round."""
+    prints = classes.select("_class", "_prints")
+    bits = F.aggregate(
+        F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n
+    )
+    pairs = pairs.join(prints.select(F.col("_class").alias("a"), F.col("_prints").alias("p")), "a")
+    pairs = pairs.join(prints.select(F.col("_class").alias("b"), F.col("_prints").alias("q")), "b")
+    return pairs.where(bits <= MOST_BITS).select("a", "b")
+
+
+def shingled(texts: DataFrame) -> DataFrame:
+    """The rows of ``texts`` with their sets of shingles ``s`` in place of the text."""
+    own = [c for c in texts.columns if c != "text"]
+
+    def run(batches):
+        for batch in batches:
+            found = [shingles(text) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(found, pa.binary())], [*own, "s"])
+
+    return texts.select(*own, "text").mapInArrow(run, ", ".join([*(f"{c} bigint" for c in own), "s binary"]))
+
+
+def spread(sets: DataFrame, own: str) -> DataFrame:
+    """``own, h``: one row per hash of the sets ``s``, with the column ``own`` of its row."""
+
+    def run(batches):
+        for batch in batches:
+            number, found = batch.column(own).to_numpy(), batch.column("s").to_pylist()
+            sizes = np.array([len(s) // 8 for s in found], dtype=np.int64)
+            part = np.cumsum(sizes) // SPREAD
+            for each in np.unique(part):
+                at = np.flatnonzero(part == each)
+                hashes = np.frombuffer(b"".join(found[row] for row in at), dtype="<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(number[at], sizes[at])), pa.array(hashes)], [own, "h"])
+
+    return sets.select(own, "s").mapInArrow(run, f"{own} bigint, h bigint")
+
+
+def prefix_cells(sets: DataFrame) -> DataFrame:
+    """``cell, c, lead``: of ``sets`` (``_class, root, s``), cells in which every two classes of
+    different groups meet whose sets are similar enough."""
+    groups = spread(sets, "root").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    # Written, so that the join may split a very common shingle.
+    mixed = keep(groups.where("low <> high").select("h", "n"), "mixed")
+    held = spread(sets, "_class").join(mixed, "h").groupBy("_class").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("held"))
+    # A little less, as in the comparison: rounding must not raise it.
+    least = F.ceil(SIMILARITY * F.octet_length("s") / 8 - 1e-6)
+    held = held.join(sets.select("_class", least.cast("int").alias("least")), "_class").where(F.size("held") >= F.col("least"))
+    firsts = F.slice("held", F.lit(1), F.size("held") - F.col("least") + 1)
+    cells = held.select(F.col("_class").alias("c"), F.explode(firsts.getField("h")).alias("cell"))
+    return distinct_cells(keep(cells.select("cell", "c"), "prefixes"))
+
+
 def sketched(texts: DataFrame) -> DataFrame:
     """``_class, sketch``: of the shingles' hashes in each of ``BINS`` ranges one byte of the least,
     and which ranges have any. The share of equal bytes estimates the similarity."""
@@ -135,13 +197,11 @@ def likely_pairs(block: pa.Table) -> pa.Table:
     """``a, b`` of a block: members of different groups that may be alike. Sides 0 and 1 meet each
     other, those of side 2 all others."""
     number, root, side = (block.column(c).to_numpy() for c in ("c", "root", "side"))
-    prints = np.array(block.column("_prints").to_pylist(), dtype=np.int64).view(np.uint64)
     sketch = np.frombuffer(b"".join(block.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(number), 2, BINS)
     least, filled = sketch[:, 0], sketch[:, 1].astype(bool)
     found: list[tuple] = []
     for at in range(len(number)):
         others = np.flatnonzero((number > number[at]) & (root != root[at]) & ((side != side[at]) | (side == 2)))
-        others = others[np.bitwise_count(prints[others] ^ prints[at]).sum(axis=1) <= MOST_BITS]
         either = filled[others] | filled[at]
         same = (filled[others] & filled[at]) & (least[others] == least[at])
         others = others[same.sum(axis=1) >= LIKELY * either.sum(axis=1)]
@@ -180,39 +240,24 @@ def blocks_of(met: DataFrame) -> DataFrame:
 
 def further_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b``: of cells whose classes aren't in one group yet (``node, root``), all pairs of
-    different groups that their prints and sketches leave likely. Pairs are looked at within
-    blocks, and only likely ones become rows."""
+    different groups that their sketches leave likely. Pairs are looked at within blocks, and
+    only likely ones become rows. ``classes`` names the classes to look at."""
     rooted = shared.select("cell", "c").join(roots.withColumnRenamed("node", "c"), "c", "left")
     rooted = keep(rooted.select("cell", "c", F.coalesce("root", "c").alias("root")), "rooted")
     groups = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     # Written, so that the join may split a very crowded cell.
     split = keep(groups.where("low <> high").select("cell"), "split")
     met = keep(rooted.join(split, "cell", "left_semi"), "met")
-    used = met.select(F.col("c").alias("_class")).distinct()
-    marks = keep(sketched(texts.join(used, "_class", "left_semi")).join(classes.select("_class", "_prints"), "_class"), "sketches")
+    used = met.select(F.col("c").alias("_class")).distinct().join(classes, "_class", "left_semi")
+    marks = keep(sketched(texts.join(used, "_class", "left_semi").select("_class", "text")), "sketches")
     dealt = blocks_of(met).join(marks.withColumnRenamed("_class", "c"), "c")
     keys = ["cell", "kind", "i", "j"]
     return dealt.groupBy(*keys).applyInArrow(likely_pairs, "a bigint, b bigint").distinct()
 
 
-def alike(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (``a, b``) whose shingles are similar enough. ``texts`` has one row per
-    class."""
-    prints = classes.select("_class", "_prints")
-    bits = F.aggregate(
-        F.zip_with("p", "q", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, n: t + n
-    )
-    pairs = pairs.join(prints.select(F.col("_class").alias("a"), F.col("_prints").alias("p")), "a")
-    pairs = pairs.join(prints.select(F.col("_class").alias("b"), F.col("_prints").alias("q")), "b")
-    pairs = keep(pairs.where(bits <= MOST_BITS).select("a", "b"), "pairs")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("_class")).distinct()
-
-    def cut(batches):
-        for batch in batches:
-            found = [shingles(text) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_class"), pa.array(found, pa.binary())], ["_class", "s"])
-
-    sets = keep(texts.join(used, "_class", "left_semi").select("_class", "text").mapInArrow(cut, "_class bigint, s binary"), "shingles")
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (``a, b``) whose shingles are similar enough. ``sets`` has one row per
+    class (``_class, s``)."""
 
     def compare(batches):
         for batch in batches:
@@ -231,9 +276,21 @@ def alike(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
 def grouped(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """``node, root`` of the classes that have one alike. Members of one group aren't compared
     again, so a crowded cell of near copies costs a row per member."""
-    shared = met_cells(classes)
-    roots = components(alike(first_pairs(shared), classes, texts))
-    more = alike(further_pairs(shared, roots, classes, texts), classes, texts)
+    pairs = keep(near_prints(first_pairs(met_cells(classes)), classes), "pairs")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("_class")).distinct()
+    roots = components(alike(pairs, keep(shingled(texts.join(used, "_class", "left_semi")), "shingles")))
+
+    rooted = texts.join(roots.withColumnRenamed("node", "_class"), "_class", "left")
+    sets = keep(shingled(rooted.select("_class", F.coalesce("root", "_class").alias("root"), "text")), "sets")
+    shared = prefix_cells(sets)
+    of = lambda end: sets.select(F.col("_class").alias(end), F.col("root").alias(f"{end}_root"))
+    pairs = first_pairs(shared).join(of("a"), "a").join(of("b"), "b").where("a_root <> b_root").select("a", "b")
+    roots = merged(roots, alike(keep(pairs, "pairs"), sets))
+    return merged(roots, alike(keep(further_pairs(shared, roots, classes, texts), "pairs"), sets))
+
+
+def merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """``roots`` of groups after ``more`` pairs are tied."""
     return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
