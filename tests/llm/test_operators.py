@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from checking import compare, duck
 from pyspark.sql import functions as F
@@ -291,6 +292,30 @@ def test_every_pair_alike_is_found(spark):
     assert sorted(r.doc_id for r in similar.one_of_each(spark.createDataFrame(docs, DOCS)).collect()) == wanted
 
 
+def test_sketches_bound_the_difference():
+    rng = random.Random(9)
+    for size in (3, 60, 900, 60_000):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        n = max(0, int(size * 0.108) - 5)
+        texts = [" ".join(base), " ".join([*base[: size - n], *(f"x{m}" for m in range(n))]), " ".join(f"y{m}" for m in range(size))]
+        sets = [set(np.frombuffer(similar.shingles(t), dtype="<u8").tolist()) for t in texts]
+        sketches = similar.sketched(Mapped(pa.table({"_class": pa.array(range(3), pa.int64()), "text": texts}))).column("sketch")
+        ids = pa.array(range(3), pa.int64())
+        found = similar.likely_pairs(pa.table({"c": ids, "root": ids, "side": pa.array([2] * 3, pa.int32()), "sketch": sketches})).to_pylist()
+        wanted = {(a, b) for b in range(3) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+        assert wanted <= {(p["a"], p["b"]) for p in found} and (size < 60 or (0, 1) in wanted)
+
+
+class Mapped:
+    """Stands for a table of one Arrow batch."""
+
+    def __init__(self, table):
+        self.table = table
+
+    def mapInArrow(self, run, schema):
+        return pa.Table.from_batches(list(run(self.table.to_batches())))
+
+
 def test_url_rules_and_hosts(spark):
     schema = "page_id bigint, url string, host string, path string, score double"
     found = [

@@ -10,8 +10,9 @@ other group has come first, then the rarer ones. Texts alike share one of the fi
 ``held - least + 1`` shingles that other groups have too, where ``held`` counts those of a text and
 ``least`` is how many of its own it must share; a text that holds fewer is alike to none. The
 members of such a cell meet its first one. Where that leaves several groups in the cell, all members
-of different groups are looked at, block by block, by sketches; no cell is too crowded for that, and only pairs that the
-sketches leave likely become rows and are compared exactly. Groups are the connected components.
+of different groups are looked at, block by block, by sketches that bound from below in how many
+shingles two texts differ; no cell is too crowded for that, and only pairs within the bound become
+rows and are compared exactly. Groups are the connected components.
 
 Definitions: texts with fewer words than a shingle are one shingle; texts without words are alike;
 repeated rows are alike, and one row of each group stays: that with the smallest id, then the
@@ -41,10 +42,8 @@ TABLES = 6
 MOST_BITS = 9 * TABLES
 # Members of a cell compared at a time, per side.
 BLOCK = 256
-# Ranges of a sketch, and the estimate from which a pair is compared exactly: 2.8 standard errors
-# below ``SIMILARITY`` for long texts, more for short ones.
-BINS = 512
-LIKELY = 0.75
+# Ranges of hashes that a sketch counts.
+BINS = 128
 # Hashes per batch of rows.
 SPREAD = 1 << 17
 
@@ -175,7 +174,7 @@ def prefix_cells(sets: DataFrame) -> DataFrame:
 
 def sketched(texts: DataFrame) -> DataFrame:
     """``_class, sketch``: of the shingles' hashes in each of ``BINS`` ranges one byte of the least,
-    and which ranges have any. The share of equal bytes estimates the similarity."""
+    and how many there are, up to 255; then the number of all."""
 
     def run(batches):
         for batch in batches:
@@ -183,11 +182,11 @@ def sketched(texts: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 hashes = np.frombuffer(shingles(text), dtype="<u8")
                 # Sorted, so that the first of each range is its least.
-                places, first = np.unique(hashes >> np.uint64(64 - BINS.bit_length() + 1), return_index=True)
+                places, first, many = np.unique(hashes >> np.uint64(64 - BINS.bit_length() + 1), return_index=True, return_counts=True)
                 sketch = np.zeros(2 * BINS, dtype=np.uint8)
                 sketch[places] = (hashes[first] & np.uint64(255)).astype(np.uint8)
-                sketch[BINS + places.astype(np.int64)] = 1
-                found.append(sketch.tobytes())
+                sketch[BINS + places.astype(np.int64)] = np.minimum(many, 255)
+                found.append(sketch.tobytes() + len(hashes).to_bytes(8, "little"))
             yield pa.RecordBatch.from_arrays([batch.column("_class"), pa.array(found, pa.binary())], ["_class", "sketch"])
 
     return texts.mapInArrow(run, "_class bigint, sketch binary")
@@ -195,16 +194,23 @@ def sketched(texts: DataFrame) -> DataFrame:
 
 def likely_pairs(block: pa.Table) -> pa.Table:
     """``a, b`` of a block: members of different groups that may be alike. Sides 0 and 1 meet each
-    other, those of side 2 all others."""
+    other, those of side 2 all others. Nothing alike is left out: ranges of unequal counts differ in
+    as many shingles at least, and ranges of equal counts but another least one in two."""
     number, root, side = (block.column(c).to_numpy() for c in ("c", "root", "side"))
-    sketch = np.frombuffer(b"".join(block.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(number), 2, BINS)
-    least, filled = sketch[:, 0], sketch[:, 1].astype(bool)
+    sketch = np.frombuffer(b"".join(block.column("sketch").to_pylist()), dtype=np.uint8).reshape(len(number), 2 * BINS + 8)
+    least, many = sketch[:, :BINS], sketch[:, BINS : 2 * BINS].astype(np.int16)
+    size = np.ascontiguousarray(sketch[:, 2 * BINS :]).view("<i8")[:, 0]
+    # Sets of ``x`` and ``y`` members are similar enough when they differ in this share of ``x + y``.
+    share = (1 - SIMILARITY) / (1 + SIMILARITY)
     found: list[tuple] = []
     for at in range(len(number)):
         others = np.flatnonzero((number > number[at]) & (root != root[at]) & ((side != side[at]) | (side == 2)))
-        either = filled[others] | filled[at]
-        same = (filled[others] & filled[at]) & (least[others] == least[at])
-        others = others[same.sum(axis=1) >= LIKELY * either.sum(axis=1)]
+        others = others[np.abs(size[others] - size[at]) <= share * (size[others] + size[at]) + 1e-6]
+        apart = np.abs(many[others] - many[at])
+        unlike = least[others] != least[at]
+        # A count of 255 stands for more too.
+        apart = np.where(unlike & (apart == 0), 1 + (many[at] < 255), apart)
+        others = others[apart.sum(axis=1) <= share * (size[others] + size[at]) + 1e-6]
         found.extend((number[at], other) for other in number[others])
     a, b = zip(*found) if found else ((), ())
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -240,8 +246,8 @@ def blocks_of(met: DataFrame) -> DataFrame:
 
 def further_pairs(shared: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
     """``a, b``: of cells whose classes aren't in one group yet (``node, root``), all pairs of
-    different groups that their sketches leave likely. Pairs are looked at within blocks, and
-    only likely ones become rows. ``classes`` names the classes to look at."""
+    different groups that their sketches leave possible. Pairs are looked at within blocks, and
+    only possible ones become rows. ``classes`` names the classes to look at."""
     rooted = shared.select("cell", "c").join(roots.withColumnRenamed("node", "c"), "c", "left")
     rooted = keep(rooted.select("cell", "c", F.coalesce("root", "c").alias("root")), "rooted")
     groups = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"))
