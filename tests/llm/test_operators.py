@@ -170,6 +170,15 @@ def test_suffix_dedup_of_odd_rows(spark, odd, empty):
     assert dedup.digests(empty).count() == 0
 
 
+def test_only_cut_characters_are_dropped(spark):
+    rng = random.Random(10)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    # The first bytes of both characters are alike, so that the repeat ends within the second.
+    docs = [(1, base + "\u00e9"), (2, "a\ufffdb" + base + "\u00e8\ufffd end"), (3, "\ufffd alone")]
+    rows = dedup.without_repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.text for r in rows} == {1: docs[0][1], 2: "a\ufffdb\ufffd end", 3: "\ufffd alone"}
+
+
 def fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()))
     import xxhash

@@ -374,9 +374,18 @@ def merged(spans: np.ndarray, size: int) -> tuple[list[int], list[int]]:
     return lo[new].tolist(), np.minimum(end[np.append(new[1:] - 1, len(end) - 1)], size).tolist()
 
 
-def cleaned(rows: DataFrame, windows: DataFrame) -> DataFrame:
+def trimmed(text: bytes, lo: int, hi: int) -> bytes:
+    """``text[lo:hi]`` without the characters of which it holds only a part."""
+    while lo < hi and text[lo] & 0xC0 == 0x80:
+        lo += 1
+    while lo < hi < len(text) and text[hi] & 0xC0 == 0x80:
+        hi -= 1
+    return text[lo:hi]
+
+
+def cleaned(rows: DataFrame, windows: DataFrame, characters: bool = False) -> DataFrame:
     """``spans, kept`` for ``rows``, after their own columns: removed runs and what is left of each
-    text."""
+    text, to the byte or in whole ``characters``."""
     own = rows.columns
     span = F.shiftleft(F.col("lo").cast("bigint"), 32) + F.col("hi")
     spans = windows.groupBy("doc", "version").agg(F.collect_list(span).alias("spans"))
@@ -392,7 +401,8 @@ def cleaned(rows: DataFrame, windows: DataFrame) -> DataFrame:
                     kept.append(text)
                     continue
                 starts, ends = merged(found.values.to_numpy(zero_copy_only=False), len(text))
-                kept.append(b"".join([text[a:b] for a, b in zip([0, *ends], [*starts, len(text)])]))
+                pieces = zip([0, *ends], [*starts, len(text)])
+                kept.append(b"".join([trimmed(text, a, b) if characters else text[a:b] for a, b in pieces]))
                 removed.append([{"start": a, "end": b} for a, b in zip(starts, ends)])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in own), pa.array(removed, kind), pa.array(kept, pa.binary())],
@@ -417,9 +427,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     that loses one of its bytes is dropped."""
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
     rows = documents(docs, whole.alias("others"))
-    found = cleaned(rows, covered(rows.drop("others")))
-    text = F.when(F.size("spans") > 0, F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
-    found = found.withColumn("text", F.coalesce(text, F.decode("kept", "UTF-8")))
+    found = cleaned(rows, covered(rows.drop("others")), characters=True)
+    found = found.withColumn("text", F.decode("kept", "UTF-8"))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}
     return found.select(*(new.get(c, F.col(f"others.`{c}`")).alias(c) for c in docs.columns))
 
