@@ -179,6 +179,15 @@ def test_only_cut_characters_are_dropped(spark):
     assert {r.doc_id: r.text for r in rows} == {1: docs[0][1], 2: "a\ufffdb\ufffd end", 3: "\ufffd alone"}
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    passage = "A passage that this text has twice, of more than a hundred bytes: 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOP. "
+    twice, other = passage * 2 + "18472", hashlib.sha512(b"x48645").hexdigest() + hashlib.sha512(b"y48645").hexdigest()
+    docs = spark.createDataFrame([(None, twice), (None, other)], "doc_id bigint, text string")
+    # Alike in 32 bits.
+    assert docs.select(F.hash("text")).distinct().count() == 1
+    assert {bytes(r.kept).decode() for r in dedup.dedup(docs).collect()} == {passage + "18472", other}
+
+
 def fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()))
     import xxhash

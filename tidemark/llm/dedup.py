@@ -186,7 +186,7 @@ def joined(pieces):
     return data, valid, ends, rows, shift
 
 
-RUN_COLUMNS = "h bigint, context bigint, doc bigint, version int, lo int, width smallint, reach smallint"
+RUN_COLUMNS = "h bigint, context bigint, doc bigint, version bigint, lo int, width smallint, reach smallint"
 
 
 def documents(docs: DataFrame, *others: Column) -> DataFrame:
@@ -194,7 +194,7 @@ def documents(docs: DataFrame, *others: Column) -> DataFrame:
     an id, and the text's bytes; then ``others``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    return docs.select(doc.alias("doc"), F.hash(text).alias("version"), text_bytes(text).alias("text"), *others)
+    return docs.select(doc.alias("doc"), F.xxhash64(text).alias("version"), text_bytes(text).alias("text"), *others)
 
 
 def anchored(rows: DataFrame, only_hash: bool = False) -> DataFrame:
@@ -216,7 +216,7 @@ def anchored(rows: DataFrame, only_hash: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc[row]),
-                        pa.array(version[row], pa.int32()), pa.array((lo + shift[piece]).astype(np.int32)),
+                        pa.array(version[row]), pa.array((lo + shift[piece]).astype(np.int32)),
                         pa.array((hi - lo).astype(np.int16)), pa.array((anchor - hi).astype(np.int16)),
                     ],
                     ["h", "context", "doc", "version", "lo", "width", "reach"],
@@ -225,7 +225,7 @@ def anchored(rows: DataFrame, only_hash: bool = False) -> DataFrame:
     return rows.mapInArrow(run, "h bigint" if only_hash else RUN_COLUMNS)
 
 
-CELL_COLUMNS = "key bigint, content bigint, doc bigint, version int, lo int, hi int, data binary"
+CELL_COLUMNS = "key bigint, content bigint, doc bigint, version bigint, lo int, hi int, data binary"
 
 
 def cells(rows: DataFrame) -> DataFrame:
@@ -248,14 +248,14 @@ def cells(rows: DataFrame) -> DataFrame:
                         key = number(b"%d " % cell + text[anchor - near : anchor - far + LENGTH])
                         out.append((key, number(b"%d " % (anchor - a) + data), doc, version, a, b, data))
             if out:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
                 names = [c.split(" ")[0] for c in CELL_COLUMNS.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
     return rows.mapInArrow(run, CELL_COLUMNS)
 
 
-SPANS = "doc bigint, version int, lo int, hi int"
+SPANS = "doc bigint, version bigint, lo int, hi int"
 
 
 def sorted_block(table: pa.Table) -> pa.Table:
@@ -290,7 +290,7 @@ def sorted_block(table: pa.Table) -> pa.Table:
     covered = rank[later]
     at = start[covered].astype(np.int32)
     return pa.table(
-        [pa.array(doc[row][covered]), pa.array(version[row][covered], pa.int32()), pa.array(at), pa.array(at)],
+        [pa.array(doc[row][covered]), pa.array(version[row][covered]), pa.array(at), pa.array(at)],
         names=["doc", "version", "lo", "hi"],
     )
 
@@ -305,12 +305,12 @@ def by_digest(crowded: DataFrame) -> DataFrame:
                 for at in range(hi - lo + 1):
                     out.append((hashlib.blake2b(data[at : at + LENGTH], digest_size=16).digest(), doc, version, lo + at))
             if out:
-                types = [pa.binary(), pa.int64(), pa.int32(), pa.int32()]
+                types = [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), types)], ["digest", "doc", "version", "at"]
                 )
 
-    windows = crowded.mapInArrow(run, "digest binary, doc bigint, version int, at int")
+    windows = crowded.mapInArrow(run, "digest binary, doc bigint, version bigint, at int")
     firsts = windows.groupBy("digest").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
     later = windows.join(firsts.where("n > 1"), "digest").where("doc <> first.doc or at <> first.at")
     return later.select("doc", "version", F.col("at").alias("lo"), F.col("at").alias("hi"))
