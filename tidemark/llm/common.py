@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,19 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def byte_chunks(data: bytes, between: re.Pattern, size: int = 1 << 20):
+    """``data`` in pieces of about ``size`` bytes, cut only where ``between`` matches, so that lists
+    of a very long text's words stay short."""
+    at = 0
+    while len(data) - at > size:
+        cut = between.search(data, at + size)
+        if not cut:
+            break
+        yield data[at : cut.start()]
+        at = cut.start()
+    yield data[at:] if at else data
+
+
 def text_bytes(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 

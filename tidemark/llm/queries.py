@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, dedup, packing, quality, rules, simhash, topk, urls, warc
+from tidemark.llm import bpe, chat, dedup, divergence, licenses, packing, quality, rules, simhash, spelling, topk, urls, warc
 from tidemark.llm.common import table
 
 URL_RULES = [
@@ -91,6 +91,18 @@ def op10_topk(spark, sf_dir) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_spelling(spark, sf_dir) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark, sf_dir) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_licenses(spark, sf_dir) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir) -> DataFrame:
     import corpus_pipeline
 
@@ -100,7 +112,7 @@ def pipeline(spark, sf_dir) -> DataFrame:
 def queries():
     found = [
         op1_packing, op2_url_filter, op3_quality, op4_warc, op5_bpe, op6_suffix_dedup, op7_chat_format,
-        op8_simhash, op9_quality_rules, op10_topk, pipeline,
+        op8_simhash, op9_quality_rules, op10_topk, op11_spelling, op12_divergence, op13_licenses, pipeline,
     ]
     return {query.__name__: query for query in found}
 
@@ -214,6 +226,115 @@ WITH vectors AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = f"""
+WITH RECURSIVE steps AS (
+    SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step
+), docs AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, regexp_extract_all({LOWERED}, '[a-z\\x{{C0}}-\\x{{FF}}]+') AS runs FROM documents
+), runs AS (
+    SELECT id, run, count(*) AS n FROM (SELECT id, unnest(runs) AS run FROM docs) GROUP BY id, run HAVING length(run) >= {spelling.LEAST_LETTERS}
+), sums AS (
+    SELECT id, run, n, xor(list_reduce(list_prepend(4294967295, list_concat(
+        list_transform(string_split(id || ':', ''), lambda c: CAST(ord(c) AS BIGINT)),
+        flatten(list_transform(string_split(run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [CAST(ord(c) AS BIGINT)] ELSE [195, CAST(ord(c) - 64 AS BIGINT)] END)))),
+        lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) AS h
+    FROM runs, steps
+), words AS (
+    SELECT CASE WHEN h % {spelling.DAMAGED} = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM sums
+), vocabulary AS (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM words
+    WHERE length(word) >= {spelling.LEAST_LETTERS} GROUP BY word HAVING sum(n) >= {spelling.LEAST_COUNT}
+), shorter AS (
+    SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)
+), near AS (
+    SELECT a.word, b.word AS other, b.n FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, v.word, v.n FROM shorter a JOIN vocabulary v ON a.rest = v.word
+    UNION SELECT v.word, a.word, a.n FROM shorter a JOIN vocabulary v ON a.rest = v.word
+), best AS (
+    SELECT word, count(*) AS n_near, max(n) AS best_n, arg_max(other, (n, -place)) AS best
+    FROM (SELECT *, row_number() OVER (ORDER BY other) AS place FROM near) GROUP BY word
+), formed AS (
+    SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= {spelling.TIMES} * v.n THEN best END AS form,
+        CASE WHEN best_n >= {spelling.TIMES} * v.n THEN best_n END AS form_n
+    FROM vocabulary v LEFT JOIN best USING (word)
+), chains(word, root) AS (
+    SELECT word, word FROM formed UNION ALL SELECT c.word, f.form FROM chains c JOIN formed f ON c.root = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN chains c USING (word) JOIN formed e ON c.root = e.word AND e.form IS NULL
+"""
+
+OP12_SQL = f"""
+WITH docs AS (
+    SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWERED}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents
+), groups AS (
+    SELECT DISTINCT lang, source FROM docs
+), counts AS (
+    SELECT lang, source, term, count(*) AS n, count(DISTINCT doc) AS docs
+    FROM (SELECT lang, source, doc, unnest(terms) AS term FROM (SELECT *, row_number() OVER () AS doc FROM docs)) GROUP BY ALL
+), kept AS (
+    SELECT lang, term, sum(n) AS total FROM counts GROUP BY lang, term HAVING sum(docs) >= {divergence.LEAST_DOCS}
+), langs AS (
+    SELECT lang, count(*) AS v, sum(total) AS lang_n FROM kept GROUP BY lang
+), filled AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.total, v, lang_n, sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source) AS own
+    FROM groups g JOIN kept k ON g.lang = k.lang JOIN langs l ON g.lang = l.lang
+        LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), shares AS (
+    SELECT lang, source, term, n, CAST(1 + (CAST({divergence.SCALE} AS HUGEINT) * (n + 5)) // CAST(own + 5 * v AS HUGEINT) AS BIGINT) AS p,
+        CAST(1 + (CAST({divergence.SCALE} AS HUGEINT) * (total + 5)) // CAST(lang_n + 5 * v AS HUGEINT) AS BIGINT) AS q
+    FROM filled
+), differences AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN differences d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q
+), ranks AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM found
+)
+SELECT lang, source, part, item, value, rank FROM ranks WHERE part = 'pair' OR rank <= {divergence.RANKS}
+"""
+
+
+def _values(pairs) -> str:
+    return ", ".join(f"('{label}', string_split('{text}', ' '))" for label, text in pairs)
+
+
+OP13_SQL = f"""
+WITH phrases(label, p) AS (VALUES {_values(licenses.PHRASES)}), templates(label, t) AS (VALUES {_values(licenses.TEMPLATES)}),
+docs AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), starts AS (
+    SELECT row, w, unnest(range(0, len(w))) AS i FROM docs
+), stands AS (
+    SELECT row, label, i FROM starts JOIN phrases ON w[i + 1] = p[1] AND w[i + 1 : i + len(p)] = p
+), base AS (
+    SELECT row, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM stands GROUP BY row
+), blocks AS (
+    SELECT row, list_distinct(w[i + 1 : i + {2 * licenses.STEP}]) AS b FROM starts WHERE i % {licenses.STEP} = 0
+), held AS (
+    SELECT row, label, len(list_intersect(b, t)) AS common, len(list_distinct(t)) AS size FROM blocks, templates
+), met AS (
+    SELECT row, label, common / size AS share FROM held WHERE 5 * common >= 4 * size
+), named AS (
+    SELECT row, list(DISTINCT label) AS labels, list(DISTINCT label) FILTER (WHERE base) AS base_labels
+    FROM (SELECT row, label, true AS base FROM stands UNION ALL SELECT row, label, false FROM met) GROUP BY row
+), best AS (
+    SELECT row, max(share) AS best FROM met GROUP BY row
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+    coalesce(array_to_string(list_sort(base_labels), ','), '') AS base_labels, coalesce(array_to_string(list_sort(labels), ','), '') AS labels,
+    CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM docs LEFT JOIN base USING (row) LEFT JOIN named USING (row) LEFT JOIN best USING (row)
+"""
+
 
 def oracle_sql():
     return {
@@ -221,4 +342,7 @@ def oracle_sql():
         "op7_chat_format": OP7_SQL,
         "op9_quality_rules": OP9_SQL,
         "op10_topk": OP10_SQL,
+        "op11_spelling": OP11_SQL,
+        "op12_divergence": OP12_SQL,
+        "op13_licenses": OP13_SQL,
     }
