@@ -46,6 +46,22 @@ def byte_chunks(data: bytes, between: re.Pattern, size: int = 1 << 20):
     yield data[at:] if at else data
 
 
+def replace(old: DataFrame, df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as ``keep`` does, and remove ``old``, a kept table that nothing reads after it:
+    tables of rounds don't add up."""
+    new = keep(df, label)
+    forget(old)
+    return new
+
+
+def forget(kept: DataFrame) -> None:
+    """Remove the folder of a kept table."""
+    spark = kept.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(kept.inputFiles()[0]).getParent() if kept.inputFiles() else None
+    if folder is not None:
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_bytes(text: Column) -> Column:
     return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
 

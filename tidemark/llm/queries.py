@@ -60,7 +60,7 @@ def conversation_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     assistant = rows.where("role = 'assistant'")
     earlier = assistant.select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit(True).alias("has"))
     assistant = assistant.join(earlier, ["conv_id", "turn"], "left")
-    after = F.when(F.col("has"), F.concat(F.lit(',"after":{"$ref":"'), identifier(F.col("turn") - 2), F.lit('"}'))).otherwise("")
+    after = F.when(F.col("has"), F.concat(F.lit(',"after":{"$ref": "'), identifier(F.col("turn") - 2), F.lit('"}'))).otherwise("")
     arguments = F.concat(
         F.lit('{"turn":'), F.col("turn").cast("string"), after, F.lit(', "chars":'), F.length("text").cast("string"), F.lit("}")
     )
