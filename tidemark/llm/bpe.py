@@ -5,16 +5,20 @@ appended on the right can only change tokens near the end: a change moves to the
 left part of one rule at a time, along rules of rising rank, each of whose right parts begins
 with the left part before it. The longest such chain is the merge list's *sufficient
 lookahead*. A token that ends further than that from the end of what has been read is stable
-and is emitted, so that a word of any length passes through a window of fixed size.
+and is emitted, so that a word of any length passes through a window of fixed size. Texts are read
+in blocks cut at white space; words met before come from a memory bounded by its bytes. Decoding
+is a state machine from ids to text, fed the same way. Memory beyond the text itself grows with the
+longest run without white space, not with the text.
 
 Definitions: a null text is empty and has no tokens; names of added tokens inside a text are
-those tokens; text columns other than the ones named are passed by; rows are never merged,
-so repeated rows and null ids come out as they went in.
+those tokens; other columns are passed by; rows are never merged, so repeated rows and null ids
+come out as they went in; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import codecs
+import hashlib
 import json
 import unicodedata
 from array import array
@@ -24,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.llm.common import narrow
 
@@ -41,9 +44,14 @@ _PYTHON_ONLY_SPACE = regex.compile("[\x1c-\x1f]")
 _SPACES = regex.compile(f"[{SPACES}]+")
 _PIECES = regex.compile(SPLIT.replace(r"\s", SPACES))
 
-# Words that a worker remembers in each of two generations, and the longest words worth it.
-CACHE_ENTRIES = 250_000
+# Bytes of words that a worker remembers in each of two generations of its two memories, roughly,
+# and the longest words worth it.
+CACHE_BYTES = 64_000_000
 CACHE_CHARS = 64
+# What an entry takes besides its word and its tokens.
+ENTRY_BYTES = 200
+# Characters of a text that are encoded, and ids that are decoded, at a time.
+BLOCK = 1 << 16
 _FAR = 1 << 60
 
 
@@ -81,18 +89,19 @@ def sufficient_lookahead(merges: list[tuple[str, str]]) -> int:
 
 
 class Recent:
-    """A bounded memory of words: when the young half is full it becomes the old half, and what
-    is asked for again moves over, so words in use stay and the rest is forgotten."""
+    """A memory of words bounded by its bytes: when the young half is full it becomes the old half,
+    and what is asked for again moves over, so words in use stay and the rest is forgotten."""
 
-    def __init__(self, entries: int = CACHE_ENTRIES):
+    def __init__(self, most: int = CACHE_BYTES):
         self.young: dict = {}
         self.old: dict = {}
-        self.entries = entries
+        self.most, self.size = most, 0
 
     def put(self, key, value) -> None:
-        if len(self.young) >= self.entries:
-            self.old = self.young
-            self.young = {}
+        size = ENTRY_BYTES + len(key) + len(value)
+        if self.size + size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.size += size
         self.young[key] = value
 
     def again(self, key):
@@ -131,6 +140,7 @@ class Transducer:
         self.pieces = Recent()
         byte_of = {sign: byte for byte, sign in enumerate(signs)}
         self.raw = [self._bytes_of(token, byte_of) for token in self.tokens]
+        self.names = [token.encode() for token in self.tokens]
 
     def _bytes_of(self, token: str, byte_of: dict[str, int]) -> bytes:
         if token in self.added:
@@ -147,12 +157,12 @@ class Transducer:
             if low == _FAR:
                 break
             at = ranks.index(low)
-            symbols[at : at + 2] = [merged[low]]
-            del ranks[at]
+            new = symbols[at] = merged[low]
+            del symbols[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = get(symbols[at - 1] * width + symbols[at], _FAR)
+                ranks[at - 1] = get(symbols[at - 1] * width + new, _FAR)
             if at < len(ranks):
-                ranks[at] = get(symbols[at] * width + symbols[at + 1], _FAR)
+                ranks[at] = get(new * width + symbols[at + 1], _FAR)
         return symbols
 
     def stream(self, blocks):
@@ -174,20 +184,24 @@ class Transducer:
                     yield token
                 del pending[:done]
         if pending:
-            yield from self.merge([self.inner[b] for b in pending[:-1]] + [self.final[pending[-1]]])
+            yield from self.last(pending)
+
+    def last(self, window: bytes) -> list[int]:
+        """Tokens of what the window holds when a word ends: of a short one, that is all of it."""
+        symbols = list(map(self.inner.__getitem__, window))
+        symbols[-1] = self.final[window[-1]]
+        return self.merge(symbols)
 
     def word(self, piece: str) -> bytes:
         found = self.pieces.young.get(piece) or self.pieces.again(piece)
-        if found:
-            return found
-        data = piece.encode("utf-8", "replace")
-        if len(data) > 4 * CACHE_CHARS:
-            return array("I", self.stream([data])).tobytes()
-        inner = self.inner
-        symbols = [inner[b] for b in data]
-        symbols[-1] = self.final[data[-1]]
-        found = array("I", self.merge(symbols)).tobytes()
-        self.pieces.put(piece, found)
+        if not found:
+            data = piece.encode("utf-8", "replace")
+            if len(data) > self.lookahead:
+                return array("I", self.stream([data])).tobytes()
+            # Nothing of a word within the lookahead is stable before its end.
+            found = array("I", self.last(data)).tobytes()
+            if len(piece) <= CACHE_CHARS:
+                self.pieces.put(piece, found)
         return found
 
     def plain(self, chunk: str) -> bytes:
@@ -214,28 +228,52 @@ class Transducer:
             self.known.put(chunk, data)
         return data
 
+    def words(self, text: str) -> bytes:
+        """Ids of text that ends with a word. White space only ends words, so the words between it
+        are encoded one by one."""
+        words = list(filter(None, _SPACES.split(text))) if _PYTHON_ONLY_SPACE.search(text) else text.split()
+        get, chunk = self.known.young.get, self.chunk
+        return b"".join([get(word) or chunk(word) for word in words])
+
+    def blocks(self, text: str):
+        """Ids of a text in pieces, as little-endian unsigned 32-bit integers. What is read ahead
+        is a block and the word it ends in."""
+        at, end = 0, BLOCK
+        while end < len(text):
+            space = _SPACES.search(text, end)
+            if not space:
+                break
+            yield self.words(text[at : space.start()])
+            at, end = space.end(), space.end() + BLOCK
+        yield self.words(text[at:] if at else text)
+
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers. White space only ends words, so the
-        words between it are encoded one by one."""
-        words = _SPACES.split(text) if _PYTHON_ONLY_SPACE.search(text) else text.split()
-        get = self.known.young.get
-        return b"".join([get(word) or self.chunk(word) for word in words if word])
-
-    def decode(self, ids: np.ndarray, block: int = 65_536):
-        """Text in pieces: the names of the tokens with a space between, as this tokenizer file,
-        which names no decoder, has it."""
-        tokens, between = self.tokens, ""
-        for at in range(0, len(ids), block):
-            yield between + " ".join([tokens[i] for i in ids[at : at + block].tolist()])
-            between = " "
-
-    def decode_bytes(self, ids: np.ndarray, block: int = 65_536):
-        """Text in pieces, from the bytes that the tokens stand for, a space at every word end.
-        The state between blocks is the unfinished character."""
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        for at in range(0, len(ids), block):
-            yield state.decode(b"".join([self.raw[i] for i in ids[at : at + block].tolist()]))
-        yield state.decode(b"", True)
+        return b"".join(self.blocks(text))
+
+    def decoder(self, words: bool = False) -> Decoder:
+        return Decoder(self.raw if words else self.names, b"" if words else b" ")
+
+
+class Decoder:
+    """From ids to text, piece by piece. Every id stands for bytes: those of its name with a space
+    before all but the first, as a tokenizer file without a decoder has it, or those it was made of,
+    with a space at every word end. The state is the bytes of an unfinished character, and whether
+    anything has come yet."""
+
+    def __init__(self, parts: list[bytes], between: bytes):
+        self.parts, self.between, self.before = parts, between, b""
+        self.state = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: bytes):
+        """Text of more ids, little-endian unsigned 32-bit."""
+        found = np.frombuffer(ids, dtype="<u4")
+        for at in range(0, len(found), BLOCK):
+            data = self.before + self.between.join(map(self.parts.__getitem__, found[at : at + BLOCK].tolist()))
+            self.before = self.between
+            yield self.state.decode(data)
+
+    def finish(self) -> str:
+        return self.state.decode(b"", True)
 
 
 @lru_cache(maxsize=2)
@@ -250,7 +288,7 @@ def encode(docs: DataFrame, path: str, id_type: str = "bigint") -> DataFrame:
     def run(batches):
         coder = transducer(path)
         for batch in batches:
-            ids = [coder.encode(text or "") for text in batch.column("text").to_pylist()]
+            ids = [coder.encode(text.as_py() or "") for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"]
             )
@@ -263,12 +301,11 @@ def decode(encoded: DataFrame, path: str, id_type: str = "bigint", words: bool =
 
     def run(batches):
         coder = transducer(path)
-        step = coder.decode_bytes if words else coder.decode
         for batch in batches:
-            texts = [
-                "".join(step(np.frombuffer(ids or b"", dtype="<u4")))
-                for ids in batch.column("ids").to_pylist()
-            ]
+            texts = []
+            for ids in batch.column("ids"):
+                decoder = coder.decoder(words)
+                texts.append("".join([*decoder.feed(ids.as_py() or b""), decoder.finish()]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())],
                 ["doc_id", "ids", "text"],
@@ -278,12 +315,31 @@ def decode(encoded: DataFrame, path: str, id_type: str = "bigint", words: bool =
     return narrow(encoded, doc_id=id_type, ids="binary").mapInArrow(run, columns)
 
 
+def digests_of(coder: Transducer, text: str) -> tuple[int, str, str]:
+    """Number of tokens, and digests of the ids and of the text they decode to. Ids and text are
+    hashed as they come, and never held as a whole."""
+    count, ids_hash, text_hash, decoder = 0, hashlib.sha256(), hashlib.sha256(), coder.decoder()
+    for ids in coder.blocks(text):
+        count += len(ids) // 4
+        ids_hash.update(ids)
+        for part in decoder.feed(ids):
+            text_hash.update(part.encode())
+    text_hash.update(decoder.finish().encode())
+    return count, ids_hash.hexdigest(), text_hash.hexdigest()
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Encode and decode every text; counts and digests of both results."""
-    both = decode(encode(docs, path), path)
-    return both.select(
-        "doc_id",
-        (F.length("ids") / 4).cast("bigint").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"),
-    )
+    """Encode and decode every text in one pass; counts and digests of both results."""
+
+    def run(batches):
+        coder = transducer(path)
+        for batch in batches:
+            found = [digests_of(coder, text.as_py() or "") for text in batch.column("text")]
+            n, ids, decoded = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return narrow(docs, doc_id="bigint", text="string").mapInArrow(run, schema)
