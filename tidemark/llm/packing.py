@@ -43,19 +43,28 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, payload: str = "id
     end = END_ID.to_bytes(4, "little")
 
     def run(batches):
-        coder = transducer(path)
+        coder, step = transducer(path), 4 * capacity
+        value = bytes if payload == "ids" else zlib.crc32
+        kind = pa.binary() if payload == "ids" else pa.int64()
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text"))):
-                ids = coder.encode(text or "") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    value = part if payload == "ids" else zlib.crc32(part)
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, value))
-            if rows:
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary() if payload == "ids" else pa.int64()]
-                names = ["doc_id", "piece", "start", "length", payload]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+            sizes, values = [], []
+            for text in batch.column("text"):
+                ids = memoryview(coder.encode(text.as_py() or "") + end)
+                sizes.append(len(ids) // 4)
+                values += [value(ids[at : at + step]) for at in range(0, len(ids), step)]
+            # A row per piece, from the numbers of ids.
+            size = np.array(sizes, dtype=np.int64)
+            pieces = -(-size // capacity)
+            row = np.repeat(np.arange(len(size)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start),
+                    pa.array(np.minimum(size[row] - start, capacity)), pa.array(values, kind),
+                ],
+                ["doc_id", "piece", "start", "length", payload],
+            )
 
     rows = narrow(docs, doc_id="bigint", text="string")
     return rows.mapInArrow(run, f"{PIECES}, {payload} {kind}")
