@@ -25,7 +25,7 @@ from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import keep, narrow, one_row, text_bytes
@@ -227,5 +227,12 @@ def read(archives: DataFrame, payloads: bool = True, batch_bytes: int = 1 << 24)
 
 def archive(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Archives of all pages in the shared folder of the session: ``path, records``."""
-    folder = staging_dir(pages.sparkSession, "warc")
-    return write(assigned(pages, min_bytes), folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    return write(assigned(pages, min_bytes), qualified(pages.sparkSession, staging_dir(pages.sparkSession, "warc")))
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, as Spark itself would take a plain path: the cluster's
+    default one, which need not be a machine's own disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + whole.removeprefix("file:") if re.match("file:/(?!//)", whole) else whole
