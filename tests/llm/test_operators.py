@@ -13,7 +13,7 @@ import pytest
 from checking import compare, duck
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, components, dedup, packing, quality, queries, rules, similar, simhash, suffixes, topk, urls, warc
+from tidemark.llm import bpe, chat, components, dedup, packing, quality, queries, rules, simhash, suffixes, topk, urls, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, source string, host string, _row string, key string, n bigint"
@@ -70,8 +70,33 @@ def test_stream_emits_what_the_whole_word_gives(reference):
         word = "".join(rng.choice(signs) for _ in range(4 * coder.lookahead))
         blocks = [word[at : at + 97].encode() for at in range(0, len(word), 97)]
         assert list(coder.stream(blocks)) == reference.encode(word, add_special_tokens=False).ids
-    text = "two words, and é"
-    assert "".join(coder.decode_bytes(np.array(reference.encode(text).ids), block=1)).split() == "two words , and é".split()
+
+
+def test_texts_pass_in_blocks(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK", 7)
+    coder = bpe.Transducer(bpe.tokenizer_path())
+    rng = random.Random(2)
+    for _ in range(200):
+        text = "".join(rng.choice(["word", "É", "é", " ", "\n ", "'s", "\x1c", "12", "<|endoftext|>", "ß", "\u3000", "x" * 30]) for _ in range(rng.randint(0, 40)))
+        ids = reference.encode(text, add_special_tokens=False).ids
+        decoded = reference.decode(ids, skip_special_tokens=False)
+        data = coder.encode(text)
+        assert ids_of(data) == ids
+        decoder = coder.decoder()
+        found = "".join([part for at in range(0, len(data), 12) for part in decoder.feed(data[at : at + 12])]) + decoder.finish()
+        assert found == decoded
+        assert bpe.digests_of(coder, text) == (len(ids), hashlib.sha256(data).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+    running, ids = coder.decoder(words=True), np.array(reference.encode("two words, and é").ids, dtype="<u4")
+    parts = [part for at in ids for part in running.feed(at.tobytes())]
+    assert ("".join(parts) + running.finish()).split() == "two words , and é".split()
+
+
+def test_memory_of_words_is_bounded():
+    known = bpe.Recent(most=10_000)
+    for n in range(5000):
+        known.put(f"word {n}", b"1234")
+        assert sum(bpe.ENTRY_BYTES + len(k) + len(v) for half in (known.young, known.old) for k, v in half.items()) <= 20_000
+    assert known.again("word 4999") is None and known.young["word 4999"] == b"1234" and known.again("word 1") is None
 
 
 def test_packing_is_gapless_and_whole(spark, odd, empty):
@@ -95,6 +120,19 @@ def test_packing_is_gapless_and_whole(spark, odd, empty):
     assert packing.pack(empty, bpe.tokenizer_path()).count() == 0
 
 
+def test_pieces_are_the_librarys(spark, odd, reference):
+    rows = packing.pack(odd, bpe.tokenizer_path(), capacity=64, payload="ids_crc32").collect()
+    wanted, total = Counter(), 0
+    for doc_id, text in ODD:
+        ids = np.array([*reference.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
+        total += len(ids)
+        for piece, at in enumerate(range(0, len(ids), 64)):
+            wanted[doc_id, piece, at, len(ids[at : at + 64]), zlib.crc32(ids[at : at + 64].tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == wanted
+    used = len({r.sequence_id for r in rows})
+    assert -(-total // 64) <= used <= -(-total // 64) + 2
+
+
 def test_plans_use_every_piece_once():
     for seed in range(40):
         rng = random.Random(seed)
@@ -205,6 +243,16 @@ def test_simhash_fingerprints(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_one_of_each_component_stays(spark, odd, empty):
+    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(queries.table(spark, SF, "documents")).collect()}
+    kept = simhash.one_of_each(queries.table(spark, SF, "documents"))
+    assert kept.columns == queries.table(spark, SF, "documents").columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(groups.values()))
+    rows = simhash.one_of_each(odd).collect()
+    assert len(rows) == len({fingerprint(t) for _, t in ODD}) and {r.doc_id for r in rows} >= {1, 4, 5, 8} and rows[0].key == "k"
+    assert simhash.one_of_each(empty).count() == 0
+
+
 @pytest.mark.parametrize("crowded", [32, 1])
 def test_simhash_links(spark, monkeypatch, crowded):
     rng = random.Random(7)
@@ -237,103 +285,6 @@ def test_components_of_a_long_path(spark):
     assert {r.node: r.root for r in found} == {n: 0 for n in range(61)} | {100: 100, 101: 100}
 
 
-def test_one_of_each_group_stays(spark, odd, empty):
-    rng = random.Random(2)
-    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
-    near = [*words[:300], "changed", *words[301:600]]
-    docs = [(20, " ".join(words[:600])), (21, " ".join(near)), (22, " ".join(words[300:])), (23, " ".join(words[:600]).upper())]
-    table = spark.createDataFrame([(i, t, "s", "h", "r", "k", 1) for i, t in docs], DOCS)
-    assert sorted(r.doc_id for r in similar.one_of_each(table).collect()) == [20, 22]
-    kept = similar.one_of_each(odd)
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 4, 5, 7, 8, 10]
-    assert similar.one_of_each(empty).count() == 0
-
-
-@pytest.mark.parametrize("block", [256, 4])
-def test_groups_of_many_near_copies(spark, monkeypatch, block):
-    monkeypatch.setattr(similar, "BLOCK", block)
-    rng = random.Random(5)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
-    bases = [[word() for _ in range(300)] for _ in range(2)]
-    docs = []
-    for n in range(100):
-        words = list(bases[n % 2])
-        words[rng.randrange(300)] = word()
-        docs.append((n, " ".join(words), "s", "h", "r", "k", 1))
-    assert sorted(r.doc_id for r in similar.one_of_each(spark.createDataFrame(docs, DOCS)).collect()) == [0, 1]
-
-
-@pytest.mark.parametrize("block", [256, 5])
-def test_members_of_different_groups_all_meet(spark, monkeypatch, block):
-    monkeypatch.setattr(similar, "BLOCK", block)
-    rng = random.Random(6)
-    shared = [f"w{n}" for n in range(100)]
-    texts = [" ".join([*shared, *(f"x{rng.randrange(10**6)}" for _ in range(rng.randint(0, 12)))]) for _ in range(60)]
-    rooted = [("cell", n, rng.choice([0, 0, n])) for n in range(60)]
-    met = spark.createDataFrame([(1, c, r) for _, c, r in rooted], "cell bigint, c bigint, root bigint")
-    classes = spark.createDataFrame([(n, [n - 30] * 6, t) for n, t in enumerate(texts)], "_class bigint, _prints array<bigint>, text string")
-    roots = met.selectExpr("c AS node", "root")
-    found = similar.further_pairs(met.select("cell", "c"), roots, classes.select("_class", "_prints"), classes.select("_class", "text")).collect()
-    sets = [set(np.frombuffer(similar.shingles(t), dtype="<u8").tolist()) for t in texts]
-    bits = lambda a, b: 6 * (((a - 30) ^ (b - 30)) % 2**64).bit_count()
-    wanted = {
-        (a, b) for b in range(60) for a in range(b)
-        if rooted[a][2] != rooted[b][2] and bits(a, b) <= similar.MOST_BITS and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-    }
-    assert wanted and wanted <= {(r.a, r.b) for r in found} and len(found) == len({(r.a, r.b) for r in found})
-
-
-def edited(rng, word, kind, similarity):
-    """A text of invented words and a copy with one passage changed, whose shingles are about so similar."""
-    words = [word() for _ in range(rng.randint(80, 400))]
-    n = int(len(words) * (1 / similarity - 1 if kind == "appended" else 1 - similarity if kind == "truncated" else (1 - similarity) / (1 + similarity))) - 4
-    at = rng.randrange(len(words) - n)
-    if kind == "appended":
-        return words, [*words, *(word() for _ in range(n))]
-    if kind == "truncated":
-        return words, words[: len(words) - n - 2]
-    return words, [*words[:at], *(word() for _ in range(n)), *words[at + n :]]
-
-
-def test_every_pair_alike_is_found(spark):
-    rng = random.Random(8)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
-    texts = []
-    for n in range(180):
-        kind = ("appended", "replaced", "truncated")[n % 3]
-        texts += [" ".join(words) for words in edited(rng, word, kind, rng.choice([0.8, 0.83, 0.87, 0.95]))]
-    sets = [set(np.frombuffer(similar.shingles(t), dtype="<u8").tolist()) for t in texts]
-    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
-    wanted = [n for n in range(len(texts)) if n % 2 == 0 or not alike(n - 1, n)]
-    assert 180 < len(wanted) < 260
-    docs = [(n, t, "s", "h", "r", "k", 1) for n, t in enumerate(texts)]
-    assert sorted(r.doc_id for r in similar.one_of_each(spark.createDataFrame(docs, DOCS)).collect()) == wanted
-
-
-def test_sketches_bound_the_difference():
-    rng = random.Random(9)
-    for size in (3, 60, 900, 60_000):
-        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
-        n = max(0, int(size * 0.108) - 5)
-        texts = [" ".join(base), " ".join([*base[: size - n], *(f"x{m}" for m in range(n))]), " ".join(f"y{m}" for m in range(size))]
-        sets = [set(np.frombuffer(similar.shingles(t), dtype="<u8").tolist()) for t in texts]
-        sketches = similar.sketched(Mapped(pa.table({"_class": pa.array(range(3), pa.int64()), "text": texts}))).column("sketch")
-        ids = pa.array(range(3), pa.int64())
-        found = similar.likely_pairs(pa.table({"c": ids, "root": ids, "side": pa.array([2] * 3, pa.int32()), "sketch": sketches})).to_pylist()
-        wanted = {(a, b) for b in range(3) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
-        assert wanted <= {(p["a"], p["b"]) for p in found} and (size < 60 or (0, 1) in wanted)
-
-
-class Mapped:
-    """Stands for a table of one Arrow batch."""
-
-    def __init__(self, table):
-        self.table = table
-
-    def mapInArrow(self, run, schema):
-        return pa.Table.from_batches(list(run(self.table.to_batches())))
-
-
 def test_url_rules_and_hosts(spark):
     schema = "page_id bigint, url string, host string, path string, score double"
     found = [
@@ -435,11 +386,61 @@ def test_tool_calls_are_linked(spark):
     results = spark.createDataFrame(
         [(1, 2, "x", "one"), (1, 4, "y", None), (1, 9, "who", "nobody"), (None, 2, "x", "n")], "conv_id bigint, turn bigint, call_id string, content string"
     )
-    rows = {(r.conv_id, r.call_id): r for r in chat.linked(calls, results, schemas).collect()}
+    found = chat.linked(calls, results, schemas).collect()
+    rows = {(r.conv_id, r.call_id): r for r in found}
     assert rows[1, "x"].arguments == '{"a":1,"b":{"y":{"$ref":"y"},"z":1}}' and rows[1, "x"].level == 1 and rows[1, "x"].status == "linked"
     assert rows[1, "y"].level == 0 and rows[1, "c1"].level is None and rows[1, "c1"].errors == ["reference: circular"]
     assert rows[1, "bad"].errors == ["tool: unknown", "arguments: not an object"] and rows[1, "who"].status == "orphan"
-    assert rows[None, "x"].errors == ["a: above 5"] and rows[1, "m"].errors == ["a: missing", "reference: missing"] and len(rows) == 8
+    assert rows[None, "x"].errors == ["a: above 5"] and rows[1, "m"].errors == ["a: missing", "reference: missing"] and len(found) == 9
+    assert rows[1, None].status == "unanswered" and rows[1, None].errors == ["a: missing", "call_id: missing"]
+
+
+CALLS = "conv_id bigint, turn bigint, call_id string, tool string, arguments string"
+RESULTS = "conv_id bigint, turn bigint, call_id string, content string"
+
+
+def test_rows_without_identifier_stay(spark):
+    calls = spark.createDataFrame([
+        (1, 1, None, "t", "{}"), (1, 1, None, "t", "{}"), (1, None, None, "t", '{"b": {"$ref": "x"}}'), (None, None, None, None, None),
+        (1, 2, "x", "t", '{"b": {"$ref": "a \\"quoted\\" é"}}'), (1, 3, 'a "quoted" é', "t", '{"b": "{\\"$ref\\": \\"x\\"}"}'),
+        (1, 4, "lost", "t", '{"b": {"$ref" : "gone"}}'),
+    ], CALLS).selectExpr("*", "1 AS level", "'clash' AS status", "'clash' AS key")
+    results = spark.createDataFrame([(1, 2, None, "one"), (1, None, None, None), (1, 2, None, "one")], RESULTS)
+    rows = chat.linked(calls, results, {"t": [chat.Field("b", "string", required=False)]}).collect()
+    of = {r.call_id: r for r in rows if r.call_id}
+    assert of["x"].level == 1 and of['a "quoted" é'].level == 0 and "reference: missing" in of["lost"].errors
+    rest = Counter((r.conv_id, r.turn, r.status, r.level) for r in rows if not r.call_id)
+    assert rest == Counter([(1, 1, "unanswered", 0), (1, None, "unanswered", 2), (None, None, "unanswered", 0), (1, None, "orphan", None), (1, None, "orphan", None)])
+    empty = chat.formatted(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string"), calls.where("false"), results.where("false"), {})
+    assert empty.count() == 0
+    long = spark.createDataFrame([(1, 1, "user", LONG * 20)], "conv_id bigint, turn bigint, role string, text string")
+    assert len(chat.formatted(long, calls.where("false"), results.where("false"), {}).first().json) > len(LONG) * 20
+
+
+def test_levels_are_longest_ways(spark):
+    rng = random.Random(12)
+    needs = {}
+    for n in range(120):
+        kind = rng.random()
+        others = [f"c{m}" for m in range(max(0, n - 5), n)] if kind < 0.97 else [f"c{m}" for m in range(120)]
+        needs[f"c{n}"] = rng.sample(others, min(len(others), 0 if kind < 0.1 else 1 if kind < 0.8 else rng.randint(2, 3)))
+    needs |= {f"long{n}": [f"long{n - 1}"] if n else [] for n in range(300)}
+    needs |= {"join": ["long299", "long7"], "after": ["join"], "loop": ["loop"], "behind": ["loop"], "both": ["loop", "long3"]}
+
+    def level(name, path=()):
+        if name in path:
+            return None
+        below = [level(o, (*path, name)) for o in needs[name]]
+        return None if None in below else max(below, default=-1) + 1
+
+    import sys
+
+    sys.setrecursionlimit(5000)
+    wanted = {name: level(name) for name in needs}
+    rows = [(None, n, name, "t", '{"b": [' + ", ".join('{"$ref": "%s"}' % o for o in of) + "]}") for n, (name, of) in enumerate(needs.items())]
+    none = spark.createDataFrame([], RESULTS)
+    found = chat.linked(spark.createDataFrame(rows, CALLS), none, {"t": []}).collect()
+    assert {r.call_id: r.level for r in found} == wanted and wanted["after"] == 301
 
 
 def test_pipeline(spark):
@@ -447,9 +448,32 @@ def test_pipeline(spark):
 
     docs = queries.table(spark, SF, "documents")
     whole = docs.count()
+    kept = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r.text for r in docs.collect()}
         after = stage(spark, docs, SF)
         assert after.columns == docs.columns
         docs = packing.keep(after, name.replace(" ", "-"))
+        kept.append((before, {r.doc_id: r.text for r in docs.collect()}))
     assert 0 < docs.count() < whole
-    assert corpus_pipeline.run(spark, SF).select("sequence_id").distinct().count() > 0
+    # Near duplicates: what is kept of each group of linked fingerprints is its smallest id.
+    before, after = kept[2]
+    prints = {doc_id: fingerprint(text) for doc_id, text in before.items()}
+    root = {doc_id: doc_id for doc_id in prints}
+    for _ in prints:
+        for a in prints:
+            for b in prints:
+                if root[b] < root[a] and (prints[a] ^ prints[b]).bit_count() <= 2:
+                    root[a] = root[b]
+    assert after == {doc_id: before[doc_id] for doc_id in set(root.values())}
+    # Repeats: bytes by the definition, and whole characters.
+    before, after = kept[3]
+    wanted = repeats([(doc_id, text.encode()) for doc_id, text in before.items()])
+    assert after.keys() == before.keys()
+    for doc_id, text in after.items():
+        assert len(text.encode()) <= len(wanted[doc_id][0]) <= len(text.encode()) + 6 * (1 + len(wanted[doc_id][1]))
+    packed = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in packed} == set(after) and len({r.sequence_id for r in packed}) <= -(-sum(r.length for r in packed) // 2048) + 2
+    empty = queries.table(spark, SF, "documents").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0

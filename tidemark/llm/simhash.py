@@ -12,7 +12,8 @@ neighbours, and those hubs link exactly the same fingerprints. Work is linear ei
 
 Definitions: a text without words has fingerprint zero and is linked like any other; fewer words
 than a shingle are one shingle; repeated rows are linked to each other; rows without id are
-linked, and a component of such rows alone has no id.
+linked, and a component of such rows alone has no id; texts of any length are read whole; an empty
+table gives no rows. Of other columns only ``one_of_each`` passes any on, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm.common import keep, narrow
 from tidemark.llm.components import components
@@ -115,14 +117,20 @@ def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
     return pairs.select("a", "b").distinct().unionByName(hubs.join(used, "b").select("a", "b"))
 
 
+def rooted(classes: DataFrame) -> DataFrame:
+    """``fp, first, root`` of a written table of distinct fingerprints (``fp, first``): ``root`` is
+    the same for fingerprints that are linked."""
+    roots = components(links(classes.select("fp")))
+    found = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return found.select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def group(prints: DataFrame) -> DataFrame:
     """``doc_id, fp, component_id`` of a written table of fingerprints."""
     classes = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    roots = components(links(classes.select("fp")))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    rooted = keep(rooted.select("fp", "first", F.coalesce("root", "fp").alias("root")), "roots")
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
+    found = keep(rooted(classes), "roots")
+    smallest = found.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = found.join(smallest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -130,3 +138,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, fingerprint, component_id``: one row per row of ``docs``."""
     prints = keep(fingerprints(docs, shingle), "fingerprints")
     return group(prints).select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Rows of ``docs``, one of each component: that with the smallest id. Rows without id come
+    last; of rows alike in id it is any one, always the same of one written table."""
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
+    )
+
+    def run(batches):
+        for batch in batches:
+            found = [fingerprint(text.as_py(), shingle) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("whole"), batch.column("doc_id"), pa.array(found, pa.int64())], ["whole", "doc_id", "fp"])
+
+    schema = StructType([*rows.schema.fields[:2], StructField("fp", LongType())])
+    # Numbered once written: the numbers must not change between the two reads.
+    printed = keep(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "printed")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    classes = keep(printed.groupBy("fp").agg(first), "classes")
+    chosen = rooted(classes).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
+    return printed.join(chosen, "row", "left_semi").select(*(F.col(f"whole.`{c}`").alias(c) for c in docs.columns))
