@@ -44,9 +44,9 @@ _PYTHON_ONLY_SPACE = regex.compile("[\x1c-\x1f]")
 _SPACES = regex.compile(f"[{SPACES}]+")
 _PIECES = regex.compile(SPLIT.replace(r"\s", SPACES))
 
-# Bytes of words that a worker remembers in each of two generations of its two memories, roughly,
-# and the longest words worth it.
-CACHE_BYTES = 64_000_000
+# Bytes of words that a worker remembers in each of two generations, roughly, and the longest
+# words worth it.
+CACHE_BYTES = 48_000_000
 CACHE_CHARS = 64
 # What an entry takes besides its word and its tokens.
 ENTRY_BYTES = 200
@@ -137,7 +137,6 @@ class Transducer:
         # Symbols in a token: characters of the byte alphabet, without the word end.
         self.length = [len(t.removesuffix(WORD_END)) for t in self.tokens]
         self.known = Recent()
-        self.pieces = Recent()
         byte_of = {sign: byte for byte, sign in enumerate(signs)}
         self.raw = [self._bytes_of(token, byte_of) for token in self.tokens]
         self.names = [token.encode() for token in self.tokens]
@@ -192,27 +191,35 @@ class Transducer:
         symbols[-1] = self.final[window[-1]]
         return self.merge(symbols)
 
+    def fresh(self, piece: str) -> bytes:
+        data = piece.encode("utf-8", "replace")
+        # Nothing of a word within the lookahead is stable before its end.
+        return array("I", self.last(data) if len(data) <= self.lookahead else self.stream([data])).tobytes()
+
     def word(self, piece: str) -> bytes:
-        found = self.pieces.young.get(piece) or self.pieces.again(piece)
+        """Ids of a piece in lower case. An ASCII one has the same ids standing alone, so it is
+        remembered with the words of texts."""
+        if not piece.isascii() or len(piece) > CACHE_CHARS:
+            return self.fresh(piece)
+        found = self.known.young.get(piece) or self.known.again(piece)
         if not found:
-            data = piece.encode("utf-8", "replace")
-            if len(data) > self.lookahead:
-                return array("I", self.stream([data])).tobytes()
-            # Nothing of a word within the lookahead is stable before its end.
-            found = array("I", self.last(data)).tobytes()
-            if len(piece) <= CACHE_CHARS:
-                self.pieces.put(piece, found)
+            found = self.fresh(piece)
+            self.known.put(piece, found)
         return found
 
     def plain(self, chunk: str) -> bytes:
         """Tokens of text without white space and without added tokens."""
+        lowered = chunk
         if not chunk.isascii():
             # Letters are lowered one by one: a capital sigma has no special form at the end.
-            chunk = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-        chunk = chunk.lower()
-        if chunk.isalpha():
-            return self.word(chunk)
-        return b"".join([self.word(piece) for piece in _PIECES.findall(chunk)])
+            lowered = unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
+        lowered = lowered.lower()
+        if lowered.isalpha():
+            return self.fresh(lowered) if lowered == chunk else self.word(lowered)
+        pieces = _PIECES.findall(lowered)
+        if pieces == [chunk]:
+            return self.fresh(chunk)
+        return b"".join([self.word(piece) for piece in pieces])
 
     def chunk(self, chunk: str) -> bytes:
         found = self.known.again(chunk)
