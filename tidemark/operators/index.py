@@ -12,22 +12,37 @@ from tidemark.functions.coercion import bind
 from tidemark.functions.text import analyse, run_lengths, searchable_text
 from tidemark.functions.vectors import DEFAULT_DIMS, hash_embedding
 from tidemark.operators.fold import is_live, source_form
+from tidemark.operators.inverted import POSTING, write_inverted
 from tidemark.session import staging_dir
 
 # Analysed fields: the tag that marks a term of the field, and the field's column.
 FIELDS = {"t": "title", "s": "summary", "c": "last_comment"}
+# The provider of vectors made from hashed words.
+HASH_PROVIDER = "hash"
+MANIFEST = "provider string, dims int, fields array<string>, buckets int, posting_rows bigint"
 
 
 @dataclass(frozen=True)
 class TextIndex:
     """Tables of one index. ``docs`` has a row per document with everything needed to score
-    it, so scoring never looks outside the row; ``terms`` has a row per tagged term."""
+    it; ``terms`` has a row per tagged term; ``postings``, where they are stored, a row per live
+    document and term, in ``buckets`` folders by term. ``provider`` and ``dims`` say where vectors
+    come from and how long they are."""
 
     docs: DataFrame
     terms: DataFrame
     counts: dict[str, int]
     mean_lengths: dict[str, float]
     documents: int
+    postings: DataFrame | None = None
+    buckets: int = 0
+    posting_rows: int = 0
+    provider: str = HASH_PROVIDER
+    dims: int = DEFAULT_DIMS
+
+
+class ContractError(ValueError):
+    """An index was made otherwise than its user expects."""
 
 
 def embed_documents(docs: DataFrame, dims: int = DEFAULT_DIMS) -> DataFrame:
@@ -126,26 +141,65 @@ def term_statistics(docs: DataFrame) -> DataFrame:
     )
 
 
-def write_index(docs: DataFrame, path: str, dims: int = DEFAULT_DIMS) -> None:
-    """Analyse and embed the documents once and store both tables under ``path``."""
+def write_index(docs: DataFrame, path: str, dims: int = DEFAULT_DIMS, provider: str = HASH_PROVIDER) -> None:
+    """Analyse and embed the documents once and store the tables under ``path``, with a manifest
+    of what they were made with. An index already there must have been made alike."""
+    spark = docs.sparkSession
+    check_contract(manifest(spark, path), provider, dims)
     prepared = analysed(docs)
     if "embedding" not in docs.columns:
+        if provider != HASH_PROVIDER:
+            raise ContractError(f"documents have no vectors of {provider}")
         prepared = embed_documents(prepared, dims)
     prepared.write.mode("overwrite").parquet(f"{path}/docs")
-    stored = docs.sparkSession.read.parquet(f"{path}/docs")
+    stored = spark.read.parquet(f"{path}/docs")
+    wrong = stored.where(is_live() & (F.size("embedding") != dims)).limit(1).count()
+    if wrong:
+        raise ContractError(f"vectors of another length than {dims}")
     term_statistics(stored).write.mode("overwrite").parquet(f"{path}/terms")
-
-
-def open_index(spark: SparkSession, path: str) -> TextIndex:
+    buckets, rows = write_inverted(stored, f"{path}/postings")
+    row = (provider, dims, sorted(stored.columns), buckets, rows)
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def manifest(spark: SparkSession, path: str):
+    """What the index under ``path`` was made with, or None where there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(MANIFEST).json(f"{path}/manifest").first()
+
+
+def check_contract(made, provider: str | None, dims: int | None) -> None:
+    """Raise if an index (its manifest row, or None) was made with another provider of vectors or
+    with vectors of another length."""
+    if made is None:
+        return
+    for name, wanted in (("provider", provider), ("dims", dims)):
+        if wanted is not None and made[name] != wanted:
+            raise ContractError(f"the index has {name} {made[name]}, not {wanted}")
+
+
+def open_index(spark: SparkSession, path: str, provider: str | None = None, dims: int | None = None) -> TextIndex:
+    """The index under ``path``. A ``provider`` or length of vectors that is named must be the
+    one it was made with."""
+    made = manifest(spark, path)
+    if made is None:
+        raise ContractError(f"no index under {path}")
+    check_contract(made, provider, dims)
     docs = spark.read.parquet(f"{path}/docs")
     rows = field_statistics(docs).collect()  # one row per field
     counts = {row["field"]: row["documents"] for row in rows}
     means = {row["field"]: row["total_length"] / row["documents"] for row in rows}
-    return TextIndex(docs, spark.read.parquet(f"{path}/terms"), counts, means, docs.count())
+    lists = spark.read.schema(f"{POSTING}, bucket int").parquet(f"{path}/postings")
+    return TextIndex(
+        docs, spark.read.parquet(f"{path}/terms"), counts, means, docs.count(), lists, made["buckets"], made["posting_rows"],
+        made["provider"], made["dims"],
+    )
 
 
-def build_index(docs: DataFrame, dims: int = DEFAULT_DIMS, path: str | None = None) -> TextIndex:
+def build_index(docs: DataFrame, dims: int = DEFAULT_DIMS, path: str | None = None, provider: str = HASH_PROVIDER) -> TextIndex:
     spark = docs.sparkSession
     path = path or staging_dir(spark, "index")
-    write_index(docs, path, dims)
+    write_index(docs, path, dims, provider)
     return open_index(spark, path)

@@ -23,6 +23,7 @@ from tidemark.operators.blocks import (
 )
 from tidemark.operators.fold import is_live
 from tidemark.operators.index import FIELDS, TextIndex
+from tidemark.operators.inverted import score_lists
 from tidemark.session import MAX_BROADCAST_ROWS, equi_join, staged
 
 # Field boosts, phrase boost, saturation and length parameters, the share of
@@ -39,6 +40,9 @@ TAGS = list(FIELDS)
 # Cells of one score matrix.
 CELLS = 4_000_000
 
+# Postings that are decoded while a cell is scored, or an entry of a list joined; as measured.
+POSTINGS_PER_CELL = 8
+
 LONGEST_TEXT = 1_000_000_000
 
 
@@ -129,9 +133,9 @@ def analyse_queries(queries: DataFrame) -> DataFrame:
 
 
 def spellings(
-    wanted: DataFrame, terms: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS
+    wanted: DataFrame, terms: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS, most: int | None = MAX_SPELLINGS
 ) -> DataFrame:
-    """Dictionary terms close to each wanted term, best fifty per field:
+    """Dictionary terms close to each wanted term, the best ``most`` per field or all (None):
     ``(q_term, term, weight, df)`` with ``df`` the largest among them."""
     spark = terms.sparkSession
     distinct = wanted.select("q_term").distinct()
@@ -166,7 +170,9 @@ def spellings(
     per_field = W.partitionBy("q_term", "field")
     ranked = pairs.withColumn(
         "no", F.row_number().over(per_field.orderBy(F.col("weight").desc(), "term"))
-    ).where(F.col("no") <= MAX_SPELLINGS)
+    )
+    if most is not None:
+        ranked = ranked.where(F.col("no") <= most)
     return ranked.withColumn("df", F.max("df").over(per_field)).select(
         "q_term", "term", "weight", "df"
     )
@@ -229,7 +235,7 @@ def query_plans(
     size = by_field(F.col("field"), index.counts)
     weight = boost * idf(F.col("df"), size) * F.col("weight") * (K1 + 1)
     per_query = entries.groupBy("query_id").agg(
-        F.collect_list(F.struct("term", weight.alias("w"))).alias("entries")
+        F.collect_list(F.struct("term", weight.alias("w"), F.col("df").cast("bigint").alias("df"))).alias("entries")
     )
     title_df = ready.select("query_id", F.explode("q_terms").alias("q_term"))
     title_df = title_df.withColumn("term", F.concat(F.lit("t:"), "q_term"))
@@ -376,18 +382,31 @@ def bm25_matches(
     index: TextIndex,
     k: int,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    lists: bool | None = None,
     **bounds,
 ) -> DataFrame:
     """Matching live documents per query ``(query_id, id, units)``, among them the best ``k``.
 
-    A document row holds all that its scores need, so the index is read once and never
-    shuffled while the query side is within the block bounds.
+    There are two ways to the same scores. The lists of the queries' terms are read and summed up
+    per document, at a cost of their length; or every document is scored where it lies, since its
+    row holds all that its scores need, at a cost of all postings and of a cell per document and
+    query. Document frequencies tell both costs beforehand, and the lesser is taken: lists for
+    some queries of a large index, documents for very many queries of a small one. ``lists`` names
+    the way.
     """
     plans = staged(query_plans(queries, index, max_broadcast_rows), "query-plans")
     sizes = plans.agg(
         F.count(F.lit(1)).alias("queries"),
         F.coalesce(F.sum(F.size("entries")), F.lit(0)).alias("entries"),
+        F.coalesce(F.sum(F.size("q_terms")), F.lit(0)).alias("terms"),
+        F.coalesce(F.sum(F.aggregate("entries", F.lit(0).cast("bigint"), lambda n, e: n + e["df"])), F.lit(0)).alias("met"),
     ).first()
+    by_documents = index.posting_rows / POSTINGS_PER_CELL + sizes["queries"] * index.documents
+    if index.postings is not None and (sizes["met"] <= by_documents if lists is None else lists):
+        return score_lists(
+            plans, index.postings, index.buckets, dict(index.mean_lengths), K1, B, query_rows=sizes["queries"],
+            entry_rows=sizes["entries"] + sizes["terms"], max_broadcast_rows=max_broadcast_rows,
+        )
     docs = index.docs.where(is_live()).select(
         "id", "wiki", "namespace", "title_terms", "terms", "tfs", *[f"{tag}_len" for tag in TAGS]
     )

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import strip, words
-from tidemark.operators.index import TextIndex
+from tidemark.operators.index import HASH_PROVIDER, ContractError, TextIndex
 from tidemark.operators.blocks import UNITS
 from tidemark.operators.lexical import bm25_matches, top_per_query
 from tidemark.operators.nearest import embed_queries, nearest
@@ -151,9 +151,12 @@ def search(
         bm25_matches(lexical, index, candidates, max_broadcast_rows, **bounds), candidates
     )
     if query_vectors is None:
-        semantic = embed_queries(semantic, query_rows)
+        if index.provider != HASH_PROVIDER:
+            raise ContractError(f"the index has vectors of {index.provider}: give query_vectors")
+        semantic = embed_queries(semantic, query_rows, index.dims)
     else:
-        semantic = semantic.join(query_vectors.select("query_id", "embedding"), "query_id")
+        # A query without a vector keeps what its words find.
+        semantic = semantic.join(query_vectors.select("query_id", "embedding"), "query_id", "left")
     knn = top_per_query(
         nearest(
             semantic, index.docs, candidates, floor, query_rows, index.documents, **bounds

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.coercion import bind
 from tidemark.functions.text import clean_comment, searchable_text as searchable, strip
-from tidemark.operators import answers, evaluate, fold
+from tidemark.operators import answers, approximate, evaluate, fold
 from tidemark.operators import enrich as enrichment
 from tidemark.operators import index as indexing
 from tidemark.operators import lexical, nearest, search
@@ -132,6 +132,25 @@ def bm25_search(spark, sf_dir):
     return lexical.top_per_query(found, search.CANDIDATES)
 
 
+def bm25_lists(spark, sf_dir):
+    """The same searches by the lists of their terms, whatever they cost."""
+    asked = asked_in(spark, sf_dir, "bm25")
+    found = lexical.bm25_matches(asked, index_of(spark, sf_dir), search.CANDIDATES, lists=True)
+    return lexical.top_per_query(found, search.CANDIDATES)
+
+
+def knn_approx(spark, sf_dir):
+    """The fifty nearest of all vectors for every vector out of the cells next to it, held against
+    the exact result: how many hits that has, and whether nine of ten were found."""
+    asked, plain = vector_tables(spark, sf_dir)
+    rows = plain.count()
+    cells = approximate.build_cells(plain)
+    found = lexical.top_per_query(approximate.nearest_in_cells(asked, cells, 50, None), 50)
+    exact = lexical.top_per_query(nearest.nearest(asked, plain, 50, None, rows, rows), 50)
+    counted = approximate.recall(found, exact)
+    return counted.agg(F.sum("hits").alias("hits"), (10 * F.sum("found") >= 9 * F.sum("hits")).alias("recalled"))
+
+
 def knn_floor(spark, sf_dir):
     asked = asked_in(spark, sf_dir, "vector")
     index = index_of(spark, sf_dir)
@@ -289,7 +308,7 @@ def eval_grounding(spark, sf_dir):
 
 NAMES = """
     clean_comments source_documents searchable_text hash_embeddings postings corpus_stats fuzzy_terms phrase_match
-    bm25_search knn_exact knn_floor query_weights hybrid_search search_response summary_enrich
+    bm25_search bm25_lists knn_exact knn_approx knn_floor query_weights hybrid_search search_response summary_enrich
     enrich_guard rag_prompt extractive_answer rag_answers grounding eval_titles eval_cases
     eval_grounding
 """.split()
