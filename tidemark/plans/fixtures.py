@@ -250,7 +250,7 @@ def docs(d: Dialect) -> str:
 
 
 def summaries(d: Dialect) -> str:
-    """Page summaries for the documents that lack one, under their site and title."""
+    """Page summaries of all documents, also of those that have one, under their site and title."""
     return (
         "SELECT concat(lang, CASE WHEN doc_id % 28 = 0 THEN 'wiktionary' ELSE 'wiki' END) AS wiki, "
         f"concat(CASE WHEN doc_id % 24 = 0 THEN 'Talk:' ELSE '' END, {d.first('ws', 8)}) AS title, "
@@ -258,8 +258,7 @@ def summaries(d: Dialect) -> str:
         + f" AS type, CASE WHEN doc_id % 16 = 8 THEN '  ' ELSE {d.after('ws', 8)} END AS extract, "
         "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE concat(' page about ', source, ' ') END "
         "AS description "
-        f"FROM (SELECT doc_id, lang, source, {d.words('text')} AS ws FROM @documents) t "
-        "WHERE doc_id % 4 = 0"
+        f"FROM (SELECT doc_id, lang, source, {d.words('text')} AS ws FROM @documents) t"
     )
 
 
