@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import bpe, dedup, packing, quality, rules, simhash
 from tidemark.llm.common import keep, table
 
+# Rows that a stage hands to Python at a time. Documents are long, and both sides hold such a batch.
+BATCH_ROWS = 1000
+
 # SQL can express neither the classifier nor the stages after it.
 ORACLE_SQL = None
 
@@ -35,12 +38,20 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs, bpe.tokenizer_path())
 
 
+def in_small_batches(stage):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("quality classifier", quality_classifier),
-    ("near duplicates", near_duplicates),
-    ("repeated passages", repeated_passages),
-    ("packing", packed_sequences),
+    ("quality rules", in_small_batches(quality_rules)),
+    ("quality classifier", in_small_batches(quality_classifier)),
+    ("near duplicates", in_small_batches(near_duplicates)),
+    ("repeated passages", in_small_batches(repeated_passages)),
+    ("packing", in_small_batches(packed_sequences)),
 ]
 
 
