@@ -376,6 +376,25 @@ def test_topk_is_exact(spark):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in rows) == sorted(wanted)
 
 
+def test_topk_counts_repeated_rows(spark):
+    vectors = [(n, [float(n % 7), float(n % 5), 1.0], "clash") for n in range(1, 60)]
+    vectors += vectors[:25] + vectors[8:12] * 3 + [(20, [9.0, 9.0, 9.0], "clash"), (None, [8.0, 8.0, 8.0], None), (None, [8.0, 8.0, 8.0], None)]
+    table = spark.createDataFrame(vectors, "vec_id bigint, embedding array<double>, rank string").withColumn("copies", F.lit("clash"))
+    is_query = F.col("vec_id") % 20 == 0
+    rows = topk.search(table, is_query, k=6, scale=1, vector_block=16, query_block=1).collect()
+    wanted = []
+    for query in (20, 40):
+        asked = {tuple(v) for i, v, _ in vectors if i == query}
+        scores = [(-sum(a * b for a, b in zip(v, q)), -(2**63) if i is None else i) for q in asked for i, v, _ in vectors if i != query]
+        wanted += [(query, r + 1, None if i == -(2**63) else i, int(-score)) for r, (score, i) in enumerate(sorted(scores)[:6])]
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in rows) == sorted(wanted, key=lambda w: w[:2])
+    assert sorted(r.rank for r in rows if r.query_id == 40 and r.vec_id is None) == [2, 3]
+    empty = topk.search(table.where("false"), is_query)
+    assert empty.collect() == [] and topk.search(table.where("vec_id = 1"), is_query).collect() == []
+    wide = spark.createDataFrame([(n, [float(n)] * 20_000) for n in (20, 21, 22)], "vec_id bigint, embedding array<double>")
+    assert [r.vec_id for r in topk.search(wide, is_query, scale=1).orderBy("rank").collect()] == [22, 21]
+
+
 def test_tool_calls_are_linked(spark):
     schemas = {"t": [chat.Field("a", "integer", maximum=5), chat.Field("b", "object", required=False)]}
     calls = spark.createDataFrame([

@@ -13,9 +13,11 @@ ranking by query merges.
 
 Definitions: vectors that are null or hold null or non-finite components take no part; only
 vectors of a query's own length are its candidates; a candidate with the query's id is the
-query's own row; rows alike in id and vector count once, and rows with one id and different
-vectors are different candidates and different queries of one id, ranked together. Scores are
-64-bit integers.
+query's own row. A candidate row that is repeated comes back as often as it is there, at
+neighbouring ranks; a repeated query is asked once. Rows with one id and different vectors are
+different candidates and different queries of one id, ranked together. An empty table, or one
+without queries, gives no rows. Vectors of any length are read whole, and other columns are passed
+by. Scores are 64-bit integers.
 """
 
 from __future__ import annotations
@@ -77,8 +79,8 @@ def first_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 class Block:
     """The index of one block: segments in order, and the length of what lies behind each."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray):
+        self.ids, self.vectors, self.copies = ids, vectors, copies
         self.segments = segments(vectors)
         squares = (vectors.astype(float) ** 2).sum(axis=1)
         self.rest = []
@@ -87,7 +89,7 @@ class Block:
             self.rest.append(np.sqrt(np.maximum(squares, 0.0)))
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
-        """Rows ``query_id, vec_id, score`` with all of this block's share in the results."""
+        """Rows ``query_id, vec_id, score, copies`` with all of this block's share in the results."""
         exact = self._exact(queries)
         sums = np.zeros((len(queries), len(self.ids)), dtype=exact)
         lengths = np.sqrt((queries.astype(float) ** 2).sum(axis=1))
@@ -113,7 +115,8 @@ class Block:
                 keep_at = np.flatnonzero(members[q])
                 scores = self.vectors[keep_at] @ queries[q]
             best = first_of(scores, self.ids[keep_at], k)
-            out.append((np.full(len(best), query_ids[q]), self.ids[keep_at[best]], scores[best]))
+            at = keep_at[best]
+            out.append((np.full(len(best), query_ids[q]), self.ids[at], scores[best], self.copies[at]))
         return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*out)]
 
     def _exact(self, queries: np.ndarray):
@@ -130,10 +133,10 @@ class Block:
         return members if members.sum() <= RESCORE_SHARE * members.size else None
 
 
-def packed(rows: DataFrame, id_column: str, block_rows: int, blocks: int) -> DataFrame:
-    """Rows dealt into blocks of about ``block_rows``: ``dims, block`` and the rows' columns."""
-    deal = F.pmod(F.xxhash64(id_column, "vector"), F.lit(blocks)).cast("int")
-    return rows.select(F.size("vector").alias("dims"), deal.alias("block"), F.col(id_column).alias("id"), "vector")
+def packed(rows: DataFrame, blocks: int) -> DataFrame:
+    """Rows dealt into so many blocks: ``dims, block`` and the rows' columns."""
+    deal = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(blocks)).cast("int")
+    return rows.select(F.size("vector").alias("dims"), deal.alias("block"), F.col("vec_id").alias("id"), "vector", "copies")
 
 
 def search(embeddings: DataFrame, is_query: Column, k: int = K, id_column: str = "vec_id",
@@ -145,32 +148,38 @@ def search(embeddings: DataFrame, is_query: Column, k: int = K, id_column: str =
         F.col(id_column).cast("bigint").alias("vec_id"),
         integer_vector(F.col(vector_column), scale).alias("vector"),
     )
-    rows = keep(rows.where("vector is not null").distinct(), "vectors")
+    # Rows alike are one candidate with a number, so that copies are multiplied once.
+    rows = rows.where("vector is not null").groupBy("vec_id", "vector").agg(F.count(F.lit(1)).alias("copies"))
+    rows = keep(rows, "vectors")
     queries = rows.where(is_query & F.col("vec_id").isNotNull())
     count = one_row(rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q")))
     blocks = max(1, -(-count["n"] // vector_block))
     query_blocks = max(1, -(-count["q"] // query_block))
     # Each block goes to every block of the other side: copies are as many as the other blocks.
-    left = packed(rows, "vec_id", vector_block, blocks).withColumn(
+    left = packed(rows, blocks).withColumn(
         "query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
     )
-    right = packed(queries, "vec_id", query_block, query_blocks).withColumnRenamed("block", "query_block")
+    right = packed(queries, query_blocks).drop("copies").withColumnRenamed("block", "query_block")
     right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def pair(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        found = [np.zeros(0, np.int64)] * 3
+        found = [np.zeros(0, np.int64)] * 4
         if len(vectors) and len(asked):
-            index = Block(vectors["id"].to_numpy(), np.stack(vectors["vector"].to_numpy()).astype(np.int64))
+            matrix = np.stack(vectors["vector"].to_numpy()).astype(np.int64)
+            index = Block(vectors["id"].to_numpy(), matrix, vectors["copies"].to_numpy())
             found = index.search(asked["id"].to_numpy(), np.stack(asked["vector"].to_numpy()).astype(np.int64), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score", "copies"), found)))
 
     # Candidates without an id can't be told from others: they take the smallest id of all.
     left = left.withColumn("id", F.coalesce("id", F.lit(-(2**63))))
     keys = ["dims", "block", "query_block"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
-        pair, "query_id bigint, vec_id bigint, score bigint"
+        pair, "query_id bigint, vec_id bigint, score bigint, copies bigint"
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    upto = F.sum("copies").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.col("upto") - F.col("copies")
+    ranks = F.sequence(before + 1, F.least(F.col("upto"), F.lit(k)))
+    ranked = found.withColumn("upto", upto).where(before < k).withColumn("rank", F.explode(ranks))
     no_id = F.when(F.col("vec_id") != -(2**63), F.col("vec_id"))
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), no_id.alias("vec_id"), "score")
