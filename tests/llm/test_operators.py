@@ -120,6 +120,13 @@ def test_packing_is_gapless_and_whole(spark, odd, empty):
     assert packing.pack(empty, bpe.tokenizer_path()).count() == 0
 
 
+def test_words_of_the_library_and_of_the_transducer(spark):
+    coder, other = packing.library_words(bpe.tokenizer_path()), bpe.transducer(bpe.tokenizer_path())
+    texts = [t or "" for _, t in ODD] + ["".join(map(chr, range(1, 0x250))), "ÀÉ日本 naïve\x7f\xad ÿ" * 9, "\x1c\x1d a\x85b", "ab" * 33, "é" * 64, "é" * 65]
+    texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").where("text is not null").collect()]
+    assert [coder.encode(t) for t in texts] == [other.encode(t) for t in texts]
+
+
 def test_pieces_are_the_librarys(spark, odd, reference):
     rows = packing.pack(odd, bpe.tokenizer_path(), capacity=64, payload="ids_crc32").collect()
     wanted, total = Counter(), 0

@@ -19,14 +19,16 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import transducer
+from tidemark.llm.bpe import CACHE_CHARS, Recent, Transducer, byte_alphabet
 from tidemark.llm.common import keep, narrow, one_row
 
 CAPACITY = 2048
@@ -34,6 +36,34 @@ END_ID = 0
 # Pieces numbered by one window at most, on average.
 BUCKET_ROWS = 20_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint"
+# Bytes of words that a worker remembers in each of two generations.
+WORD_BYTES = 96_000_000
+
+
+class LibraryWords(Transducer):
+    """The transducer's blocks and memory of words, where words not met before are merged by the
+    tokenizer library's own model; only words too long to remember go through the window."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        super().__init__(path)
+        self.known = Recent(WORD_BYTES)
+        self.model = Tokenizer.from_file(path).model
+        # Each byte as Latin-1 reads it, to the character that stands for it.
+        self.signs = dict(enumerate(byte_alphabet()))
+
+    def fresh(self, piece: str) -> bytes:
+        if len(piece) > CACHE_CHARS:
+            return super().fresh(piece)
+        word = piece.encode("utf-8", "replace").decode("latin-1").translate(self.signs)
+        return array("I", [token.id for token in self.model.tokenize(word)]).tobytes()
+
+
+@lru_cache(maxsize=2)
+def library_words(path: str) -> LibraryWords:
+    """One per worker and file."""
+    return LibraryWords(path)
 
 
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, payload: str = "ids") -> DataFrame:
@@ -43,7 +73,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, payload: str = "id
     end = END_ID.to_bytes(4, "little")
 
     def run(batches):
-        coder, step = transducer(path), 4 * capacity
+        coder, step = library_words(path), 4 * capacity
         value = bytes if payload == "ids" else zlib.crc32
         kind = pa.binary() if payload == "ids" else pa.int64()
         for batch in batches:
