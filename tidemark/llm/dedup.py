@@ -10,13 +10,15 @@ document with a smaller id, or in the same document further left.
 2. *Equal runs.* Runs alike in all their bytes are one class; all but the earliest are covered.
    This takes whole copies out, before anything is grouped.
 3. *Unequal runs with one anchor* are sorted. The earliest run of each class is cut, by the
-   distance to the anchor, into cells of neighbouring windows, each with its bytes and with a
-   hash of the bytes that all windows of the cell share. Cells with a hash of their own drop out,
-   and of equal cells all but the earliest are covered. The others are dealt to blocks by that
-   hash; in a block, a suffix array of all bytes (see ``suffixes``) brings equal windows next to
-   each other, and all but the earliest are covered. A hash with more than ``CROWDED`` unequal
-   cells isn't sorted in one block: its windows are compared by digest, by an aggregate and a
-   join that no key can overload.
+   distance to the anchor, into cells of neighbouring windows. All windows of a cell share its
+   *core*, four fifths of their bytes, and equal windows lie in cells of one core and place: a
+   cell goes on as a 128-bit digest of its core and the few bytes on both sides of it. Cores that
+   occur once drop out, and of equal cells all but the earliest are covered. The others are dealt
+   to blocks by core; in a block, a suffix array (see ``suffixes``) of the bytes around each core,
+   with the core as one symbol of its own between them, brings equal windows next to each other,
+   and all but the earliest are covered. A core with more than ``CROWDED`` unequal cells isn't
+   sorted in one block: its windows are compared by digest, by an aggregate and a join of written
+   tables that no key can overload.
 4. Covered windows are gathered by document and cut out of its text.
 
 Definitions: a null text is empty; an id that is null is smaller than all others; rows alike in
@@ -225,12 +227,13 @@ def anchored(rows: DataFrame, only_hash: bool = False) -> DataFrame:
     return rows.mapInArrow(run, "h bigint" if only_hash else RUN_COLUMNS)
 
 
-CELL_COLUMNS = "key bigint, content bigint, doc bigint, version bigint, lo int, hi int, data binary"
+CELL_COLUMNS = "key binary, content bigint, doc bigint, version bigint, lo int, hi int, before smallint, data binary"
 
 
 def cells(rows: DataFrame) -> DataFrame:
-    """From texts with their runs (``runs``, each as one number): windows by cell, with their bytes,
-    under a hash of the bytes that a cell's windows share and a hash of all of the cell."""
+    """From texts with their runs (``runs``, each as one number): windows by cell, with the bytes
+    around the core, ``before`` of them to its left, under a digest of the core and a hash of all
+    of the cell."""
     number = lambda data: int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
     def run(batches):
@@ -244,11 +247,14 @@ def cells(rows: DataFrame) -> DataFrame:
                     for cell in range(reach // CELL, (reach + width) // CELL + 1):
                         near, far = cell * CELL, min(WINDOW, (cell + 1) * CELL) - 1
                         a, b = max(lo, anchor - far), min(hi, anchor - near)
-                        data = text[a : b + LENGTH]
-                        key = number(b"%d " % cell + text[anchor - near : anchor - far + LENGTH])
-                        out.append((key, number(b"%d " % (anchor - a) + data), doc, version, a, b, data))
+                        core, end = anchor - near, anchor - far + LENGTH
+                        data = text[a:core] + text[end : b + LENGTH]
+                        key = hashlib.blake2b(b"%d " % cell + text[core:end], digest_size=16).digest()
+                        out.append((key, number(b"%d " % (core - a) + data), doc, version, a, b, core - a, data))
             if out:
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                types = [
+                    pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.binary(),
+                ]
                 names = [c.split(" ")[0] for c in CELL_COLUMNS.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
@@ -260,23 +266,33 @@ SPANS = "doc bigint, version bigint, lo int, hi int"
 
 def sorted_block(table: pa.Table) -> pa.Table:
     """Windows of a block that also start earlier in it, found next to each other in the suffix
-    array of all its bytes."""
+    array of all its cells. A cell is the bytes before its core, the core's own symbol, and the
+    bytes after it, so a window of ``CELL`` bytes or fewer stands for one of ``LENGTH``."""
     data = table.column("data").to_pylist()
-    doc, version, lo = (table.column(c).to_numpy() for c in ("doc", "version", "lo"))
-    length = np.array([len(d) for d in data])
+    doc, version, lo, hi, before = (table.column(c).to_numpy() for c in ("doc", "version", "lo", "hi", "before"))
+    cores: dict[bytes, int] = {}
+    core = np.array([cores.setdefault(key, len(cores)) for key in table.column("key").to_pylist()])
+    length = np.array([len(d) + 1 for d in data])
     begin = np.cumsum(length + 1) - length - 1
-    text = np.frombuffer(b"\0".join(data) + b"\0", dtype=np.uint8).astype(np.int64) + 1
-    # What ends a row is smaller than any byte.
-    text[begin + length] = 0
-    order = np.array(suffix_array(text.tolist()), dtype=np.int64)
+    # Symbols of a window: all but those that the other windows of the cell have more.
+    size = length - (hi - lo)
+    # What ends a row is smaller than any byte, and what fills up the last rows is no symbol.
+    text = np.zeros(int(length.sum()) + len(data) + CELL, dtype=np.int64)
+    here = np.ones(len(text) - CELL, dtype=bool)
+    here[begin + length] = here[begin + before] = False
+    text[:-CELL][here] = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.int64) + 1
+    text[begin + before] = 257 + core
+    order = np.array(suffix_array(text[:-CELL].tolist()), dtype=np.int64)
     row = np.searchsorted(begin, order, side="right") - 1
-    inside = order + LENGTH <= begin[row] + length[row]
+    inside = order + size[row] <= begin[row] + length[row]
     order, row = order[inside], row[inside]
-    windows = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
+    windows = np.lib.stride_tricks.sliding_window_view(text, CELL)
+    beyond = np.arange(CELL)[None, :] >= size[row][:, None]
     same = np.zeros(len(order), dtype=bool)
     for at in range(1, len(order), 4096):
         upto = min(len(order), at + 4096)
-        same[at:upto] = (windows[order[at:upto]] == windows[order[at - 1 : upto - 1]]).all(axis=1)
+        equal = windows[order[at:upto]] == windows[order[at - 1 : upto - 1]]
+        same[at:upto] = (equal | beyond[at:upto]).all(axis=1)
     number = np.cumsum(~same)
     start = lo[row] + order - begin[row]
     # The first of each set of equals, by document and place.
@@ -296,23 +312,28 @@ def sorted_block(table: pa.Table) -> pa.Table:
 
 
 def by_digest(crowded: DataFrame) -> DataFrame:
-    """Covered windows of crowded keys: the first of equal windows is an aggregate."""
+    """Covered windows of crowded cores: the first of equal windows is an aggregate."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc, version, lo, hi, data in zip(*(batch.column(c).to_pylist() for c in ("doc", "version", "lo", "hi", "data"))):
+            columns = (batch.column(c).to_pylist() for c in ("key", "doc", "version", "lo", "hi", "before", "data"))
+            for key, doc, version, lo, hi, before, data in zip(*columns):
+                size = len(data) - (hi - lo)
                 for at in range(hi - lo + 1):
-                    out.append((hashlib.blake2b(data[at : at + LENGTH], digest_size=16).digest(), doc, version, lo + at))
+                    window = key + b"%d " % (before - at) + data[at : at + size]
+                    out.append((hashlib.blake2b(window, digest_size=16).digest(), doc, version, lo + at))
             if out:
                 types = [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out), types)], ["digest", "doc", "version", "at"]
                 )
 
-    windows = crowded.mapInArrow(run, "digest binary, doc bigint, version bigint, at int")
+    windows = keep(crowded.mapInArrow(run, "digest binary, doc bigint, version bigint, at int"), "windows")
     firsts = windows.groupBy("digest").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
-    later = windows.join(firsts.where("n > 1"), "digest").where("doc <> first.doc or at <> first.at")
+    # Written, so that the join may split a window that very many cells have.
+    firsts = keep(firsts.where("n > 1").select("digest", "first"), "firsts")
+    later = windows.join(firsts, "digest").where("doc <> first.doc or at <> first.at")
     return later.select("doc", "version", F.col("at").alias("lo"), F.col("at").alias("hi"))
 
 
@@ -349,7 +370,8 @@ def covered_cells(cut: DataFrame) -> DataFrame:
     is_first = F.col("version").eqNullSafe(F.col("first.version")) & (F.col("doc") == F.col("first.doc")) & (F.col("lo") == F.col("first.lo"))
     is_copy = (F.col("doc") != F.col("first.doc")) | (F.col("lo") != F.col("first.lo"))
     own = own.where(is_copy | (is_first & (F.col("n") > 1))).select(
-        "key", "doc", "version", "lo", "hi", "n", is_copy.alias("is_copy"), F.when(~is_copy, F.col("data")).alias("data")
+        F.when(~is_copy, F.col("key")).alias("key"), "doc", "version", "lo", "hi", "n", "before", is_copy.alias("is_copy"),
+        F.when(~is_copy, F.col("data")).alias("data"),
     )
     own = keep(own, "compared")
     copies = own.where("is_copy").select("doc", "version", "lo", "hi")
@@ -357,11 +379,11 @@ def covered_cells(cut: DataFrame) -> DataFrame:
     few = firsts.where(F.col("n") <= CROWDED)
     total = one_row(few.agg(F.sum(F.length("data")).alias("size")))["size"] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    dealt = few.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), "doc", "version", "lo", "data")
+    dealt = few.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), "key", "doc", "version", "lo", "hi", "before", "data")
     # Sorting costs far more than reading, so blocks aren't gathered by their bytes.
     dealt = dealt.repartition(min(blocks, MOST_TASKS), "block")
     sorted_ones = dealt.groupBy("block").applyInArrow(sorted_block, SPANS)
-    crowded = firsts.where(F.col("n") > CROWDED).select("doc", "version", "lo", "hi", "data")
+    crowded = firsts.where(F.col("n") > CROWDED).select("key", "doc", "version", "lo", "hi", "before", "data")
     return copies.unionByName(sorted_ones).unionByName(by_digest(crowded))
 
 
