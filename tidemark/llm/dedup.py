@@ -17,8 +17,8 @@ document with a smaller id, or in the same document further left.
    to blocks by core; in a block, a suffix array (see ``suffixes``) of the bytes around each core,
    with the core as one symbol of its own between them, brings equal windows next to each other,
    and all but the earliest are covered. A core with more than ``CROWDED`` unequal cells isn't
-   sorted in one block: its windows are compared by digest, by an aggregate and a join of written
-   tables that no key can overload.
+   sorted in one block: its windows are compared by digest, by an aggregate and a join in which the
+   firsts of the most common windows, at most ``MOST_HOT``, go to the rows.
 4. Covered windows are gathered by document and cut out of its text.
 
 Definitions: a null text is empty; an id that is null is smaller than all others; rows alike in
@@ -47,6 +47,8 @@ CELLS = 4
 CELL = -(-WINDOW // CELLS)
 CROWDED = 1024
 BLOCK_BYTES = 1 << 17
+# Windows that may be so common that their firsts are sent to every task.
+MOST_HOT = 10_000
 # Tasks that blocks are dealt to; a task takes its blocks one by one.
 MOST_TASKS = 20_000
 # Bytes measured at a time. Longer texts go in parts that overlap by a window.
@@ -331,9 +333,12 @@ def by_digest(crowded: DataFrame) -> DataFrame:
 
     windows = keep(crowded.mapInArrow(run, "digest binary, doc bigint, version bigint, at int"), "windows")
     firsts = windows.groupBy("digest").agg(F.min(F.struct("doc", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
-    # Written, so that the join may split a window that very many cells have.
-    firsts = keep(firsts.where("n > 1").select("digest", "first"), "firsts")
-    later = windows.join(firsts, "digest").where("doc <> first.doc or at <> first.at")
+    firsts = keep(firsts.where("n > 1"), "firsts")
+    # Digests with more than this share of all rows can't be more than its inverse.
+    hot = F.col("n") > max(1, windows.count() // MOST_HOT)
+    few = F.broadcast(firsts.where(hot).select("digest", "first"))
+    rest = windows.join(few.select("digest"), "digest", "left_anti").join(firsts.where(~hot).select("digest", "first"), "digest")
+    later = windows.join(few, "digest").unionByName(rest).where("doc <> first.doc or at <> first.at")
     return later.select("doc", "version", F.col("at").alias("lo"), F.col("at").alias("hi"))
 
 
