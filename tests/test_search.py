@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -253,3 +254,35 @@ def test_a_record_without_text_never_wins(spark):
     summaries = spark.createDataFrame(rows, schema)
     text = summary_text(F.col("type"), F.col("extract"), F.col("description"))
     assert [r[0] for r in summaries.select(text).collect()] == [None, "Good text."]
+
+
+def test_summaries_of_values_add_up(spark):
+    from tidemark.operators.quantiles import merge, quantiles, summarize
+
+    wanted = [0.0, 0.25, 0.5, 0.9, 0.99, 1.0]
+    rows = spark.range(20_000).selectExpr(
+        "concat('k', id % 3) AS label", "id % 7 AS part", "exp((id * 7919 % 10007) / 900.0 - 6) AS seconds"
+    )
+    merged = merge(summarize(rows, ["label", "part"]), ["label"])
+    got = {(r.label, r["quantile"]): r for r in quantiles(merged, ["label"], wanted).collect()}
+    values = {}
+    for r in rows.collect():
+        values.setdefault(r.label, []).append(r.seconds)
+    assert len(got) == 3 * len(wanted)
+    for label, numbers in values.items():
+        numbers.sort()
+        for q in wanted:
+            exact = numbers[max(0, math.ceil(q * len(numbers)) - 1)]
+            assert abs(got[label, q].seconds - exact) <= exact / 2**7 + 1e-6
+            assert got[label, q].observations == len(numbers)
+    whole = summarize(rows, ["label"])
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, merged.select(*whole.columns).collect()))
+
+    odd = spark.createDataFrame(
+        [("a", None), ("a", float("nan")), ("b", -3.0), ("b", 0.0), ("b", 0.000127), ("c", float("inf")), (None, 2.0)],
+        "label string, seconds double",
+    )
+    got = {(r.label, r["quantile"]): r.seconds for r in quantiles(summarize(odd, ["label"]), ["label"], [0.0, 1.0]).collect()}
+    assert got["b", 0.0] == 0.0 and got["b", 1.0] == 0.000127 and ("a", 0.0) not in got
+    assert got["c", 1.0] >= 2.0**62 / 1e6 and got[None, 0.0] == pytest.approx(2.0, rel=2**-7)
+    assert quantiles(summarize(odd.where("false"), ["label"]), ["label"], [0.5]).count() == 0

@@ -163,3 +163,82 @@ def test_replay_into_a_compacted_store_adds_what_is_missing(spark):
     assert {s for _, _, s in state(spark, store).values()} == {"About it"}
     run(spark, path, store, staging_dir(spark, "offsets"))
     assert {k: v[0] for k, v in state(spark, store).items()} == {k: v[0] for k, v in want.items()}
+
+
+LOG = "seq bigint, partition int, offset bigint, key string, value string"
+
+
+def test_handoff_from_snapshot_to_stream(spark):
+    from tidemark.operators import fold
+    from tidemark.sources.changelog import split_dead_letters
+    from tidemark.streaming.handoff import Handoff, high_water
+
+    before = [(0, 0, 10, "1", change("c", 1, 100)), (1, 1, 5, "2", change("c", 2, 100)), (2, 0, 11, "4", change("c", 4, 90))]
+    # Between the marks and the read of the source; the snapshot shows them.
+    inside = [(3, 0, 12, "1", change("u", 1, 200, comment="inside")), (4, 1, 6, "2", change("d", 2, 210))]
+    # Changes, a late one, a row that comes back, and a partition that is new.
+    after = [
+        (5, 0, 13, "1", change("u", 1, 150, comment="late")), (6, 1, 7, "2", change("c", 2, 300)),
+        (7, 2, 0, "3", change("c", 3, 50)), (8, 0, 14, "4", change("u", 4, 400, comment="after")),
+    ]
+    log = spark.createDataFrame(before, LOG)
+    store = DocumentStore(staging_dir(spark, "store"), 8)
+    handoff = Handoff(staging_dir(spark, "handoff"), store)
+    with pytest.raises(ValueError):
+        handoff.load(log)
+    handoff.begin(log)
+    source = split_dead_letters(spark.createDataFrame(before + inside, LOG))[0]
+    handoff.load(fold.latest_per_id(source))
+    # A start that is repeated keeps its marks and replaces its snapshot.
+    handoff.begin(spark.createDataFrame(before + inside, LOG))
+    handoff.load(fold.latest_per_id(source))
+    assert {r.partition: r.upto for r in handoff.marks(spark).collect()} == {0: 11, 1: 5}
+    assert store.docs.parts(spark).count() == 3
+    assert json.loads(handoff.starting_offsets(spark, "t", 3)) == {"t": {"0": 12, "1": 6, "2": -2}}
+
+    path = staging_dir(spark, "in")
+    spark.createDataFrame(before + inside + after, LOG).write.parquet(path)
+    everything = spark.createDataFrame(before + inside + after, LOG)
+    assert {r.seq for r in handoff.tail(everything).collect()} == {3, 4, 5, 6, 7, 8}
+    messages = spark.readStream.schema(LOG).parquet(path)
+    jobs.sync_changes(handoff.tail(messages), store, staging_dir(spark, "offsets"), None).awaitTermination()
+    got = {r.id: (r.version, r.deleted, r.last_comment) for r in store.state(spark).collect()}
+    whole = fold.source_form(fold.latest_per_id(split_dead_letters(everything)[0]))
+    assert got == {r.id: (r.version, r.deleted, r.last_comment) for r in whole.collect()}
+    assert got["1"] == (200, False, "inside") and got["2"][0] == 300 and got["4"][2] == "after"
+    assert high_water(log.where("false")).count() == 0
+
+
+def test_summaries_as_a_stream(spark):
+    store = DocumentStore(staging_dir(spark, "store"), 8)
+    known = BatchTable(staging_dir(spark, "known"), jobs.SUMMARY)
+    path, checkpoint, inbox = staging_dir(spark, "summaries"), staging_dir(spark, "offsets"), staging_dir(spark, "in")
+
+    def summary(title, text, kind="standard"):
+        spark.createDataFrame([("enwiki", title, kind, text, None)], jobs.SUMMARY).coalesce(1).write.mode("append").parquet(path)
+
+    def enrich():
+        found = spark.readStream.schema(jobs.SUMMARY).parquet(path)
+        jobs.enrich_documents(found, store, known, checkpoint, None).awaitTermination()
+
+    def sync(first_seq, *values):
+        land(spark, inbox, first_seq, values)
+        run(spark, inbox, store, inbox + "-offsets")
+
+    sync(0, change("c", 1, 10, "One"), change("c", 2, 10, "Two"))
+    summary("One", "About one"), summary("Three", "About three")
+    enrich()
+    sync(10, change("c", 3, 10, "Three"), change("u", 1, 20, "One", "newer"))
+    assert state(spark, store) == {"1": (20, False, None), "2": (10, False, None), "3": (10, False, None)}
+    # The next records bring those of before to documents that came, or were replaced, since.
+    summary("Two", None, "no-extract"), summary("Two", "About two")
+    enrich()
+    want = {"1": (20, False, "About one"), "2": (10, False, "About two"), "3": (10, False, "About three")}
+    assert state(spark, store) == want
+    # A summary stays, and a batch that is repeated writes nothing.
+    summary("One", "A", "standard")
+    enrich()
+    parts = store.docs.parts(spark).count()
+    own = f"enrichment-{jobs.run_of(checkpoint)(spark)}"
+    store.enrich(spark, known.parts(spark), (own, 1))
+    assert state(spark, store) == want and store.docs.parts(spark).count() == parts

@@ -20,6 +20,8 @@ NUMBERS = ["BIGINT", "DECIMAL", "DOUBLE"]
 TRUE_TEXTS = ["1", "true", "t", "yes"]
 MICROS_ABOVE = 1e14
 MILLIS_ABOVE = 1e11
+# Fixed value: the last millisecond of the year 9999.
+LAST_MILLIS = 253_402_300_799_999
 
 ISO_TIME = (
     r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:\d{2})?)?$"
@@ -158,6 +160,12 @@ def decode_time(text: Column, value_kind: Column) -> Column:
     ).when(value_kind == TEXT, iso_time(text))
 
 
+def millis_time(millis: Column) -> Column:
+    """Epoch milliseconds, such as the source time of a change, as a timestamp; null beyond the
+    years that a calendar date has."""
+    return F.when(F.abs(millis) <= LAST_MILLIS, F.timestamp_millis(millis))
+
+
 def epoch_seconds_time(text: Column, value_kind: Column) -> Column:
     micros = F.rint(text.try_cast("double") * 1e6).cast("bigint")
     return F.when(value_kind.isin(NUMBERS), F.timestamp_micros(micros))

@@ -321,6 +321,27 @@ def latency_histogram() -> str:
         FROM g, b"""
 
 
+def summarized(rows: str, keys: str, wanted: str) -> str:
+    """Quantiles over ``keys`` of the column ``seconds``, to seven binary digits of a millionth."""
+    return f"""
+        SELECT {keys}, quantile, (slot + ((1::BIGINT << digits) >> 1)) / 1000000.0::DOUBLE AS seconds,
+               CAST(total AS BIGINT) AS observations
+        FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY slot) AS cum, sum(n) OVER (PARTITION BY {keys}) AS total
+              FROM (SELECT {keys}, (v >> digits) << digits AS slot, digits, count(*) AS n
+                    FROM (SELECT {keys}, v, greatest(0, length(bin(v)) - 7) AS digits
+                          FROM (SELECT *, CAST(floor(greatest(seconds, 0.0) * 1000000) AS BIGINT) AS v
+                                FROM ({rows}) r WHERE seconds IS NOT NULL) a) b
+                    GROUP BY ALL) c) d,
+             (SELECT CAST(unnest([{wanted}]) AS DOUBLE) AS quantile) q
+        WHERE cum >= quantile * total
+        QUALIFY row_number() OVER (PARTITION BY {keys}, quantile ORDER BY slot) = 1"""
+
+
+def daily_quantiles() -> str:
+    rows = "SELECT event_type AS label, epoch_us(date_trunc('day', ts)) AS day_us, value AS seconds FROM events"
+    return summarized(rows, "label, day_us", "0.0, 0.5, 0.95, 0.99, 1.0")
+
+
 def latency_quantiles() -> str:
     bounds = ", ".join(f"({n}, {b}::DOUBLE)" for n, b in enumerate(SYNC_BOUNDS))
     return f"""
@@ -336,8 +357,8 @@ def latency_quantiles() -> str:
         SELECT f.label, CAST(q AS DOUBLE) AS quantile,
                round(CASE WHEN isinf(le) THEN lower
                           ELSE lower + (le - lower) * (q * total - below) / (cum - below) END, 6) AS seconds,
-               (SELECT round(quantile_cont(seconds, 0.5), 6) FROM l WHERE l.label = f.label) AS exact_median
-        FROM f"""
+               m.seconds AS median
+        FROM f JOIN ({summarized("SELECT label, seconds FROM l", "label", "0.5")}) m USING (label)"""
 
 
 def sync_latency(moment: int) -> str:

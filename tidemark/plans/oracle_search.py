@@ -306,6 +306,12 @@ def enrich_guard() -> str:
         FROM ({fx.cte(fx.docs)}) d LEFT JOIN ({enriched()}) e ON d.id = e.id"""
 
 
+def stream_enrich() -> str:
+    """Every document, with the summary found for those that had none."""
+    return f"""SELECT d.id, d.version, coalesce(e.summary, d.summary) AS summary
+        FROM ({fx.cte(fx.docs)}) d LEFT JOIN ({enriched()}) e ON d.id = e.id"""
+
+
 def quoted(x: str) -> str:
     body = f"replace({x}, '\\', '\\\\')"
     for raw, shown in (("chr(10)", "\\n"), ("chr(13)", "\\r"), ("chr(9)", "\\t")):

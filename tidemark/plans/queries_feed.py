@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import edits as edit_ops
-from tidemark.operators import fold, live, metrics
+from tidemark.operators import fold, live, metrics, quantiles
 from tidemark.plans import fixtures as fx
 from tidemark.session import configure, scan, staged
 from tidemark.sources import changelog as feed
@@ -228,12 +228,22 @@ def latency_quantiles(spark, sf_dir):
     observed = latencies(spark, sf_dir)
     buckets = metrics.bucket_counts(observed, metrics.SYNC_LATENCY_BOUNDS)
     estimated = metrics.bucket_quantiles(buckets, [0.5, 0.95, 0.99])
-    exact = observed.groupBy("label").agg(
-        F.round(F.percentile("seconds", F.lit(0.5)), 6).alias("exact_median")
+    # Beside the estimate from a few wide buckets, the median from a summary of narrow ones.
+    median = quantiles.quantiles(quantiles.summarize(observed, ["label"]), ["label"], [0.5], "median")
+    return estimated.join(median.select("label", "median"), "label").select(
+        "label", "quantile", F.round("seconds", 6).alias("seconds"), "median"
     )
-    return estimated.join(exact, "label").select(
-        "label", "quantile", F.round("seconds", 6).alias("seconds"), "exact_median"
+
+
+def daily_quantiles(spark, sf_dir):
+    """Quantiles per label and day, from stored summaries per hour that are added up."""
+    timed = events(spark, sf_dir).select(
+        F.col("event_type").alias("label"), F.date_trunc("hour", "ts").alias("hour"), F.col("value").alias("seconds")
     )
+    hourly = staged(quantiles.summarize(timed, ["label", "hour"]), "hourly")
+    days = hourly.withColumn("day_us", F.unix_micros(F.date_trunc("day", "hour")))
+    keys = ["label", "day_us"]
+    return quantiles.quantiles(quantiles.merge(days, keys), keys, [0.0, 0.5, 0.95, 0.99, 1.0])
 
 
 # The moment at which the sync latency below is taken, in epoch milliseconds.
@@ -288,6 +298,7 @@ def queries():
         "counters_by_op": counters_by_op,
         "latency_histogram": latency_histogram,
         "latency_quantiles": latency_quantiles,
+        "daily_quantiles": daily_quantiles,
         "sync_latency": sync_latency,
         "rate_1m": rate_1m,
         "rate_5m_sliding": rate_5m_sliding,
@@ -319,6 +330,7 @@ def oracle_sql():
         "counters_by_op": o.counters(),
         "latency_histogram": o.latency_histogram(),
         "latency_quantiles": o.latency_quantiles(),
+        "daily_quantiles": o.daily_quantiles(),
         "sync_latency": o.sync_latency(LATENCY_MOMENT),
         "rate_1m": o.rate_1m(),
         "rate_5m_sliding": o.rate_5m(),

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.plans import fixtures as fx
+from tidemark.functions.coercion import millis_time
+from tidemark.operators import fold
 from tidemark.plans import queries_feed as feed
+from tidemark.plans import queries_search as search
 from tidemark.session import staging_dir
-from tidemark.sources import recent_changes, repo_events
+from tidemark.sources import changelog, recent_changes, repo_events
 from tidemark.streaming import jobs
-from tidemark.streaming.store import DocumentStore, PageStore
+from tidemark.streaming.handoff import Handoff
+from tidemark.streaming.store import BatchTable, DocumentStore, PageStore
 
 BATCHES = 4
 
@@ -52,6 +56,47 @@ def stream_replay(spark, sf_dir):
     return feed.state_cols(store.state(spark))
 
 
+# Partitions of the change topic below.
+PARTITIONS = 4
+
+
+def bootstrap_stream(spark, sf_dir):
+    """A replica started from a snapshot. Every partition of the topic is marked at another place,
+    and the snapshot shows a tenth of the log more than its mark."""
+    topic = feed.messages(spark, sf_dir).withColumns({
+        "partition": F.pmod(F.xxhash64("key"), F.lit(PARTITIONS)).cast("int"), "offset": F.col("seq"),
+    })
+    end = F.broadcast(topic.agg(F.max("offset").alias("end")))
+    share = (F.col("partition") + 1) / F.lit(PARTITIONS + 1)
+    log = topic.join(end).withColumn("at", F.col("offset") / F.col("end"))
+    store = DocumentStore(staging_dir(spark, "documents"))
+    handoff = Handoff(staging_dir(spark, "handoff"), store)
+    handoff.begin(log.where(F.col("at") <= share))
+    seen = changelog.parse_changelog(log.where(F.col("at") <= share + 0.1).drop("end", "at"))
+    handoff.load(fold.latest_per_id(changelog.changes_of(seen)))
+    tail = handoff.tail(landed(topic, "messages"))
+    jobs.sync_changes(tail, store, staging_dir(spark, "offsets"), None).awaitTermination()
+    source_us = F.unix_micros(millis_time(F.col("version"))).alias("source_us")
+    return feed.state_cols(store.state(spark)).select("*", source_us)
+
+
+def stream_enrich(spark, sf_dir):
+    """Summaries streamed into the store; documents of other sites arrive after them, and are
+    tried again."""
+    docs = search.docs(spark, sf_dir)
+    first = F.coalesce(F.col("wiki") == "enwiki", F.lit(False))
+    store = DocumentStore(staging_dir(spark, "documents"))
+    store.write_changes(docs.where(first), 0)
+    # All records of a page lie in one file, and so in one batch.
+    summaries = fx.view(spark, sf_dir, fx.summaries).withColumn("seq", F.xxhash64("wiki", "title"))
+    known = BatchTable(staging_dir(spark, "summaries"), jobs.SUMMARY)
+    found = landed(summaries, "summaries")
+    jobs.enrich_documents(found, store, known, staging_dir(spark, "offsets"), None).awaitTermination()
+    store.write_changes(docs.where(~first), 1)
+    store.enrich(spark, known.parts(spark))
+    return store.state(spark).select("id", "version", "summary")
+
+
 def stream_dead_letters(spark, sf_dir):
     bad = synced(spark, sf_dir).dead_letters.parts(spark)
     decoded = ~F.col("payload").startswith('{"_raw":')
@@ -102,6 +147,8 @@ def queries():
         "stream_index": stream_index,
         "stream_compacted": stream_compacted,
         "stream_replay": stream_replay,
+        "bootstrap_stream": bootstrap_stream,
+        "stream_enrich": stream_enrich,
         "stream_dead_letters": stream_dead_letters,
         "stream_pages": stream_pages,
         "stream_repo_dedup": stream_repo_dedup,
@@ -112,11 +159,14 @@ def queries():
 
 def oracle_sql():
     from tidemark.plans import oracle_feed as o
-    from tidemark.plans.oracle_search import clean
+    from tidemark.plans.oracle_search import clean, stream_enrich
 
     cleaned = f"nullif({clean('last_comment')}, '')"
     state = f"SELECT * REPLACE ({cleaned} AS last_comment) FROM ({o.index_state()}) s"
+    known_time = "CASE WHEN abs(version) <= 253402300799999 THEN version * 1000 END"
     return {
+        "bootstrap_stream": f"SELECT *, {known_time} AS source_us FROM ({state}) b",
+        "stream_enrich": stream_enrich(),
         "stream_index": state,
         "stream_compacted": state,
         "stream_replay": state,

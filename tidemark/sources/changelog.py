@@ -154,7 +154,8 @@ def kafka_messages(spark, servers: str, topic: str, starting: str = "earliest")
     """A change topic as a stream; needs the Kafka connector on the class path.
 
     ``seq`` is the offset: a row's messages share a key and so a partition, which makes the
-    offset their order.
+    offset their order. ``partition`` and ``offset`` say where a message lies, for a handoff
+    (see ``streaming.handoff``), whose ``starting_offsets`` are a value for ``starting``.
     """
     stream = (
         spark.readStream.format("kafka")
@@ -165,6 +166,8 @@ def kafka_messages(spark, servers: str, topic: str, starting: str = "earliest")
     )
     return stream.select(
         F.col("offset").alias("seq"),
+        "partition",
+        "offset",
         F.col("key").cast("string").alias("key"),
         F.col("value").cast("string").alias("value"),
     )

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from tidemark.operators.live import live_events
 from tidemark.operators.metrics import windowed_rate
 from tidemark.sources.changelog import changes_of, dead_letters_of, parse_changelog
-from tidemark.streaming.store import BatchTable, DocumentStore, PageStore
+from tidemark.streaming.store import ENRICHMENT, BatchTable, DocumentStore, PageStore
 
 # Pace of the two jobs in seconds. How much a batch may hold is a setting of
 # the source (``maxOffsetsPerTrigger`` or ``maxFilesPerTrigger``).
@@ -72,6 +72,30 @@ def sync_changes(
     return _start(messages.writeStream.foreachBatch(write), checkpoint, seconds)
 
 
+SUMMARY = "wiki STRING, title STRING, type STRING, extract STRING, description STRING"
+
+
+def enrich_documents(
+    summaries: DataFrame, store: DocumentStore, known: BatchTable, checkpoint: str, seconds: float | None = SYNC_SECONDS
+) -> StreamingQuery:
+    """Summaries as they are found, into documents that lack one.
+
+    Each batch is added to ``known``, and all that is known then meets all documents without a
+    summary, so that those which came since the last batch, or lost theirs to a newer edit, are
+    tried again. ``store.enrich`` with ``known`` does the same where no new summaries come. A
+    document keeps the summary it got first; of records in one batch the least one counts.
+    """
+    run = run_of(checkpoint)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        own = run(spark)
+        known.write_batch(batch, batch_id, own)
+        store.enrich(spark, known.parts(spark), (f"{ENRICHMENT}-{own}", batch_id))
+
+    return _start(summaries.writeStream.foreachBatch(write), checkpoint, seconds)
+
+
 def ingest_edits(
     edits: DataFrame, store: PageStore, checkpoint: str, seconds: float | None = INGEST_SECONDS
 ) -> StreamingQuery:

@@ -155,13 +155,15 @@ class DocumentStore:
         if cut.batches:
             self.docs.snapshot(self.state(spark, cut), cut)
 
-    def enrich(self, spark: SparkSession, summaries: DataFrame) -> None:
+    def enrich(self, spark: SparkSession, summaries: DataFrame, batch: tuple[str, int] | None = None) -> None:
         """Add summaries to documents that lack one. Documents were searchable before; a
-        newer edit that arrives meanwhile wins over what is written here. One at a time."""
+        newer edit that arrives meanwhile wins over what is written here. One at a time.
+        ``batch`` is the run and number of a stream's batch, which writes once."""
         cut = self.docs.cut(spark)
-        found = enrich(self.state(spark, cut), summaries)
-        number = cut.upto().get(ENRICHMENT, -1) + 1
-        self.docs.write_batch(embed_documents(found, self.dims), number, ENRICHMENT)
+        run, number = batch or (ENRICHMENT, cut.upto().get(ENRICHMENT, -1) + 1)
+        if cut.upto().get(run, -1) < number:
+            found = enrich(self.state(spark, cut), summaries)
+            self.docs.write_batch(embed_documents(found, self.dims), number, run)
 
 
 class PageStore:
