@@ -51,8 +51,11 @@ BLOCK_BYTES = 1 << 17
 MOST_HOT = 10_000
 # Tasks that blocks are dealt to; a task takes its blocks one by one.
 MOST_TASKS = 20_000
-# Bytes measured at a time. Longer texts go in parts that overlap by a window.
-PART = 1 << 20
+# Bytes measured at a time, about; a dozen arrays of numbers of eight bytes go with each. Longer
+# texts go in parts that overlap by a window.
+PART = 1 << 18
+# Cells that a task gathers before it hands them on.
+MOST_CELLS = 20_000
 NO_ID = -(2**63)
 
 _U = np.uint64
@@ -238,10 +241,17 @@ def cells(rows: DataFrame) -> DataFrame:
     of the cell."""
     number = lambda data: int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
+    types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.binary()]
+    names = [c.split(" ")[0] for c in CELL_COLUMNS.split(", ")]
+
+    def table(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
     def run(batches):
+        out: list[tuple] = []
         for batch in batches:
-            out: list[tuple] = []
-            for doc, version, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc", "version", "text", "runs"))):
+            for values in zip(*(batch.column(c) for c in ("doc", "version", "text", "runs"))):
+                doc, version, text, found = (value.as_py() for value in values)
                 for packed in found:
                     lo, width, reach = packed >> 16, packed >> 8 & 255, packed & 255
                     hi = lo + width
@@ -253,12 +263,11 @@ def cells(rows: DataFrame) -> DataFrame:
                         data = text[a:core] + text[end : b + LENGTH]
                         key = hashlib.blake2b(b"%d " % cell + text[core:end], digest_size=16).digest()
                         out.append((key, number(b"%d " % (core - a) + data), doc, version, a, b, core - a, data))
-            if out:
-                types = [
-                    pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.binary(),
-                ]
-                names = [c.split(" ")[0] for c in CELL_COLUMNS.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                    if len(out) >= MOST_CELLS:
+                        yield table(out)
+                        out = []
+        if out:
+            yield table(out)
 
     return rows.mapInArrow(run, CELL_COLUMNS)
 
