@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep, one_row, text_bytes
+from tidemark.llm.common import forget, keep, one_row, text_bytes
 from tidemark.llm.suffixes import suffix_array
 
 LENGTH = 100
@@ -358,6 +358,7 @@ def covered(rows: DataFrame) -> DataFrame:
         anchored(rows, only_hash=True).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often"
     )
     repeated = keep(anchored(rows).join(often, "h"), "anchors")
+    forget(often)
     classes = keep(
         repeated.groupBy("h", "context").agg(F.min(F.struct("doc", "lo", "version", "width", "reach")).alias("first")),
         "classes",
@@ -388,6 +389,9 @@ def covered_cells(cut: DataFrame) -> DataFrame:
         F.when(~is_copy, F.col("data")).alias("data"),
     )
     own = keep(own, "compared")
+    # Nothing reads these after it.
+    forget(cut)
+    forget(kinds)
     copies = own.where("is_copy").select("doc", "version", "lo", "hi")
     firsts = own.where("not is_copy")
     few = firsts.where(F.col("n") <= CROWDED)
