@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -153,6 +154,28 @@ def test_plans_use_every_piece_once():
         assert used == counts
     # One exact triple, found although no pair fills the gap.
     assert packing.plan({10: 1, 3: 1, 2: 1, 1: 1}, 16) == [([(10, 1), (3, 1), (2, 1), (1, 1)], 1)]
+    # 6 + 6 + 2 lacks a second 6; the next triple with 6 fills the gap.
+    assert packing.plan({20: 1, 6: 1, 5: 1, 3: 1, 2: 1}, 34)[0] == ([(20, 1), (6, 1), (5, 1), (3, 1)], 1)
+
+
+def test_index_of_sums():
+    rng = random.Random(5)
+    for _ in range(30):
+        capacity = rng.choice([20, 50])
+        counts = {rng.randint(1, capacity): rng.randint(1, 3) for _ in range(rng.randint(1, 9))}
+        left = packing.Available(counts, capacity)
+        sums = [{0}]
+        for _ in range(3):
+            sums.append({s + n for s in sums[-1] for n in counts if s + n <= capacity})
+        for index, wanted in zip((left.single, left.pairs, left.triples), sums[1:]):
+            assert {s for s in range(capacity + 1) if index >> s & 1} == wanted
+        # A filling is found exactly where one to three others, each there often enough, fill the gap.
+        pieces = list(Counter(counts).elements())
+        for first in counts:
+            others = list(pieces)
+            others.remove(first)
+            fills = any(sum(c) == capacity - first for n in range(4) for c in itertools.combinations(others, n))
+            assert (left.filling(first) is not None) == fills
 
 
 def test_suffix_array():
@@ -383,6 +406,39 @@ def test_topk_is_exact(spark):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in rows) == sorted(wanted)
 
 
+def test_postings_of_sparse_and_large_vectors(monkeypatch):
+    rng = np.random.default_rng(6)
+    for scale, share in ((3, 1.0), (200, 0.1), (1 << 28, 0.3)):
+        vectors = rng.integers(-scale, scale + 1, (400, 24)) * (rng.random((400, 24)) < share)
+        vectors[5] = 0
+        block = topk.Block(np.arange(400), vectors, np.ones(400, np.int64))
+        postings = [(r, d, i) for s in block.segments for r, d, i in zip(s.row, np.repeat(s.dims, s.sizes), s.impact)]
+        assert len(postings) == np.count_nonzero(vectors) and all(vectors[r, d] == i for r, d, i in postings)
+        upper = [np.abs(s.impact).max() for s in block.segments]
+        assert upper == sorted(upper, reverse=True)
+        queries = np.concatenate([vectors[:20], np.zeros((1, 24), np.int64)])
+        asked = np.array([*range(20), 999])
+        found = list(zip(*block.search(asked, queries, 9)))
+        for query_id, query in zip(asked, queries):
+            scores = vectors @ query
+            order = [o for o in np.lexsort((np.arange(400), -scores)) if o != query_id][:9]
+            mine = sorted((-s, v) for q, v, s, _ in found if q == query_id)
+            assert mine == [(-scores[o], o) for o in order]
+
+
+def test_a_search_stops_by_proof(monkeypatch):
+    rng = np.random.default_rng(7)
+    vectors = rng.integers(-2, 3, (500, 32))
+    vectors[::50, :4] = 4000
+    read = []
+    add = topk.Segment.add
+    monkeypatch.setattr(topk.Segment, "add", lambda self, *a: read.append(len(self.row)) or add(self, *a))
+    block = topk.Block(np.arange(500), vectors, np.ones(500, np.int64))
+    at, scores = block.one(0, vectors[0], 5)
+    assert sorted(scores, reverse=True) == sorted((vectors @ vectors[0])[1:], reverse=True)[:5]
+    assert len(read) == 1 < len(block.segments) and read[0] == 40
+
+
 def test_topk_counts_repeated_rows(spark):
     vectors = [(n, [float(n % 7), float(n % 5), 1.0], "clash") for n in range(1, 60)]
     vectors += vectors[:25] + vectors[8:12] * 3 + [(20, [9.0, 9.0, 9.0], "clash"), (None, [8.0, 8.0, 8.0], None), (None, [8.0, 8.0, 8.0], None)]

@@ -1,15 +1,17 @@
 """Exact top-k inner products from an impact-ordered index, one score at a time.
 
 Integer vectors are cut into blocks. A block's postings (vector, dimension, impact) are grouped
-into segments by the size of the impact, largest first. A block of queries adds up one segment
-after the other. What the open segments can still add to a vector is bounded by the length of
-its open part times the length of the query; as soon as the vectors that may still belong to the
-first ``k`` of their query, by that proof, are few, they are scored exactly and the rest of the
-segments is left unread. Where no such proof comes, all segments are read and the sums are exact.
-
-Queries and vectors meet block by block: every pair of blocks is one group of fixed size, so
-neither side is ever whole in one task. A pair gives at most ``k`` rows per query, which a
-ranking by query merges.
+into segments by the size of the impact, largest first, and inside a segment into one list per
+dimension. A query adds up one segment after the other, reading only the lists of its own non-zero
+dimensions. What the open segments can still add to a vector is bounded by the length of its open
+part times the length of the query; as soon as the vectors that may still belong to the query's
+first ``k``, by that proof, are few, they are scored exactly and the rest of the segments is left
+unread. Where no such proof comes, all segments are read and the sums are exact.
+
+Queries and vectors meet block by block: every pair of blocks is one group of bounded size, so
+neither side is ever whole in one task. The block of vectors is indexed once per group and the
+group's queries pass it one by one. A pair gives at most ``k`` rows per query, which a ranking by
+query merges.
 
 Definitions: vectors that are null or hold null or non-finite components take no part; only
 vectors of a query's own length are its candidates; a candidate with the query's id is the
@@ -31,9 +33,12 @@ from tidemark.llm.common import keep, one_row
 
 K = 20
 VECTOR_BLOCK = 8192
-QUERY_BLOCK = 1024
-# Segments split at these shares of the largest impact of a block, and an exact rescore starts
-# when at most this share of a block's vectors may still belong to a result.
+QUERY_BLOCK = 16_384
+# Components of a block at most, on average, so that blocks of long vectors have fewer rows.
+VECTOR_COMPONENTS = 1 << 19
+QUERY_COMPONENTS = 1 << 20
+# Segments split at these shares of the largest impact of a block, and a query is rescored exactly
+# when at most this share of a block's vectors may still belong to its result.
 LEVELS = (0.5, 0.25, 0.125, 0.0625, 0.03125)
 RESCORE_SHARE = 0.05
 
@@ -47,17 +52,40 @@ def integer_vector(vector: Column, scale: int = 64) -> Column:
     return F.when(usable, whole)
 
 
-def segments(vectors: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Postings of a block by descending impact: arrays of vector, dimension and impact."""
+class Segment:
+    """Postings of one range of impacts, one list per dimension, in the order of dimensions."""
+
+    def __init__(self, row: np.ndarray, dim: np.ndarray, impact: np.ndarray):
+        order = np.argsort(dim, kind="stable")
+        self.row, self.impact = row[order], impact[order]
+        self.dims, self.sizes = np.unique(dim, return_counts=True)
+
+    def add(self, weights: np.ndarray, sums: np.ndarray) -> None:
+        """Add what this segment's lists of the query's dimensions give to each vector."""
+        weight = weights[self.dims]
+        wanted = weight != 0
+        row, impact, sizes = self.row, self.impact, self.sizes
+        if not wanted.all():
+            posting = np.repeat(wanted, sizes)
+            row, impact, weight, sizes = row[posting], impact[posting], weight[wanted], sizes[wanted]
+        scores = impact * np.repeat(weight, sizes)
+        if sums.dtype == np.float64:
+            sums += np.bincount(row, scores, len(sums))
+        else:
+            np.add.at(sums, row, scores)
+
+
+def segments(vectors: np.ndarray) -> list[Segment]:
+    """Postings of a block by descending impact."""
     size = np.abs(vectors)
     upper = int(size.max(initial=0)) + 1
     found = []
     for share in (*LEVELS, 0.0):
-        lower = int(upper * share)
-        row, dim = np.nonzero((size >= max(1, lower)) & (size < upper))
+        lower = max(1, int(upper * share))
+        row, dim = np.nonzero((size >= lower) & (size < upper))
         if len(row):
-            found.append((row, dim, vectors[row, dim]))
-        upper = min(upper, max(1, lower))
+            found.append(Segment(row, dim, vectors[row, dim]))
+        upper = min(upper, lower)
     return found
 
 
@@ -81,56 +109,50 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray):
         self.ids, self.vectors, self.copies = ids, vectors, copies
+        self.largest = float(np.abs(vectors).max(initial=0))
         self.segments = segments(vectors)
-        squares = (vectors.astype(float) ** 2).sum(axis=1)
-        self.rest = []
-        for row, _, impact in self.segments:
-            squares = squares - np.bincount(row, impact.astype(float) ** 2, len(vectors))
-            self.rest.append(np.sqrt(np.maximum(squares, 0.0)))
+        # Added up from the last segment on: only sums of open parts, so nothing cancels out.
+        squares, self.rest = np.zeros(len(vectors)), []
+        for segment in reversed(self.segments):
+            self.rest.insert(0, np.sqrt(squares))
+            squares = squares + np.bincount(segment.row, segment.impact.astype(float) ** 2, len(vectors))
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
-        """Rows ``query_id, vec_id, score, copies`` with all of this block's share in the results."""
-        exact = self._exact(queries)
-        sums = np.zeros((len(queries), len(self.ids)), dtype=exact)
-        lengths = np.sqrt((queries.astype(float) ** 2).sum(axis=1))
-        dense = np.zeros(self.vectors.shape, dtype=exact)
-        own = query_ids[:, None] == self.ids[None, :]
-        weights = queries.astype(exact)
-        members = None
-        for at, (row, dim, impact) in enumerate(self.segments):
-            dense[:] = 0
-            dense[row, dim] = impact
-            sums += weights @ dense.T
-            last = at == len(self.segments) - 1
-            if not last and len(self.ids) > k + 1:
-                members = self._members(sums, self.rest[at], lengths, own, k)
-                if members is not None:
-                    break
+        """Arrays ``query_id, vec_id, score, copies`` with all of this block's share in the results."""
         out = []
-        for q in range(len(queries)):
-            if members is None:
-                keep_at = np.flatnonzero(~own[q])
-                scores = sums[q, keep_at].astype(np.int64)
-            else:
-                keep_at = np.flatnonzero(members[q])
-                scores = self.vectors[keep_at] @ queries[q]
-            best = first_of(scores, self.ids[keep_at], k)
-            at = keep_at[best]
-            out.append((np.full(len(best), query_ids[q]), self.ids[at], scores[best], self.copies[at]))
+        for query_id, query in zip(query_ids, queries):
+            at, scores = self.one(query_id, query, k)
+            out.append((np.full(len(at), query_id), self.ids[at], scores, self.copies[at]))
         return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*out)]
 
-    def _exact(self, queries: np.ndarray):
-        """The narrowest type in which every partial sum is exact."""
-        bound = float(np.abs(queries).max(initial=0)) * float(np.abs(self.vectors).max(initial=0)) * queries.shape[1]
-        return np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
-
-    def _members(self, sums, rest, lengths, own, k):
+    def one(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and scores of the ``k`` best for one query."""
+        others = self.ids != query_id
+        length = float(np.sqrt((query.astype(float) ** 2).sum()))
+        # Doubles add whole numbers exactly as long as no partial sum can reach 2**53.
+        small = float(np.abs(query).max(initial=0)) * self.largest * len(query) < 2**53
+        sums = np.zeros(len(self.ids), dtype=np.float64 if small else np.int64)
+        members = None
+        for segment, rest in zip(self.segments, self.rest):
+            segment.add(query, sums)
+            if small and rest is not self.rest[-1] and len(self.ids) > k + 1:
+                members = self._members(sums, length * rest * (1 + 1e-9) + 1e-3, others, k)
+                if members is not None:
+                    break
+        if members is None:
+            members = np.flatnonzero(others)
+            scores = sums[members].astype(np.int64)
+        else:
+            scores = self.vectors[members] @ query
+        best = first_of(scores, self.ids[members], k)
+        return members[best], scores[best]
+
+    def _members(self, sums: np.ndarray, slack: np.ndarray, others: np.ndarray, k: int) -> np.ndarray | None:
         """Who may still be among the first ``k``, or None while they are too many."""
-        slack = lengths[:, None] * rest[None, :] * (1 + 1e-9) + 1e-3
-        lower = np.where(own, -np.inf, sums - slack)
-        kth = np.partition(lower, -k, axis=1)[:, -k]
-        members = (sums + slack >= kth[:, None]) & ~own
-        return members if members.sum() <= RESCORE_SHARE * members.size else None
+        lower = np.where(others, sums - slack, -np.inf)
+        kth = np.partition(lower, -k)[-k]
+        members = np.flatnonzero((sums + slack >= kth) & others)
+        return members if len(members) <= RESCORE_SHARE * len(sums) else None
 
 
 def packed(rows: DataFrame, blocks: int) -> DataFrame:
@@ -152,9 +174,13 @@ def search(embeddings: DataFrame, is_query: Column, k: int = K, id_column: str =
     rows = rows.where("vector is not null").groupBy("vec_id", "vector").agg(F.count(F.lit(1)).alias("copies"))
     rows = keep(rows, "vectors")
     queries = rows.where(is_query & F.col("vec_id").isNotNull())
-    count = one_row(rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q")))
-    blocks = max(1, -(-count["n"] // vector_block))
-    query_blocks = max(1, -(-count["q"] // query_block))
+    size = F.size("vector")
+    count = one_row(rows.agg(
+        F.count(F.lit(1)).alias("n"), F.sum(size).alias("n_size"),
+        F.count(F.when(is_query, 1)).alias("q"), F.sum(F.when(is_query, size)).alias("q_size"),
+    ))
+    blocks = max(1, -(-count["n"] // vector_block), -(-(count["n_size"] or 0) // VECTOR_COMPONENTS))
+    query_blocks = max(1, -(-count["q"] // query_block), -(-(count["q_size"] or 0) // QUERY_COMPONENTS))
     # Each block goes to every block of the other side: copies are as many as the other blocks.
     left = packed(rows, blocks).withColumn(
         "query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
