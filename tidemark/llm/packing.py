@@ -3,9 +3,9 @@
 A document is its token ids and one end id, cut into pieces of at most ``capacity``. How pieces
 are combined depends on their lengths alone: the table of lengths has at most ``capacity`` rows,
 whatever the number of documents, so the plan is made on the driver from counts. From the longest
-length down, the gap that a piece leaves is filled exactly by one, two or three others, found in
-sets of single, pair and triple sums of the lengths still available; each such combination is
-used as often as its scarcest length allows. What is left goes, longest first, where it fits best.
+length down, the gap that a piece leaves is filled exactly by one, two or three others, looked up
+in the indexes of single, pair and triple sums of the lengths still available; each such
+combination is used as often as its scarcest length allows. What is left goes, longest first, where it fits best.
 
 The plan says which ranks of a length go to which sequences. Ranks come from two steps: pieces
 are numbered within buckets of bounded size, and the buckets' counts are added up per length, so
@@ -17,7 +17,6 @@ repeated rows and rows without id; an empty table gives no sequences.
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from array import array
 from collections import Counter
@@ -101,58 +100,60 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, payload: str = "id
 
 
 class Available:
-    """How many pieces of each length are left, with the sums of one and two of them as sets of
-    bits: bit s is set where s is such a sum."""
+    """How many pieces of each length are left, with an index of the sums of one, two and three of
+    them, each a set of bits: bit s is set where s is such a sum. A sum may use a length more often
+    than it is there, so a combination is counted before it is used."""
 
-    def __init__(self, counts: dict[int, int]):
+    def __init__(self, counts: dict[int, int], capacity: int):
         self.counts = Counter({length: n for length, n in counts.items() if n > 0})
-        self.single = sum(1 << length for length in self.counts)
-        self.pairs: int | None = None
+        self.capacity = capacity
+        self._index()
+
+    def _index(self) -> None:
+        every = (1 << (self.capacity + 1)) - 1
+        self.single = sum(1 << length for length, n in self.counts.items() if n)
+        self.pairs = self.triples = 0
+        for length, n in self.counts.items():
+            self.pairs |= self.single << length & every if n else 0
+        for length, n in self.counts.items():
+            self.triples |= self.pairs << length & every if n else 0
 
     def take(self, lengths: Counter, times: int) -> None:
         for length, n in lengths.items():
             self.counts[length] -= n * times
-            if not self.counts[length]:
-                self.single &= ~(1 << length)
-                self.pairs = None
+        if not all(self.counts[length] for length in lengths):
+            self._index()
 
     def times(self, lengths: Counter) -> int:
         return min(self.counts[length] // n for length, n in lengths.items())
 
-    def pair_sums(self, limit: int) -> int:
-        if self.pairs is None:
-            sums = 0
-            for length in [x for x, n in self.counts.items() if n]:
-                sums |= self.single << length
-            self.pairs = sums & ((1 << (limit + 1)) - 1)
-        return self.pairs
-
-    def filling(self, first: int, capacity: int) -> Counter | None:
+    def filling(self, first: int) -> Counter | None:
         """Lengths, ``first`` among them, that fill a sequence exactly."""
-        gap = capacity - first
+        gap = self.capacity - first
         if gap == 0:
             return Counter([first])
-        for rest in self._exactly(gap, capacity):
+        for rest in self._exactly(gap):
             lengths = Counter([first, *rest])
             if self.times(lengths):
                 return lengths
         return None
 
-    def _exactly(self, gap: int, capacity: int):
-        """Candidates for a gap: one length, then two, then three, long ones first."""
+    def _exactly(self, gap: int):
+        """Every combination for a gap: one length, then two, then three, long ones first. Only
+        combinations that repeat a scarce length fail to be there, so few are looked at."""
         if self.single >> gap & 1:
             yield (gap,)
-        if self.pair_sums(capacity) >> gap & 1:
+        if self.pairs >> gap & 1:
             for a in self._down(gap - 1, (gap + 1) // 2):
                 if self.single >> (gap - a) & 1:
                     yield a, gap - a
-        for a in self._down(gap - 2, (gap + 2) // 3):
-            rest = gap - a
-            if self.pair_sums(capacity) >> rest & 1:
-                for b in self._down(min(a, rest - 1), (rest + 1) // 2):
-                    if self.single >> (rest - b) & 1:
-                        yield a, b, rest - b
-                        break
+        if self.triples >> gap & 1:
+            for a in self._down(gap - 2, (gap + 2) // 3):
+                rest = gap - a
+                if self.pairs >> rest & 1:
+                    for b in self._down(min(a, rest - 1), (rest + 1) // 2):
+                        if self.single >> (rest - b) & 1:
+                            yield a, b, rest - b
 
     def _down(self, high: int, low: int):
         """Available lengths from ``high`` down to ``low``."""
@@ -168,10 +169,10 @@ class Available:
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
     """Kinds of sequences, each a list of (length, how many) and the number of such sequences.
     Every step uses up a length or a kind, so there are no more kinds than a few per length."""
-    left, kinds = Available(counts), []
+    left, kinds = Available(counts, capacity), []
     for length in sorted(counts, reverse=True):
         while left.counts[length]:
-            filling = left.filling(length, capacity)
+            filling = left.filling(length)
             if filling is None:
                 break
             times = left.times(filling)
@@ -184,14 +185,10 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int
     """Lengths in descending order, each into the fullest open sequences it fits. Open sequences
     that are alike are kept as one kind with a count."""
     open_kinds: dict[int, list[tuple[tuple, int]]] = {}
-    gaps: list[int] = []
 
     def put(gap: int, lengths: tuple, times: int) -> None:
         if times:
-            if gap not in open_kinds:
-                open_kinds[gap] = []
-                heapq.heappush(gaps, gap)
-            open_kinds[gap].append((lengths, times))
+            open_kinds.setdefault(gap, []).append((lengths, times))
 
     for length in sorted(counts, reverse=True):
         count = counts[length]
