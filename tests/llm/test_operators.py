@@ -406,13 +406,13 @@ def test_topk_is_exact(spark):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in rows) == sorted(wanted)
 
 
-def test_postings_of_sparse_and_large_vectors(monkeypatch):
+def test_postings_of_sparse_and_large_vectors():
     rng = np.random.default_rng(6)
     for scale, share in ((3, 1.0), (200, 0.1), (1 << 28, 0.3)):
         vectors = rng.integers(-scale, scale + 1, (400, 24)) * (rng.random((400, 24)) < share)
         vectors[5] = 0
         block = topk.Block(np.arange(400), vectors, np.ones(400, np.int64))
-        postings = [(r, d, i) for s in block.segments for r, d, i in zip(s.row, np.repeat(s.dims, s.sizes), s.impact)]
+        postings = [(r, d, i) for s in block.segments for d, rows, impacts in s.lists() for r, i in zip(rows, impacts)]
         assert len(postings) == np.count_nonzero(vectors) and all(vectors[r, d] == i for r, d, i in postings)
         upper = [np.abs(s.impact).max() for s in block.segments]
         assert upper == sorted(upper, reverse=True)
@@ -434,7 +434,7 @@ def test_a_search_stops_by_proof(monkeypatch):
     add = topk.Segment.add
     monkeypatch.setattr(topk.Segment, "add", lambda self, *a: read.append(len(self.row)) or add(self, *a))
     block = topk.Block(np.arange(500), vectors, np.ones(500, np.int64))
-    at, scores = block.one(0, vectors[0], 5)
+    (_, scores), = block.batch(np.array([0]), vectors[:1], 5)
     assert sorted(scores, reverse=True) == sorted((vectors @ vectors[0])[1:], reverse=True)[:5]
     assert len(read) == 1 < len(block.segments) and read[0] == 40
 

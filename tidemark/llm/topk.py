@@ -2,15 +2,16 @@
 
 Integer vectors are cut into blocks. A block's postings (vector, dimension, impact) are grouped
 into segments by the size of the impact, largest first, and inside a segment into one list per
-dimension. A query adds up one segment after the other, reading only the lists of its own non-zero
-dimensions. What the open segments can still add to a vector is bounded by the length of its open
-part times the length of the query; as soon as the vectors that may still belong to the query's
-first ``k``, by that proof, are few, they are scored exactly and the rest of the segments is left
-unread. Where no such proof comes, all segments are read and the sums are exact.
+dimension. Queries add up one segment after the other, a few of them at a time, so that a list is
+read once for all of these that have a weight in its dimension. What the open segments can still
+add to a vector is bounded by the length of its open part times the length of the query. The ``k``
+vectors that lead so far are scored exactly, and whoever can't reach the least of these scores is
+out; as soon as those left are few, they are scored exactly and the query reads no further segment.
+Where no such proof comes, all segments are read and the sums are exact.
 
 Queries and vectors meet block by block: every pair of blocks is one group of bounded size, so
 neither side is ever whole in one task. The block of vectors is indexed once per group and the
-group's queries pass it one by one. A pair gives at most ``k`` rows per query, which a ranking by
+group's queries pass it in small batches. A pair gives at most ``k`` rows per query, which a ranking by
 query merges.
 
 Definitions: vectors that are null or hold null or non-finite components take no part; only
@@ -39,8 +40,10 @@ VECTOR_COMPONENTS = 1 << 19
 QUERY_COMPONENTS = 1 << 20
 # Segments split at these shares of the largest impact of a block, and a query is rescored exactly
 # when at most this share of a block's vectors may still belong to its result.
-LEVELS = (0.5, 0.25, 0.125, 0.0625, 0.03125)
-RESCORE_SHARE = 0.05
+LEVELS = (0.5, 0.125, 0.03125)
+RESCORE_SHARE = 0.15
+# Queries that read a list together.
+BATCH = 32
 
 
 def integer_vector(vector: Column, scale: int = 64) -> Column:
@@ -58,30 +61,34 @@ class Segment:
     def __init__(self, row: np.ndarray, dim: np.ndarray, impact: np.ndarray):
         order = np.argsort(dim, kind="stable")
         self.row, self.impact = row[order], impact[order]
-        self.dims, self.sizes = np.unique(dim, return_counts=True)
+        self.dims, starts = np.unique(dim[order], return_index=True)
+        self.ends = np.append(starts, len(row))
+
+    def lists(self):
+        """``dimension, rows, impacts`` of every list; a vector is in a list once at most."""
+        for at, dim in enumerate(self.dims):
+            part = slice(self.ends[at], self.ends[at + 1])
+            yield dim, self.row[part], self.impact[part]
 
     def add(self, weights: np.ndarray, sums: np.ndarray) -> None:
-        """Add what this segment's lists of the query's dimensions give to each vector."""
-        weight = weights[self.dims]
-        wanted = weight != 0
-        row, impact, sizes = self.row, self.impact, self.sizes
-        if not wanted.all():
-            posting = np.repeat(wanted, sizes)
-            row, impact, weight, sizes = row[posting], impact[posting], weight[wanted], sizes[wanted]
-        scores = impact * np.repeat(weight, sizes)
-        if sums.dtype == np.float64:
-            sums += np.bincount(row, scores, len(sums))
-        else:
-            np.add.at(sums, row, scores)
+        """Add to ``sums`` (vector, query) what the lists give with ``weights`` (dimension, query).
+        A list is skipped by the queries that have no weight in its dimension."""
+        for dim, row, impact in self.lists():
+            asked = np.flatnonzero(weights[dim])
+            scores = impact.astype(sums.dtype)[:, None]
+            if 2 * len(asked) > weights.shape[1]:
+                sums[row] += scores * weights[dim]
+            elif len(asked):
+                sums[np.ix_(row, asked)] += scores * weights[dim, asked]
 
 
 def segments(vectors: np.ndarray) -> list[Segment]:
     """Postings of a block by descending impact."""
     size = np.abs(vectors)
-    upper = int(size.max(initial=0)) + 1
-    found = []
+    largest = int(size.max(initial=0))
+    upper, found = largest + 1, []
     for share in (*LEVELS, 0.0):
-        lower = max(1, int(upper * share))
+        lower = max(1, int(largest * share))
         row, dim = np.nonzero((size >= lower) & (size < upper))
         if len(row):
             found.append(Segment(row, dim, vectors[row, dim]))
@@ -119,40 +126,61 @@ class Block:
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         """Arrays ``query_id, vec_id, score, copies`` with all of this block's share in the results."""
-        out = []
-        for query_id, query in zip(query_ids, queries):
-            at, scores = self.one(query_id, query, k)
-            out.append((np.full(len(at), query_id), self.ids[at], scores, self.copies[at]))
-        return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*out)]
-
-    def one(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and scores of the ``k`` best for one query."""
-        others = self.ids != query_id
-        length = float(np.sqrt((query.astype(float) ** 2).sum()))
-        # Doubles add whole numbers exactly as long as no partial sum can reach 2**53.
-        small = float(np.abs(query).max(initial=0)) * self.largest * len(query) < 2**53
-        sums = np.zeros(len(self.ids), dtype=np.float64 if small else np.int64)
-        members = None
+        out = [(np.zeros(0, np.int64),) * 4]
+        for at in range(0, len(queries), BATCH):
+            asked = query_ids[at : at + BATCH]
+            for query_id, (found, scores) in zip(asked, self.batch(asked, queries[at : at + BATCH], k)):
+                out.append((np.full(len(found), query_id), self.ids[found], scores, self.copies[found]))
+        return [np.concatenate(x) for x in zip(*out)]
+
+    def batch(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Positions and scores of the ``k`` best of each query."""
+        exact = self._exact(queries)
+        lengths = np.sqrt((queries.astype(float) ** 2).sum(axis=1))
+        weights = np.ascontiguousarray(queries.T).astype(exact)
+        sums = np.zeros((len(self.ids), len(queries)), dtype=exact)
+        open_queries, found = np.arange(len(queries)), {}
         for segment, rest in zip(self.segments, self.rest):
-            segment.add(query, sums)
-            if small and rest is not self.rest[-1] and len(self.ids) > k + 1:
-                members = self._members(sums, length * rest * (1 + 1e-9) + 1e-3, others, k)
+            segment.add(weights, sums)
+            if rest is self.rest[-1] or exact is np.int64 or len(self.ids) <= k + 1:
+                continue
+            for column, q in enumerate(open_queries):
+                slack = lengths[q] * rest * (1 + 1e-9) + 1e-3
+                members = self._members(sums[:, column], slack, query_ids[q], queries[q], k)
                 if members is not None:
-                    break
-        if members is None:
-            members = np.flatnonzero(others)
-            scores = sums[members].astype(np.int64)
-        else:
-            scores = self.vectors[members] @ query
+                    found[q] = self._best(members, self.vectors[members] @ queries[q], k)
+            going = [q not in found for q in open_queries]
+            if not all(going):
+                open_queries, sums, weights = open_queries[going], sums[:, going], weights[:, going]
+            if not len(open_queries):
+                break
+        for column, q in enumerate(open_queries):
+            others = np.flatnonzero(self.ids != query_ids[q])
+            found[q] = self._best(others, sums[others, column].astype(np.int64), k)
+        return [found[q] for q in range(len(queries))]
+
+    def _best(self, members: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         best = first_of(scores, self.ids[members], k)
         return members[best], scores[best]
 
-    def _members(self, sums: np.ndarray, slack: np.ndarray, others: np.ndarray, k: int) -> np.ndarray | None:
+    def _exact(self, queries: np.ndarray):
+        """The narrowest type in which every partial sum is exact."""
+        bound = float(np.abs(queries).max(initial=0)) * self.largest * queries.shape[1]
+        return np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
+
+    def _members(self, sums: np.ndarray, slack: np.ndarray, query_id: int, query: np.ndarray, k: int) -> np.ndarray | None:
         """Who may still be among the first ``k``, or None while they are too many."""
-        lower = np.where(others, sums - slack, -np.inf)
-        kth = np.partition(lower, -k)[-k]
-        members = np.flatnonzero((sums + slack >= kth) & others)
-        return members if len(members) <= RESCORE_SHARE * len(sums) else None
+        others = self.ids != query_id
+        upper = np.where(others, sums + slack, -np.inf)
+        most = RESCORE_SHARE * len(sums)
+        # Not worth the trouble where so many may still pass the leader.
+        if np.count_nonzero(upper >= sums.max(where=others, initial=-np.inf)) > most:
+            return None
+        leading = np.argpartition(np.where(others, sums, -np.inf), -k)[-k:]
+        if not others[leading].all():
+            return None
+        members = np.flatnonzero(upper >= (self.vectors[leading] @ query).min())
+        return members if len(members) <= most else None
 
 
 def packed(rows: DataFrame, blocks: int) -> DataFrame:
