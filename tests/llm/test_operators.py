@@ -337,6 +337,97 @@ def test_url_trees_learn(spark):
     assert sum((r.verdict == "block") == bool(r.page_id % 2) for r in rows) >= 95
 
 
+def test_urls_by_definition(spark):
+    """Every page's host, path and rule, and every feature, against the definitions in plain Python."""
+    pages = queries.table(spark, "/root/testdata/sf0.01", "pages")
+    long = "http://a.example.com/en/" + "x9-&" * 50_000 + "?" + "p=1&" * 1000
+    more = [(None, None), (-1, ""), (-2, "://"), (-3, "x://net/fr/?a&b#c?d"), (-4, "http://exämple.com/EN/"), (-5, long), (-5, long), (-6, "A://B.COM/")]
+    table = pages.select("page_id", "url").unionAll(spark.createDataFrame(more, "page_id bigint, url string"))
+    longest = sorted((rule.where for rule in queries.URL_RULES), key=len, reverse=True)
+    said = {rule.where: rule.verdict for rule in queries.URL_RULES}
+
+    def parts(url):
+        scheme, mark, rest = (url or "").partition("://")
+        if not mark:
+            return "", "", None
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host):])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [w for w in longest if path.startswith("/" + w.split("/", 1)[1]) and ("." + host).endswith("." + w.split("/")[0])]
+        return host, path, fits[0] if fits else None
+
+    rows = urls.judge(table, queries.URL_RULES).collect()
+    assert len(rows) == table.count()
+    assert Counter((r.page_id, r.url) for r in rows) == Counter((r.page_id, r.url) for r in table.collect())
+    for row in rows:
+        host, path, rule = parts(row.url)
+        assert (row.host, row.path, row.rule) == (host, path, rule)
+        assert row.verdict == (said[rule] if rule else "block" if row.score >= urls.BLOCK_AT else "allow")
+    measured = urls.features(table.withColumn("host", urls.host_of(F.col("url"))).withColumn("path", urls.path_of(F.col("url")))).collect()
+    for row in measured:
+        url, (host, path, _) = row.url or "", parts(row.url)
+        query = url.split("?", 1)[1].split("#")[0] if "?" in url else ""
+        entropy = -sum(n / len(host) * np.log2(n / len(host)) for n in Counter(host).values())
+        assert (row.f_length, row.f_host_length, row.f_depth) == (len(url), len(host), path.count("/"))
+        assert (row.f_labels, row.f_hyphens) == (host.count("."), host.count("-"))
+        assert row.f_digits == pytest.approx(sum(c in "0123456789" for c in url) / max(1, len(url)))
+        assert row.f_entropy == pytest.approx(entropy) and row.f_secure == url.startswith("https")
+        assert row.f_parameters == (query.count("&") + 1 if query else 0) and 0 <= row.suffix_slot < urls.SUFFIX_SLOTS
+
+
+def test_url_statistics_by_definition(spark):
+    labels = [(f"http://h{n % 9}.{'abc'[n % 3]}/", float(n % 4 == 0)) for n in range(120)]
+    table = spark.createDataFrame(labels, "url string, label double")
+    rows = urls.features(table.withColumn("host", urls.host_of(F.col("url"))).withColumn("path", urls.path_of(F.col("url"))))
+    slots = {}
+    for row in rows.collect():
+        slots.setdefault(row.suffix_slot, []).append(row.label)
+    found = {r.suffix_slot: r for r in urls.suffix_statistics(rows, 0.25).collect()}
+    assert found.keys() == slots.keys()
+    for slot, marks in slots.items():
+        assert found[slot].f_suffix_rate == pytest.approx((sum(marks) + urls.SUFFIX_PRIOR * 0.25) / (len(marks) + urls.SUFFIX_PRIOR))
+        assert found[slot].f_suffix_count == pytest.approx(np.log1p(len(marks)))
+
+
+def test_quality_by_definition(spark):
+    """Scores from class moments, solves and determinants in plain NumPy."""
+    docs, labels = (queries.table(spark, "/root/testdata/sf0.01", name) for name in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    x = {i: np.array(quality.statistics(text or "")) for i, text in texts.items()}
+    held = {i for i in texts if zlib.crc32(str(i).encode()) % 5 == 0}
+    marks = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in texts and r.doc_id not in held and r.quality in (0, 1)}
+    classes = {k: np.array([x[i] for i, mark in marks.items() if mark == k]) for k in (0, 1)}
+    total = len(marks)
+    spread = sum(len(rows) / total * rows.var(axis=0) for rows in classes.values())
+    size = x[next(iter(x))].size
+
+    def log_density(value, rows):
+        part = min(1.0, 0.05 + size / (size + len(rows)))
+        covariance = (1 - part) * np.cov(rows.T, bias=True) + part * np.diag(np.maximum(spread, 1e-4))
+        off = value - rows.mean(axis=0)
+        return np.log(len(rows) / total) - 0.5 * (off @ np.linalg.solve(covariance, off) + np.linalg.slogdet(covariance)[1])
+
+    rows = quality.classify(docs, labels).collect()
+    assert {r.doc_id for r in rows if r.held_out} == held and len(rows) == len(texts)
+    for row in rows:
+        odds = log_density(x[row.doc_id], classes[1]) - log_density(x[row.doc_id], classes[0])
+        wanted = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        assert row.score == pytest.approx(wanted, abs=1e-6)
+        assert row.predicted == (row.score >= 0.3)
+
+
+def test_good_documents_of_odd_rows(spark, odd, empty):
+    labels = queries.table(spark, "/root/testdata/sf0.01", "labels")
+    scores = Counter()
+    for row in quality.classify(odd, labels).collect():
+        scores[row.doc_id] += row.predicted
+    kept = quality.keep_good(odd, labels)
+    assert kept.columns == odd.columns
+    assert Counter(r.doc_id for r in kept.collect()) == +scores
+    assert quality.keep_good(empty, labels).count() == 0
+    assert quality.keep_good(odd, labels.where("false")).count() == len(ODD)
+
+
 def test_quality(spark, odd, empty):
     labels = queries.table(spark, "/root/testdata/sf0.01", "labels")
     rows = quality.classify(queries.table(spark, "/root/testdata/sf0.01", "documents"), labels)

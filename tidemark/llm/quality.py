@@ -8,8 +8,10 @@ log-densities (Mahalanobis distances through the factors) plus the log of the cl
 
 Definitions: a null text is empty, and an empty text has a score like any other; repeated labels
 of a document count once, with the smaller value; labels other than 0 and 1 are ignored; a
-document without id has no label and isn't held out. Without labels of both kinds every score
-is the share of label 1, or one half where there are no labels.
+document without id has no label and isn't held out. Repeated rows stay and score alike, and a
+labelled one counts as often as it is there; an empty table gives no rows; texts are read whole,
+however long; other columns are passed by, or returned as they are by ``keep_good``. Without labels
+of both kinds every score is the share of label 1, or one half where there are no labels.
 """
 
 from __future__ import annotations

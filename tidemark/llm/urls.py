@@ -7,8 +7,10 @@ the number of suffixes; a slot's share of blocked URLs is shrunk towards the sha
 labelled URLs of the query are those that a rule decides.
 
 Definitions: a null URL, and one without ``://``, has an empty host and path, fits no rule and is
-scored by its (empty) features. Repeated rows are judged alike. Without labelled URLs of both
-kinds there is no model, and every URL that no rule fits is allowed.
+scored by its (empty) features. Repeated rows are judged alike and stay, also rows without id; an
+empty table gives no rows. URLs are read whole, however long. Other columns are passed by. A tie
+of rules of one length goes to the smaller text, and a score of just ``block_at`` blocks. Without
+labelled URLs of both kinds there is no model, and every URL that no rule fits is allowed.
 """
 
 from __future__ import annotations
