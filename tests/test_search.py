@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import hash_embedding
 from tidemark.operators import evaluate, index, lexical, nearest, search
-from tidemark.operators.metrics import bucket_counts, bucket_quantiles
+from tidemark.operators.metrics import HISTOGRAMS, bucket_counts, bucket_quantiles, histograms
 from tidemark.session import equi_join, hot_key_join
 
 
@@ -237,6 +237,18 @@ def test_cases(spark):
     )
     got = {r.case_id: r.ok for r in evaluate.check_cases(cases, hits).collect()}
     assert got == {"e": True, "n": False, "r": True, "m": False}
+    own = F.when(F.col("case_id") == "e", F.array(F.lit("Help:")))
+    rows = evaluate.check_cases(cases.withColumn("forbidden_prefixes", own), hits).collect()
+    assert {r.case_id: r.ok for r in rows} == got
+
+
+def test_histograms_by_metric(spark):
+    rows = [("sync", "a", 0.05), ("sync", "a", 7.0), ("sync", "b", 99.0), ("search", "a", 0.004), ("other", "a", 1.0), ("sync", "a", None)]
+    found = {(r.metric, r.label, r.le): r.observations for r in histograms(spark.createDataFrame(rows, "metric string, label string, seconds double")).collect()}
+    assert len(found) == 2 * (len(HISTOGRAMS["sync"]) + 1) + len(HISTOGRAMS["search"]) + 1
+    for metric, label, le in found:
+        assert found[metric, label, le] == sum(m == metric and g == label and s is not None and s <= le for m, g, s in rows)
+    assert histograms(spark.createDataFrame([], "metric string, label string, seconds double")).count() == 0
 
 
 def test_quantiles(spark):

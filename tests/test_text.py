@@ -49,6 +49,32 @@ def test_analyse(spark):
     assert got == [["élan", "d'été", "foo_bar", "3.14", "u.s.a"], []]
 
 
+# Scripts without spaces, signs with marks, half-width signs, ideographs beyond 16 bits, long words.
+SCRIPTS = {
+    "東京タワー": ["東", "京", "タワー"],
+    "ひらがな abcカナ123": ["ひ", "ら", "が", "な", "abc", "カナ", "123"],
+    "か\u3099 か": ["か\u3099", "か"],
+    "ﾊﾟｰﾃｨｰ 𠀀𠀁x": ["ﾊﾟｰﾃｨｰ", "𠀀", "𠀁", "x"],
+    "한국어 русский ภาษาไทย": ["한국어", "русский", "ภาษาไทย"],
+    "x" * 600 + " y": ["x" * 255, "x" * 255, "x" * 90, "y"],
+    "𝒳" + "é" * 255: ["𝒳" + "é" * 254, "é"],
+    "a" * 255: ["a" * 255],
+    "": [],
+}
+
+
+def test_terms_of_scripts_without_spaces(spark):
+    import duckdb
+
+    from tidemark.plans.oracle_search import terms
+
+    values = list(SCRIPTS)
+    assert column(spark, values, text.analyse) == list(SCRIPTS.values())
+    table = duckdb.connect()
+    found = [table.execute(f"SELECT {terms('x')} FROM (SELECT ?::VARCHAR AS x) v", [value]).fetchone()[0] for value in values]
+    assert found == list(SCRIPTS.values())
+
+
 def test_hash_embedding_against_plain_computation(spark):
     rng = random.Random(7)
     texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(n)) for n in range(60)]

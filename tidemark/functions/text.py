@@ -16,6 +16,10 @@ WHITESPACE = (
 # Fixed values. A word is letters, marks, digits and underscores, joined inside by an
 # apostrophe or a full stop.
 TERM = r"[\p{L}\p{M}\p{N}_]+(?:['’.][\p{L}\p{M}\p{N}_]+)*"
+# Fixed values. Scripts written without spaces: each ideograph and each hiragana sign is a word of
+# its own, and so is a run of katakana. Longer words than this are cut, in code points.
+ALONE = r"([\p{IsHan}\p{IsHiragana}]\p{M}*|[\p{IsKatakana}\x{30fc}\x{ff70}][\p{IsKatakana}\x{30fc}\x{ff70}\x{ff9e}\x{ff9f}\p{M}]*)"
+LONGEST_TERM = 255
 
 # Fixed values. Edit comments that say nothing about the page.
 BOILERPLATE = [
@@ -89,7 +93,18 @@ def searchable_text(title: Column, summary: Column, comment: Column) -> Column:
 
 def analyse(text: Column) -> Column:
     """Lower-cased terms in order, repeats kept."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
+    spaced = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), ALONE, " $1 ")
+
+    def pieces(term: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length(term), F.lit(LONGEST_TERM))
+        return F.transform(starts, lambda at: term.substr(at, F.lit(LONGEST_TERM)))
+
+    return let(
+        F.regexp_extract_all(spaced, F.lit(TERM), F.lit(0)),
+        lambda terms: F.when(
+            F.exists(terms, lambda term: F.length(term) > LONGEST_TERM), F.flatten(F.transform(terms, pieces))
+        ).otherwise(terms),
+    )
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -321,6 +321,23 @@ def latency_histogram() -> str:
         FROM g, b"""
 
 
+def latency_histograms() -> str:
+    bounds = {
+        "sync": [0.05, 0.1, 0.25, 0.5, 1, 2, 5, 10, 30, 60],
+        "embedding": [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2],
+        "search": [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2, 5],
+    }
+    rows = ", ".join(f"('{metric}', {b}::DOUBLE)" for metric, values in bounds.items() for b in [*values, "'infinity'"])
+    return f"""
+        WITH b AS (SELECT * FROM (VALUES {rows}) t(metric, le)),
+        l AS (SELECT ['sync', 'embedding', 'search'][1 + event_id % 3] AS metric, event_type AS label,
+                     greatest(value, 0.0) / 100 AS seconds FROM events),
+        g AS (SELECT DISTINCT metric, label FROM l)
+        SELECT metric, label, CASE WHEN isinf(le) THEN '+Inf' ELSE CAST(CAST(le AS DECIMAL(10,3)) AS VARCHAR) END AS le,
+               (SELECT count(*) FROM l WHERE l.metric = g.metric AND l.label = g.label AND l.seconds <= b.le) AS observations
+        FROM g JOIN b USING (metric)"""
+
+
 def summarized(rows: str, keys: str, wanted: str) -> str:
     """Quantiles over ``keys`` of the column ``seconds``, to seven binary digits of a millionth."""
     return f"""

@@ -8,6 +8,7 @@ WS = (
     r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
 TERM = r"[\p{L}\p{M}\p{N}_]+(?:[''’.][\p{L}\p{M}\p{N}_]+)*"
+ALONE = r"([\p{Han}\p{Hiragana}]\p{M}*|[\p{Katakana}\x{30fc}\x{ff70}][\p{Katakana}\x{30fc}\x{ff70}\x{ff9e}\x{ff9f}\p{M}]*)"
 NOISE = [
     "(?i)use american english", "(?i)use british english", r"(?i)\[\[mos:", "(?i)added .+ template",
     "(?i)categor(?:y|ies) added", r"^/\*.*\*/$", r"(?i)^revert(?:ed|ing)?(?:$|[^\p{L}\p{N}_])",
@@ -29,7 +30,9 @@ def clean(x: str) -> str:
 
 
 def terms(x: str) -> str:
-    return f"regexp_extract_all(lower(coalesce({x}, '')), '{TERM}')"
+    spaced = f"regexp_replace(lower(coalesce({x}, '')), '{ALONE}', ' \\1 ', 'g')"
+    return f"""flatten(list_transform(regexp_extract_all({spaced}, '{TERM}'), lambda t: list_transform(
+        range(0, (length(t) + 254) // 255), lambda i: substr(t, CAST(255 * i + 1 AS BIGINT), 255))))"""
 
 
 def words(x: str) -> str:
@@ -199,7 +202,7 @@ def knn_floor() -> str:
 
 def phrase_match() -> str:
     """Distinct title probes as phrases over all titles."""
-    return f"""WITH {search_ctes(f"SELECT * FROM ({probe_queries()}) z WHERE mode = 'bm25'")},
+    return f"""WITH {search_ctes(f"SELECT * FROM ({probe_queries('true')}) z WHERE mode = 'bm25'")},
         x AS (SELECT p.qts, len(list_filter(range(1, len(ts) - len(p.qts) + 2),
                      lambda i: list_slice(ts, i, i + len(p.qts) - 1) = p.qts)) AS freq
               FROM (SELECT DISTINCT qts FROM qb) p, (SELECT ts FROM toks WHERE field = 't') t)
@@ -272,6 +275,12 @@ def search_response() -> str:
         FROM q LEFT JOIN hits USING (query_id) GROUP BY ALL"""
 
 
+def search_counters() -> str:
+    return f"""SELECT 'searches' AS metric, mode AS label, count(*) AS events
+        FROM ({fx.cte(fx.search_queries)}) r WHERE {strip("query")} <> '' GROUP BY mode
+        UNION ALL SELECT 'answers', CAST(grounded AS VARCHAR), count(*) FROM ({rag_answers()}) a GROUP BY grounded"""
+
+
 def picked_text() -> str:
     return strip(
         "coalesce(CASE WHEN type IN ('disambiguation', 'no-extract') THEN description "
@@ -404,13 +413,13 @@ def grounding() -> str:
     return f"WITH {answer_ctes()}, {_finalize(answers)}"
 
 
-def probe_queries() -> str:
+def probe_queries(site: str = "wiki = 'enwiki'") -> str:
     """Two requests per live main title: its first three words longer than two letters."""
     return f"""SELECT id || '-' || mode AS query_id, array_to_string(list_slice(list_filter(
             {words("replace(title, ':', ' ')")}, lambda w: length(w) > 2), 1, 3), ' ') AS query,
-        mode, 5 AS size, 'enwiki' AS wiki, 0 AS namespace, title AS expected
+        mode, 5 AS size, wiki, 0 AS namespace, title AS expected
         FROM ({fx.cte(fx.docs)}) d, (SELECT unnest(['bm25', 'hybrid']) AS mode) m
-        WHERE NOT deleted AND namespace = 0 AND wiki = 'enwiki' AND len({words('title')}) >= 2"""
+        WHERE NOT deleted AND namespace = 0 AND {site} AND len({words('title')}) >= 2"""
 
 
 def eval_titles() -> str:

@@ -224,6 +224,20 @@ def latency_histogram(spark, sf_dir):
     return buckets.select("label", shown.alias("le"), "observations")
 
 
+def latency_histograms(spark, sf_dir):
+    """Latencies of three stages, each with the buckets of its metric."""
+    stage = F.pmod(F.col("event_id"), F.lit(3))
+    metric = F.when(stage == 0, "sync").when(stage == 1, "embedding").otherwise("search")
+    # A hundredth, so that the narrow buckets are met too.
+    observed = events(spark, sf_dir).select(
+        metric.alias("metric"), F.col("event_type").alias("label"),
+        (F.greatest("value", F.lit(0.0)) / 100).alias("seconds"),
+    )
+    found = metrics.histograms(observed)
+    shown = F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.col("le").cast("decimal(10,3)").cast("string"))
+    return found.select("metric", "label", shown.alias("le"), "observations")
+
+
 def latency_quantiles(spark, sf_dir):
     observed = latencies(spark, sf_dir)
     buckets = metrics.bucket_counts(observed, metrics.SYNC_LATENCY_BOUNDS)
@@ -297,6 +311,7 @@ def queries():
         "live_feed": live_feed,
         "counters_by_op": counters_by_op,
         "latency_histogram": latency_histogram,
+        "latency_histograms": latency_histograms,
         "latency_quantiles": latency_quantiles,
         "daily_quantiles": daily_quantiles,
         "sync_latency": sync_latency,
@@ -329,6 +344,7 @@ def oracle_sql():
         "live_feed": o.live_feed(),
         "counters_by_op": o.counters(),
         "latency_histogram": o.latency_histogram(),
+        "latency_histograms": o.latency_histograms(),
         "latency_quantiles": o.latency_quantiles(),
         "daily_quantiles": o.daily_quantiles(),
         "sync_latency": o.sync_latency(LATENCY_MOMENT),

@@ -10,7 +10,7 @@ from tidemark.functions.text import clean_comment, searchable_text as searchable
 from tidemark.operators import answers, approximate, evaluate, fold
 from tidemark.operators import enrich as enrichment
 from tidemark.operators import index as indexing
-from tidemark.operators import lexical, nearest, search
+from tidemark.operators import lexical, metrics, nearest, search
 from tidemark.plans import fixtures as fx
 from tidemark.session import configure
 
@@ -108,7 +108,7 @@ def phrase_match(spark, sf_dir):
     each other, and how often. Equal phrases and equal titles are reduced to one before they
     meet, and they meet at the phrase's rarest term."""
     index = index_of(spark, sf_dir)
-    probes = evaluate.title_probes(index.docs, ["bm25"], "enwiki")
+    probes = evaluate.title_probes(index.docs, ["bm25"], None)
     phrases = lexical.analyse_queries(search.admit(probes)).select("q_terms").distinct()
     tagged = phrases.select("q_terms", F.explode("q_terms").alias("q_term"))
     tagged = tagged.withColumn("term", F.concat(F.lit("t:"), "q_term"))
@@ -209,6 +209,14 @@ def search_response(spark, sf_dir):
     )
 
 
+def search_counters(spark, sf_dir):
+    """Searches that are answered by mode, and answers by whether they are grounded."""
+    asked = search.admit(requests(spark, sf_dir))
+    answered = answers.answer(questions(spark, sf_dir), index_of(spark, sf_dir))
+    searches = metrics.counter(asked, "searches", F.col("mode"))
+    return searches.unionByName(metrics.counter(answered, "answers", F.col("grounded").cast("string")))
+
+
 def summary_enrich(spark, sf_dir):
     found = enrichment.enrich(docs(spark, sf_dir), fx.view(spark, sf_dir, fx.summaries))
     return found.select("id", "version", "summary")
@@ -308,7 +316,7 @@ def eval_grounding(spark, sf_dir):
 
 NAMES = """
     clean_comments source_documents searchable_text hash_embeddings postings corpus_stats fuzzy_terms phrase_match
-    bm25_search bm25_lists knn_exact knn_approx knn_floor query_weights hybrid_search search_response summary_enrich
+    bm25_search bm25_lists search_counters knn_exact knn_approx knn_floor query_weights hybrid_search search_response summary_enrich
     enrich_guard rag_prompt extractive_answer rag_answers grounding eval_titles eval_cases
     eval_grounding
 """.split()
