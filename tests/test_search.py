@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import hash_embedding
-from tidemark.operators import evaluate, index, lexical, nearest, search
+from tidemark.operators import evaluate, index, lexical, nearest, neighbours, search
 from tidemark.operators.metrics import HISTOGRAMS, bucket_counts, bucket_quantiles, histograms
 from tidemark.session import equi_join, hot_key_join
 
@@ -97,6 +97,35 @@ def test_spelling_candidates_against_all_pairs(spark):
         assert got == want
 
 
+def test_stored_neighbourhoods_give_all_pairs(spark, tmp_path):
+    """Words of up to, about and beyond the longest stored length."""
+    rng = random.Random(3)
+    made = {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 8))) for _ in range(150)}
+    for length in range(neighbours.LONGEST_STORED - 2, neighbours.LONGEST_STORED + 4):
+        word = "".join(rng.choice("abcdefgh") for _ in range(length))
+        made |= {word, word[1:], word[2:], word[1] + word[0] + word[2:], word + "x", word[3:]}
+    terms = spark.createDataFrame([(f"{tag}:{w}", 1) for w in made for tag in "tc"], "term string, df bigint")
+    folders = neighbours.write_neighbours(terms, f"{tmp_path}/neighbours")
+    table = spark.read.schema(f"{neighbours.NEIGHBOUR}, bucket int").parquet(f"{tmp_path}/neighbours")
+    kept = {w for w in made if len(w) <= neighbours.LONGEST_STORED}
+    assert {r.word for r in table.select("word").distinct().collect()} == kept
+    assert table.count() == table.distinct().count()
+    for wanted in (sorted(made), sorted(made, key=len)[-5:], sorted(made)[:1], ["unknownword"], []):
+        asked = spark.createDataFrame([(w,) for w in wanted], "q_term string")
+        plain = lexical.spellings(asked, terms, most=None).collect()
+        stored = lexical.spellings(asked, terms, most=None, stored=(table, folders)).collect()
+        assert sorted(plain) == sorted(stored)
+    long = sorted(made, key=len)[-20:]
+    asked = spark.createDataFrame([(w,) for w in long], "q_term string")
+    got = {(r.q_term, r.term[2:]) for r in lexical.spellings(asked, terms, most=None, stored=(table, folders)).collect()}
+    assert got == {(q, w) for q in long for w in made if edits_apart(q, w) <= 2}
+    probes = spark.createDataFrame([("a",)], "member string")
+    opened = neighbours.members_of(table, folders, probes)
+    assert len({r.bucket for r in opened.select("bucket").distinct().collect()}) <= 1
+    none = terms.where("false")
+    assert neighbours.write_neighbours(none, f"{tmp_path}/none") == neighbours.FEWEST
+
+
 DOCS = "id string, wiki string, title string, summary string, last_comment string, namespace int, deleted boolean, version bigint"
 
 

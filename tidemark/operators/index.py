@@ -13,20 +13,22 @@ from tidemark.functions.text import analyse, run_lengths, searchable_text
 from tidemark.functions.vectors import DEFAULT_DIMS, hash_embedding
 from tidemark.operators.fold import is_live, source_form
 from tidemark.operators.inverted import POSTING, write_inverted
+from tidemark.operators.neighbours import NEIGHBOUR, write_neighbours
 from tidemark.session import staging_dir
 
 # Analysed fields: the tag that marks a term of the field, and the field's column.
 FIELDS = {"t": "title", "s": "summary", "c": "last_comment"}
 # The provider of vectors made from hashed words.
 HASH_PROVIDER = "hash"
-MANIFEST = "provider string, dims int, fields array<string>, buckets int, posting_rows bigint"
+MANIFEST = "provider string, dims int, fields array<string>, buckets int, posting_rows bigint, neighbour_buckets int"
 
 
 @dataclass(frozen=True)
 class TextIndex:
     """Tables of one index. ``docs`` has a row per document with everything needed to score
     it; ``terms`` has a row per tagged term; ``postings``, where they are stored, a row per live
-    document and term, in ``buckets`` folders by term. ``provider`` and ``dims`` say where vectors
+    document and term, in ``buckets`` folders by term; ``neighbours``, where they are stored, the
+    dictionary's deletion neighbourhoods and the number of their folders. ``provider`` and ``dims`` say where vectors
     come from and how long they are."""
 
     docs: DataFrame
@@ -37,6 +39,7 @@ class TextIndex:
     postings: DataFrame | None = None
     buckets: int = 0
     posting_rows: int = 0
+    neighbours: tuple[DataFrame, int] | None = None
     provider: str = HASH_PROVIDER
     dims: int = DEFAULT_DIMS
 
@@ -158,7 +161,8 @@ def write_index(docs: DataFrame, path: str, dims: int = DEFAULT_DIMS, provider:
         raise ContractError(f"vectors of another length than {dims}")
     term_statistics(stored).write.mode("overwrite").parquet(f"{path}/terms")
     buckets, rows = write_inverted(stored, f"{path}/postings")
-    row = (provider, dims, sorted(stored.columns), buckets, rows)
+    near = write_neighbours(spark.read.parquet(f"{path}/terms"), f"{path}/neighbours")
+    row = (provider, dims, sorted(stored.columns), buckets, rows, near)
     spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
@@ -192,9 +196,12 @@ def open_index(spark: SparkSession, path: str, provider: str | None = None, dims
     counts = {row["field"]: row["documents"] for row in rows}
     means = {row["field"]: row["total_length"] / row["documents"] for row in rows}
     lists = spark.read.schema(f"{POSTING}, bucket int").parquet(f"{path}/postings")
+    # An index made before neighbourhoods were stored has none.
+    near = made["neighbour_buckets"]
+    stored = near and (spark.read.schema(f"{NEIGHBOUR}, bucket int").parquet(f"{path}/neighbours"), near)
     return TextIndex(
         docs, spark.read.parquet(f"{path}/terms"), counts, means, docs.count(), lists, made["buckets"], made["posting_rows"],
-        made["provider"], made["dims"],
+        stored or None, made["provider"], made["dims"],
     )
 
 

@@ -24,6 +24,7 @@ from tidemark.operators.blocks import (
 from tidemark.operators.fold import is_live
 from tidemark.operators.index import FIELDS, TextIndex
 from tidemark.operators.inverted import score_lists
+from tidemark.operators.neighbours import LONGEST_STORED, allowed_edits, members_of, neighbourhood, neighbours, positions, without
 from tidemark.session import MAX_BROADCAST_ROWS, equi_join, staged
 
 # Field boosts, phrase boost, saturation and length parameters, the share of
@@ -46,18 +47,6 @@ POSTINGS_PER_CELL = 8
 LONGEST_TEXT = 1_000_000_000
 
 
-def without(text: Column, at: Column) -> Column:
-    """The text without the character at a position counted from one."""
-    return F.concat(F.substring(text, F.lit(1), at - 1), text.substr(at + 1, F.length(text)))
-
-
-def positions(first: Column, last: Column) -> Column:
-    """The whole numbers from ``first`` to ``last``, none when they are out of order."""
-    return F.when(first <= last, F.sequence(first, last)).otherwise(
-        F.array().cast("array<int>")
-    )
-
-
 def swaps(text: Column) -> Column:
     """The text with each pair of neighbours exchanged."""
     return F.transform(
@@ -71,31 +60,6 @@ def swaps(text: Column) -> Column:
     )
 
 
-def allowed_edits(term: Column) -> Column:
-    length = F.length(term)
-    return F.when(length < 3, 0).when(length <= 5, 1).otherwise(2)
-
-
-def neighbourhood(term: Column, edits: Column) -> Column:
-    """The term and everything up to ``edits`` deletions from it. Two terms within that many
-    edits of each other share a member, so close pairs are found by equality."""
-    one = F.transform(positions(F.lit(1), F.length(term)), lambda i: without(term, i))
-    # A second deletion at or after the first reaches every pair of positions once.
-    two = F.flatten(
-        F.transform(
-            one,
-            lambda shorter, at: F.transform(
-                positions(at + 1, F.length(shorter)), lambda i: without(shorter, i)
-            ),
-        )
-    )
-    return F.array_distinct(
-        F.when(edits == 0, F.array(term))
-        .when(edits == 1, F.concat(F.array(term), one))
-        .otherwise(F.concat(F.array(term), one, two))
-    )
-
-
 def with_edit_distance(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Add ``edits`` between two columns, an exchange of neighbours being one edit; null
     above two."""
@@ -133,21 +97,25 @@ def analyse_queries(queries: DataFrame) -> DataFrame:
 
 
 def spellings(
-    wanted: DataFrame, terms: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS, most: int | None = MAX_SPELLINGS
+    wanted: DataFrame, terms: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS, most: int | None = MAX_SPELLINGS,
+    stored: tuple[DataFrame, int] | None = None,
 ) -> DataFrame:
     """Dictionary terms close to each wanted term, the best ``most`` per field or all (None):
-    ``(q_term, term, weight, df)`` with ``df`` the largest among them."""
+    ``(q_term, term, weight, df)`` with ``df`` the largest among them. ``stored`` is the table of
+    the dictionary's neighbourhoods and the number of its folders; words that it leaves out for
+    their length, or all words where there is none, grow into theirs here."""
     spark = terms.sparkSession
     distinct = wanted.select("q_term").distinct()
     allowed = allowed_edits(F.col("q_term"))
     length = F.length("q_term")
-    members = 1 + length + F.floor(length * (length - 1) / 2)
     sizes = distinct.agg(
-        F.coalesce(F.sum(members), F.lit(0)).alias("members"),
+        F.coalesce(F.sum(neighbours(length)), F.lit(0)).alias("members"),
         F.count(F.lit(1)).alias("terms"),
         F.collect_set(length).alias("lengths"),
     ).first()
     near_lengths = {n + d for n in sizes["lengths"] for d in (-2, -1, 0, 1, 2)}
+    if stored:
+        near_lengths = {n for n in near_lengths if n > LONGEST_STORED}
     probes = distinct.select("q_term", F.explode(neighbourhood(F.col("q_term"), allowed)).alias("member"))
     # Each word grows into its whole neighbourhood, so words are spread evenly beforehand.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -157,6 +125,9 @@ def spellings(
     candidates = found_words.select(
         "word", F.explode(neighbourhood(F.col("word"), F.lit(2))).alias("member")
     )
+    if stored:
+        kept = members_of(*stored, probes).select("word", "member")
+        candidates = kept.unionByName(candidates) if near_lengths else kept
     met = equi_join(
         candidates, probes, ["member"], spread=F.col("word"), small_rows=sizes["members"],
         max_broadcast_rows=max_broadcast_rows,
@@ -211,7 +182,7 @@ def query_entries(
         max_broadcast_rows=max_broadcast_rows,
     ).select("query_id", "needed", "field", "term", "df", F.lit(1.0).alias("weight"))
     close = spread.where("fuzzy").select("query_id", "needed", "q_term")
-    near = spellings(close, index.terms, max_broadcast_rows)
+    near = spellings(close, index.terms, max_broadcast_rows, stored=index.neighbours)
     # No word has more than fifty spellings per field.
     near_rows = term_rows * len(FIELDS) * MAX_SPELLINGS
     loose = equi_join(

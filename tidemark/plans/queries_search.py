@@ -95,7 +95,8 @@ def corpus_stats(spark, sf_dir):
 def fuzzy_terms(spark, sf_dir):
     ready = lexical.analyse_queries(asked_in(spark, sf_dir, "bm25")).where("fuzzy")
     wanted = ready.select(F.explode("q_terms").alias("q_term"))
-    found = lexical.spellings(wanted, index_of(spark, sf_dir).terms)
+    index = index_of(spark, sf_dir)
+    found = lexical.spellings(wanted, index.terms, stored=index.neighbours)
     return found.select(
         "q_term", F.substring("term", 1, 1).alias("field"),
         F.substring("term", 3, lexical.LONGEST_TEXT).alias("term"),
