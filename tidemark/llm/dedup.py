@@ -372,7 +372,12 @@ def covered(rows: DataFrame) -> DataFrame:
     by_doc = firsts.groupBy("doc", "version").agg(F.collect_set(packed).alias("runs"))
     # Texts that are alike in id and bytes are one document, and bring their runs once.
     texts = rows.join(by_doc, ["doc", "version"]).select("doc", "version", "text", "runs")
-    return copies.unionByName(covered_cells(keep(cells(texts), "cells")))
+    cut = keep(cells(texts), "cells")
+    copies = keep(copies, "copies")
+    # Nothing reads these after it.
+    forget(repeated)
+    forget(classes)
+    return copies.unionByName(covered_cells(cut))
 
 
 def covered_cells(cut: DataFrame) -> DataFrame:
