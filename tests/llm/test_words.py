@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from checking import rows_of
 
@@ -148,6 +149,20 @@ def test_divergence_in_cells_of_any_size(spark, terms, groups):
     compared(divergence.audit(table(spark, docs), least_docs=5, ranks=7, terms=terms, groups_per_block=groups), audited(docs, 5, 7))
 
 
+def test_a_pair_has_one_name_in_all_term_blocks(spark):
+    """Rows of a cell arrive in any order, which may differ from one term block to the next."""
+    rows = [("s2", 1, [0], [9]), ("s1", 1, [1], [7]), ("s0", 1, None, None)]
+    cells = []
+    for order in ((0, 1, 2), (2, 1, 0), (1, 0, 2)):
+        source, least, pos, shares = zip(*(rows[at] for at in order))
+        cell = pa.table({
+            "lang": ["en"] * 3, "ga": [0] * 3, "gb": [0] * 3, "gblock": [0] * 3, "width": [2] * 3, "source": source, "least": least,
+            "pos": pa.array(pos, pa.list_(pa.int64())), "shares": pa.array(shares, pa.list_(pa.int64())),
+        })
+        cells.append(sorted(map(tuple, (row.values() for row in divergence.cell_differences(cell).to_pylist()))))
+    assert cells[0] == cells[1] == cells[2] == [("en", "s0", "s1", 6), ("en", "s0", "s2", 8), ("en", "s1", "s2", 14)]
+
+
 def test_shares_of_very_large_counts(spark):
     rows = spark.createDataFrame([(9 * 10**17, 10**18, 10)], "n bigint, own bigint, kept bigint")
     row = rows.select(divergence.share(rows["n"], rows["own"], rows["kept"]).alias("p")).first()

@@ -122,6 +122,8 @@ def cell_differences(cell: pa.Table) -> pa.Table:
             shares[row, pos.values.to_numpy()] = found.values.to_numpy()
     left = np.flatnonzero(own == first)
     right = np.flatnonzero(own == second)
+    # The rows of a cell come in any order; by name, all term blocks of a pair name its ends alike.
+    left = np.array(sorted(left, key=names.__getitem__), np.int64)
     a, b, parts = [], [], []
     for at, row in enumerate(left):
         others = left[at + 1 :] if first == second else right
