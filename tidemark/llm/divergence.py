@@ -25,7 +25,8 @@ ranked by the item's bytes; an empty table has no groups. Other columns aren't r
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,44 +42,51 @@ RANKS = 50
 # Terms of a term block and groups of a group block, on average.
 TERMS = 4096
 GROUPS = 64
-# Distinct (group, term) pairs that a task counts before it hands them on.
-COUNTED = 1 << 18
+# Distinct (group, term) pairs that a task counts before it hands them on, so many rows at a time.
+COUNTED = 1 << 19
+HANDED = 1 << 16
 
-TERM = re.compile(rb"[a-z\x80-\xff]+")
-BETWEEN = re.compile(rb"[^a-z\x80-\xff]")
+BETWEEN = re.compile(rb"[^A-Za-z\x80-\xff]")
+# A-Z in lower case, a space for whatever is no part of a term.
+SPACED = bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalpha() else 0x20 for b in range(256))
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """``lang, source, term, n, docs``: occurrences of every term and rows that hold it."""
 
     def run(batches):
-        total: Counter = Counter()
-        held: Counter = Counter()
+        total: defaultdict = defaultdict(Counter)
+        held: defaultdict = defaultdict(Counter)
+        size = 0
         for batch in batches:
             for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source")), batch.column("text").cast(pa.binary())):
-                data = (text.as_py() or b"").lower()
-                own: Counter = Counter()
-                for chunk in byte_chunks(data, BETWEEN):
-                    own.update(TERM.findall(chunk))
-                for term, n in own.items():
-                    key = (lang, source, term)
-                    total[key] += n
-                    held[key] += 1
-                if len(total) >= COUNTED:
-                    yield counted(total, held)
-                    total, held = Counter(), Counter()
-        if total:
-            yield counted(total, held)
+                count = total[lang, source]
+                size -= len(count)
+                own: set = set()
+                for chunk in byte_chunks(text.as_py() or b"", BETWEEN):
+                    terms = chunk.translate(SPACED).split()
+                    count.update(terms)
+                    own.update(terms)
+                held[lang, source].update(own)
+                size += len(count)
+                if size >= COUNTED:
+                    yield from counted(total, held)
+                    total.clear()
+                    held.clear()
+                    size = 0
+        yield from counted(total, held)
 
     def counted(total, held):
-        lang, source, term = zip(*total)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array([t.decode("utf-8", "replace") for t in term], pa.string()),
-                pa.array(list(total.values()), pa.int64()), pa.array([held[key] for key in total], pa.int64()),
-            ],
-            ["lang", "source", "term", "n", "docs"],
-        )
+        rows = ((*group, term, n, held[group][term]) for group, count in total.items() for term, n in count.items())
+        while part := list(islice(rows, HANDED)):
+            lang, source, term, n, docs = zip(*part)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array([t.decode("utf-8", "replace") for t in term], pa.string()),
+                    pa.array(n, pa.int64()), pa.array(docs, pa.int64()),
+                ],
+                ["lang", "source", "term", "n", "docs"],
+            )
 
     found = docs.mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
