@@ -222,3 +222,13 @@ def test_live_events_validate_nothing(spark):
         messages(spark, [change("x", id=None), {"payload": None}, "nope", None, {"payload": change("d")}, "7"])
     ).orderBy("seq").collect()
     assert [(r.op, r.id, r.title) for r in rows] == [("x", "None", "Alan Turing"), ("d", "42", "Alan Turing")]
+
+
+def test_exact_medians(spark):
+    """Between the middle values, equal ones counted; nulls are no values."""
+    from tidemark.operators.quantiles import exact_median
+
+    values = {"odd": [3.0, 1.0, 2.0], "even": [4.0, 1.0, 1.0, 2.0], "same": [5.0] * 6, "one": [7.25, None]}
+    rows = spark.createDataFrame([(k, v) for k, found in values.items() for v in found], "k string, v double")
+    found = {r.k: r.exact_median for r in exact_median(rows, "k", "v").collect()}
+    assert found == {"odd": 2.0, "even": 1.5, "same": 5.0, "one": 7.25}

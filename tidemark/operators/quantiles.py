@@ -64,3 +64,15 @@ def quantiles(summary: DataFrame, keys: Sequence[str], wanted: Sequence[float],
     width = F.call_function("shiftleft", F.lit(1).cast("bigint"), _dropped(F.col("slot")))
     middle = F.col("slot") + F.call_function("shiftright", width, F.lit(1))
     return holding.select(*keys, "quantile", (middle / F.lit(float(SCALE))).alias(name), "observations")
+
+
+def exact_median(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """The median of all values per key, between the two middle ones if their number is even. Equal
+    values are counted before the shuffle, and a key's counts are passed in order, never held."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+    totals = counts.groupBy(key).agg(F.sum("n").alias("total"))
+    upto = W.partitionBy(key).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    placed = counts.withColumn("upto", F.sum("n").over(upto)).join(totals, key)
+    low = F.min(F.when(2 * F.col("upto") >= F.col("total"), F.col(value)))
+    high = F.min(F.when(2 * F.col("upto") > F.col("total"), F.col(value)))
+    return placed.groupBy(key).agg((low + (high - low) * 0.5).alias("exact_median"))

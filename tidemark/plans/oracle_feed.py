@@ -374,7 +374,8 @@ def latency_quantiles() -> str:
         SELECT f.label, CAST(q AS DOUBLE) AS quantile,
                round(CASE WHEN isinf(le) THEN lower
                           ELSE lower + (le - lower) * (q * total - below) / (cum - below) END, 6) AS seconds,
-               m.seconds AS median
+               m.seconds AS median,
+               (SELECT round(quantile_cont(seconds, 0.5), 6) FROM l WHERE l.label = f.label) AS exact_median
         FROM f JOIN ({summarized("SELECT label, seconds FROM l", "label", "0.5")}) m USING (label)"""
 
 

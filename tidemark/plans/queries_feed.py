@@ -242,10 +242,12 @@ def latency_quantiles(spark, sf_dir):
     observed = latencies(spark, sf_dir)
     buckets = metrics.bucket_counts(observed, metrics.SYNC_LATENCY_BOUNDS)
     estimated = metrics.bucket_quantiles(buckets, [0.5, 0.95, 0.99])
-    # Beside the estimate from a few wide buckets, the median from a summary of narrow ones.
+    # Beside the estimate from a few wide buckets, the median from a summary of narrow ones,
+    # and the exact one of all values.
     median = quantiles.quantiles(quantiles.summarize(observed, ["label"]), ["label"], [0.5], "median")
-    return estimated.join(median.select("label", "median"), "label").select(
-        "label", "quantile", F.round("seconds", 6).alias("seconds"), "median"
+    exact = quantiles.exact_median(observed, "label", "seconds")
+    return estimated.join(median.select("label", "median"), "label").join(exact, "label").select(
+        "label", "quantile", F.round("seconds", 6).alias("seconds"), "median", F.round("exact_median", 6).alias("exact_median")
     )
 
 
