@@ -327,3 +327,24 @@ def test_summaries_of_values_add_up(spark):
     assert got["b", 0.0] == 0.0 and got["b", 1.0] == 0.000127 and ("a", 0.0) not in got
     assert got["c", 1.0] >= 2.0**62 / 1e6 and got[None, 0.0] == pytest.approx(2.0, rel=2**-7)
     assert quantiles(summarize(odd.where("false"), ["label"]), ["label"], [0.5]).count() == 0
+
+
+def test_dictionary_joins_repeat_nothing_beyond_the_bound(spark):
+    """The dictionary has a row per term: the asked side is neither sent whole nor repeated."""
+    from tidemark.operators.lexical import term_join
+
+    terms = spark.createDataFrame([(f"t:{n}", n) for n in range(50)], "term string, df int")
+    asked = spark.createDataFrame([(str(n), f"t:{n % 60}") for n in range(600)], "query_id string, term string")
+    sent, dealt = term_join(terms, asked, 600, 600), term_join(terms, asked, 600, 599)
+    assert sorted(sent.select("query_id", "df").collect()) == sorted(dealt.select("query_id", "df").collect())
+    assert "explode" not in dealt._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_query_vectors_are_made_without_a_join(spark):
+    from tidemark.operators.nearest import embed_queries
+
+    asked = spark.createDataFrame([("a", " Red fox "), ("b", "red fox"), ("c", "blue")], "query_id string, query string")
+    found = embed_queries(asked, 3)
+    assert "join" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    vectors = {r.query_id: r.embedding for r in found.collect()}
+    assert vectors["a"] == vectors["b"] != vectors["c"]
