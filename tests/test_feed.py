@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import coercion
 from tidemark.operators import edits, fold
 from tidemark.operators.live import live_events
 from tidemark.sources import changelog, recent_changes
@@ -232,3 +233,44 @@ def test_exact_medians(spark):
     rows = spark.createDataFrame([(k, v) for k, found in values.items() for v in found], "k string, v double")
     found = {r.k: r.exact_median for r in exact_median(rows, "k", "v").collect()}
     assert found == {"odd": 2.0, "even": 1.5, "same": 5.0, "one": 7.25}
+
+
+ODD = [
+    '{"op":"c","ts_ms":1,"after":{"id":1}} x', '{"op":"c","ts_ms":NaN,"after":{"id":1}}',
+    '{"op":"c","ts_ms":-0,"after":{"id":-0}}', '{"op":"c","ts_ms":123456789012345678901,"after":{"id":1}}',
+    '{"op":"c","op":"u","ts_ms":1,"after":{"id":1,"id":2}}', '{"op":"c","after":{"id":{"a":1},"title":"x"}}',
+    '{"op":"c","ts_ms":1.50,"after":{"id":1.50,"length_new":2.0}}', '{"op":"d","before":{"id":true,"title":"\\u00e9"}}',
+    '{"payload":{"op":"c","after":{"id":"a","x":{"y":[1]}}}}', '{"payload":{"op":"c"},"op":"d","before":{"id":7}}',
+    '{"payload":null}', '{"op":"c","after":{}}', '{"op":"d","after":{"id":1}}', "", "null", "[]", "{}",
+    '{"op":"c","after":{"id":"a\tb"}}', '{"op":"c","after":{"id":"None"}}', "{'op':1}",
+    '{"op":"c","after":{"id":false,"is_bot":"T","is_minor":0,"namespace":"4 ","edit_count":-3}}',
+    '{"op":"c","after":' + '{"id":' * 600 + "1" + "}" * 600 + "}", '{"op":"c","after":{"id":1,"title":"' + "y" * 60_000 + '"}}',
+]
+LINES = [
+    '{"type":"edit","title":"a","meta":{},"length":{}}', '{"type":"edit","title":"a","meta":[],"length":0}',
+    '{"type":"edit","title":"a","meta":{"uri":{"a":1},"dt":[]},"length":{"new":"7"}}',
+    '{"type":"log","title":"b","meta":{"uri":"u","dt":"2020-01-01T00:00:00Z"},"length":{"new":true},"bot":"x"}',
+    '{"type":"new","title":"c","length":{"new":4.0},"timestamp":12}', '{"type":{},"title":"x"}', "{", "[1]", "",
+]
+
+
+def test_plain_messages_read_like_variants(spark, monkeypatch):
+    """Messages read from their bytes give what the same messages read as variants give."""
+    sent = messages(spark, [*ODD, change(), change("d"), {"payload": change("r")}, change(title=5)])
+    raw = messages(spark, LINES).withColumn("arrived_at", F.timestamp_micros(F.lit(0)))
+
+    def rows():
+        parsed = changelog.parse_changelog(sent).withColumn("message", F.to_json("message"))
+        edits_of = recent_changes.classify_recent_changes(raw)
+        return [found.orderBy("seq").collect() for found in (parsed, edits_of)]
+
+    found = rows()
+    monkeypatch.setattr(changelog, "find_change", lambda message: None)
+    monkeypatch.setattr(recent_changes, "find_edit", lambda event: None)
+    assert rows() == found
+
+
+def test_plain_messages_need_no_variant(spark):
+    sent = messages(spark, [change(), change("d"), {"payload": change("r")}, change(id=1.5), change(id=[1]), "{", "5"])
+    read = coercion.with_plain(sent, ["op", "ts_ms", *changelog.ROW_NAMES], changelog.find_change)
+    assert [row.plain for row in read.orderBy("seq").collect()] == [True] * 3 + [False] * 4

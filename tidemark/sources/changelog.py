@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.coercion import (
     ABSENT,
     BOOL,
+    NOT_THERE,
     NULL,
     OBJECT,
     bad_optional_text,
@@ -25,6 +26,7 @@ from tidemark.functions.coercion import (
     to_whole,
     truthy,
     with_fields,
+    with_plain,
 )
 from tidemark.schemas import DOC_FIELDS
 
@@ -45,20 +47,33 @@ def unwrap(message: Column, message_kind: Column) -> Column:
     return F.when((message_kind == OBJECT) & wrapped, payload).otherwise(message)
 
 
+def find_change(message: dict) -> list | None:
+    """The values of a plain message's ``op``, ``ts_ms`` and row image; None where the change or
+    its row image is no object with members."""
+    change = message.get("payload") if "payload" in message and "op" not in message else message
+    if type(change) is not dict:
+        return None
+    op = change.get("op", NOT_THERE)
+    row = change.get("before" if op == DELETE_OP else "after")
+    if type(row) is not dict or not row:
+        return None
+    return [op, change.get("ts_ms", NOT_THERE), *[row.get(name, NOT_THERE) for name in ROW_NAMES]]
+
+
 def parse_changelog(messages: DataFrame) -> DataFrame:
     """One validation pass over ``(seq, key, value)``.
 
     Tombstones (null value) and JSON nulls carry nothing and are left out. Every other
     message comes back with its document fields and ``error``, null when it is sound.
     """
-    f = bind(
-        messages.where(F.col("value").isNotNull()).select("seq", "key", "value"),
-        message=F.try_parse_json(F.col("value")),
-    )
+    f = messages.where(F.col("value").isNotNull()).select("seq", "key", "value")
+    f = with_plain(f, ["op", "ts_ms", *ROW_NAMES], find_change)
+    plain = F.col("plain")
+    f = bind(f, message=F.when(~plain, F.try_parse_json(F.col("value"))))
     f = bind(f, message_kind=kind(F.col("message")))
     f = bind(f, change=unwrap(F.col("message"), F.col("message_kind")))
-    f = bind(f, change_kind=kind(F.col("change")))
-    f = f.where(F.col("message").isNull() | (F.col("change_kind") != NULL))
+    f = bind(f, change_kind=F.when(plain, OBJECT).otherwise(kind(F.col("change"))))
+    f = f.where(plain | F.col("message").isNull() | (F.col("change_kind") != NULL))
     f = with_fields(f, "change", ["op", "ts_ms"])
     f = bind(f, op=optional_text(F.col("t_op"), F.col("k_op")))
     is_delete = F.col("op") == DELETE_OP
@@ -67,7 +82,8 @@ def parse_changelog(messages: DataFrame) -> DataFrame:
     )
     f = bind(f, row=image)
     f = bind(
-        f, row_kind=kind(F.col("row")), row_text=F.try_variant_get(F.col("row"), "$", "string")
+        f, row_kind=F.when(plain, OBJECT).otherwise(kind(F.col("row"))),
+        row_text=F.try_variant_get(F.col("row"), "$", "string"),
     )
     f = with_fields(f, "row", ROW_NAMES)
 
@@ -92,14 +108,14 @@ def parse_changelog(messages: DataFrame) -> DataFrame:
         | of(bad_optional_whole, "length_new")
     )
     error = (
-        F.when(F.col("message").isNull(), "parse: invalid JSON")
+        F.when(~plain & F.col("message").isNull(), "parse: invalid JSON")
         .when(F.col("change_kind") != OBJECT, "parse: change is not an object")
         .when(
             ~F.coalesce(F.col("op").isin([*UPSERT_OPS, DELETE_OP]), F.lit(False)),
             "parse: unsupported op",
         )
         .when(version.isNull(), "parse: invalid ts_ms")
-        .when(~truthy(F.col("row_text"), F.col("row_kind")), "parse: missing row image")
+        .when(~plain & ~truthy(F.col("row_text"), F.col("row_kind")), "parse: missing row image")
         .when(F.col("row_kind") != OBJECT, "parse: row image is not an object")
         .when(no_id, "parse: missing row id")
         .when(bad_field, "parse: invalid field")
@@ -108,7 +124,7 @@ def parse_changelog(messages: DataFrame) -> DataFrame:
         "seq",
         "key",
         "value",
-        "message",
+        F.when(plain, F.try_parse_json(F.col("value"))).otherwise(F.col("message")).alias("message"),
         error.alias("error"),
         "op",
         id_text.alias("id"),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.coercion import (
+    HOLDER,
+    NOT_THERE,
     OBJECT,
     TEXT,
     bad_optional_text,
@@ -22,6 +24,7 @@ from tidemark.functions.coercion import (
     to_whole,
     truthy,
     with_fields,
+    with_plain,
 )
 from tidemark.functions.text import none_if_empty
 
@@ -31,20 +34,39 @@ RELEVANT_TYPES = ["edit", "new", "categorize", "log"]
 SOURCE = "recent_changes"
 
 
+EVENT_NAMES = [
+    "type", "wiki", "title", "title_url", "comment", "user", "namespace", "bot", "minor",
+    "length", "timestamp", "meta",
+]
+META_NAMES, LENGTH_NAMES = ["uri", "dt"], ["new"]
+
+
+def find_edit(event: dict) -> list | None:
+    """The values of a plain line's fields; None where ``meta`` or ``length`` is something other
+    than null or an object with members."""
+    found, held = [], []
+    for holder, names in (("meta", META_NAMES), ("length", LENGTH_NAMES)):
+        inner = event.get(holder) or {}
+        if type(inner) is not dict or (not inner and event.get(holder) is not None):
+            return None
+        held += [inner.get(name, NOT_THERE) for name in names]
+    for name in EVENT_NAMES:
+        value = event.get(name, NOT_THERE)
+        found.append(HOLDER if type(value) is dict and name in ("meta", "length") else value)
+    return found + held
+
+
 def _fields(raw: DataFrame) -> DataFrame:
-    names = [
-        "type", "wiki", "title", "title_url", "comment", "user", "namespace", "bot", "minor",
-        "length", "timestamp", "meta",
-    ]
-    f = bind(raw, event=F.try_parse_json(F.col("value")))
+    f = with_plain(raw, [*EVENT_NAMES, *META_NAMES, *LENGTH_NAMES], find_edit)
+    f = bind(f, event=F.when(~F.col("plain"), F.try_parse_json(F.col("value"))))
     f = bind(
         f,
-        event_kind=kind(F.col("event")),
+        event_kind=F.when(F.col("plain"), OBJECT).otherwise(kind(F.col("event"))),
         meta=member(F.col("event"), "meta"),
         length=member(F.col("event"), "length"),
     )
-    f = with_fields(f, "event", names)
-    return with_fields(with_fields(f, "meta", ["uri", "dt"]), "length", ["new"])
+    f = with_fields(f, "event", EVENT_NAMES)
+    return with_fields(with_fields(f, "meta", META_NAMES), "length", LENGTH_NAMES)
 
 
 def _truthy(name: str) -> Column:
@@ -87,7 +109,7 @@ def classify_recent_changes(raw: DataFrame, wikis: Sequence[str] = ()) -> DataFr
     )
     reason = (
         F.when(F.coalesce(F.col("value"), F.lit("")) == "", "empty")
-        .when(F.col("event").isNull(), "malformed")
+        .when(~F.col("plain") & F.col("event").isNull(), "malformed")
         .when(F.col("event_kind") != OBJECT, "not an object")
         .when(~F.coalesce(kind_text.isin(RELEVANT_TYPES), F.lit(False)), "type")
     )
