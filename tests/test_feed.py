@@ -274,3 +274,13 @@ def test_plain_messages_need_no_variant(spark):
     sent = messages(spark, [change(), change("d"), {"payload": change("r")}, change(id=1.5), change(id=[1]), "{", "5"])
     read = coercion.with_plain(sent, ["op", "ts_ms", *changelog.ROW_NAMES], changelog.find_change)
     assert [row.plain for row in read.orderBy("seq").collect()] == [True] * 3 + [False] * 4
+
+
+def test_derived_log_parses_lines_once(spark):
+    """The operator's two looks at its edits are at stored ones."""
+    raw = messages(spark, [json.dumps({"type": "edit", "title": t, "wiki": "w"}) for t in "aba"])
+    raw = raw.withColumn("arrived_at", F.timestamp_micros(F.lit(0)))
+    log = edits.derive_changelog(recent_changes.read_recent_changes(raw))
+    plan = log._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan and "MapInArrow" not in plan
+    assert [(r.op, r.after.edit_count) for r in log.orderBy("seq").collect()] == [("c", 1), ("c", 1), ("u", 2)]

@@ -14,6 +14,7 @@ from tidemark.functions.text import (
     none_if_empty,
 )
 from tidemark.schemas import KEPT_FIELDS, PAGE_FIELDS, REFRESHED_FIELDS
+from tidemark.session import staged
 
 # Page keys ignore case, accents and trailing spaces.
 KEY_COLLATION = "UNICODE_CI_AI_RTRIM"
@@ -139,6 +140,8 @@ def derive_changelog(edits: DataFrame, part_positions: int = PART_POSITIONS) ->
     """
     part = F.floor(F.col("seq") / F.lit(part_positions)).alias("part")
     rows = with_page_key(write_form(edits)).select("*", part)
+    # Read twice below, so the lines are parsed once beforehand.
+    rows = staged(rows, "keyed-edits")
     keys = ["wiki_key", "title_key", "part"]
     tail = F.struct(*REFRESHED_FIELDS)
     parts = rows.groupBy(*keys).agg(

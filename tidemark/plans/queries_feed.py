@@ -51,6 +51,11 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.split_dead_letters(messages(spark, sf_dir))[0]
 
 
+def log_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sound changes, parsed once for a query that reads them several times."""
+    return staged(changes(spark, sf_dir), "changes")
+
+
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recent.read_recent_changes(raw_lines(spark, sf_dir, fx.recent_raw))
 
@@ -157,7 +162,7 @@ def doc_lookup(spark, sf_dir):
 
 def halves(spark, sf_dir):
     """The log cut at its middle position."""
-    log = changes(spark, sf_dir)
+    log = log_of(spark, sf_dir)
     bounds = spark.read.parquet(f"{sf_dir}/events.parquet").agg(
         F.floor((F.max("event_id") + F.min("event_id")) / 2).alias("mid")
     )
@@ -179,14 +184,14 @@ def merge_report(spark, sf_dir):
 
 def replay_equals(spark, sf_dir):
     """The state after the whole log has been delivered a second time."""
-    log = changes(spark, sf_dir)
+    log = log_of(spark, sf_dir)
     state = fold.latest_per_id(log)
     return state_cols(fold.merge(state, log))
 
 
 def bootstrap_tail(spark, sf_dir):
     """Snapshot reads first, then every other change, as one log."""
-    log = changes(spark, sf_dir)
+    log = log_of(spark, sf_dir)
     snapshot = log.where(F.col("op") == "r")
     tail = log.where(F.col("op") != "r")
     return state_cols(fold.latest_per_id(fold.bootstrap(snapshot, tail)))
@@ -202,6 +207,7 @@ def live_feed(spark, sf_dir):
 
 def counters_by_op(spark, sf_dir):
     parsed = feed.parse_changelog(messages(spark, sf_dir))
+    parsed = staged(parsed.drop("key", "value", "message"), "parsed")
     written = fold.latest_per_id(feed.changes_of(parsed))
     return (
         metrics.sync_counters(parsed)
