@@ -123,3 +123,25 @@ def test_few_cells_find_most_of_what_lies_close(spark):
     row = approximate.recall(found, exact).agg(F.sum("found") / F.sum("hits")).first()
     assert probed <= 4 and row[0] >= 0.9
     assert approximate.build_cells(table.where("false")).sizes == {}
+
+
+def test_lists_shuffle_postings_and_no_pairs(spark, built):
+    words = [r.term[2:] for r in built.terms.where("term like 't:%' and df > 1").orderBy(F.desc("df"), "term").limit(8).collect()]
+    asked = [(f"q{n}", f"{word} {words[0]}", None, None) for n, word in enumerate(words)]
+    queries = spark.createDataFrame(asked, "query_id string, query string, wiki string, namespace int")
+    found = lexical.bm25_matches(queries, built, 1, lists=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "hashpartitioning(id" in plan and "hashpartitioning(query_id#" not in plan.split("MapInArrow")[1]
+    # A task hands on the best of its documents, not all that match.
+    matching = built.docs.where("not coalesce(deleted, false)").where(F.array_contains("terms", f"t:{words[0]}")).count()
+    assert found.count() <= len(words) * max(1, found.rdd.getNumPartitions()) and matching > 1
+
+
+def test_documents_of_one_id_add_up_in_the_lists(spark, tmp_path):
+    docs = queries_search.docs(spark, SF).limit(20)
+    index.write_index(docs.unionByName(docs), str(tmp_path / "twice"))
+    twice = index.open_index(spark, str(tmp_path / "twice"))
+    title = docs.where("not deleted").first().title
+    queries = spark.createDataFrame([("q", title, None, None)], "query_id string, query string, wiki string, namespace int")
+    rows = lexical.bm25_matches(queries, twice, 50, lists=True).collect()
+    assert rows and len({r.id for r in rows}) == len(rows)
