@@ -348,3 +348,17 @@ def test_query_vectors_are_made_without_a_join(spark):
     assert "join" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
     vectors = {r.query_id: r.embedding for r in found.collect()}
     assert vectors["a"] == vectors["b"] != vectors["c"]
+
+
+def test_a_large_dictionary_grows_its_neighbourhoods_when_asked(spark, tmp_path):
+    rng = random.Random(5)
+    made = {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 8))) for _ in range(150)}
+    terms = spark.createDataFrame([(f"t:{w}", 1) for w in made], "term string, df bigint")
+    assert neighbours.write_neighbours(terms, f"{tmp_path}/none", most_rows=100) == 0 and not (tmp_path / "none").exists()
+    columns = neighbours.neighbourhood(F.substring("term", 3, 99), F.lit(2))
+    assert all(neighbours.grown(r.term[2:], 2) == set(r.members) for r in terms.select("term", columns.alias("members")).collect())
+    asked = spark.createDataFrame([(w,) for w in sorted(made)[::9]], "q_term string")
+    found = lexical.spellings(asked, terms, most=None)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "member" not in plan
+    assert sorted(found.collect()) == sorted(lexical.spellings(asked, terms, 0, most=None).collect())
