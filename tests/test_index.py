@@ -145,3 +145,16 @@ def test_documents_of_one_id_add_up_in_the_lists(spark, tmp_path):
     queries = spark.createDataFrame([("q", title, None, None)], "query_id string, query string, wiki string, namespace int")
     rows = lexical.bm25_matches(queries, twice, 50, lists=True).collect()
     assert rows and len({r.id for r in rows}) == len(rows)
+
+
+def test_a_vector_is_sent_once_per_group_of_cells(spark):
+    rng = np.random.default_rng(4)
+    table = vectors(spark, rng.normal(size=(200, 8)))
+    cells = approximate.build_cells(table, cells=12)
+    groups = approximate.groups_of(cells.sizes, 60)
+    held = {g: sum(cells.sizes[c] for c in groups if groups[c] == g) for g in groups.values()}
+    assert set(groups) == set(cells.sizes) and all(n <= 60 or list(groups.values()).count(g) == 1 for g, n in held.items())
+    asked = asked_of(table)
+    rows = approximate.by_group(asked, cells.centres, 12, groups).collect()
+    assert len(rows) == asked.count() * len(held)
+    assert all({groups[c] for c in r.cells} == {r.cell_group} for r in rows) and sum(len(r.cells) for r in rows) == asked.count() * len(groups)
