@@ -309,6 +309,13 @@ def test_simhash_links(spark, monkeypatch, crowded):
     assert {r.doc_id: r.component_id for r in simhash.group(table).collect()} == dict(enumerate(root))
 
 
+def test_cells_and_hubs_are_not_sent_to_the_driver(spark):
+    few = spark.range(300).select((F.col("id") % 40).alias("fp"))
+    for found in (simhash.shared_cells(few), simhash.hub_links(few)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_long_path(spark):
     edges = [(n, n + 1) for n in range(60)] + [(100, 101), (7, 7)]
     found = components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()

@@ -33,6 +33,13 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def large(df: DataFrame) -> DataFrame:
+    """``df`` for a join of two sides that both grow with the input: they meet by sorting. Spark sizes
+    a table by its packed files, and takes a row that an explode or a Python function makes many of
+    for one, so it might send millions of rows through the driver for a small table."""
+    return df.hint("merge")
+
+
 def byte_chunks(data: bytes, between: re.Pattern, size: int = 1 << 20):
     """``data`` in pieces of about ``size`` bytes, cut only where ``between`` matches, so that lists
     of a very long text's words stay short."""

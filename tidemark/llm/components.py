@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep, one_row
+from tidemark.llm.common import keep, large, one_row
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,16 +22,16 @@ def components(edges: DataFrame) -> DataFrame:
         # Large star: of all neighbours, the larger ones go to the least of all.
         both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        higher = both.where("b > a").join(large(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: the node and its smaller neighbours go to the least of them.
-        large = large.distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a")
+        higher = higher.distinct()
+        lower = higher.groupBy("a").agg(F.min("b").alias("m"))
+        small = higher.join(large(lower), "a")
         moved = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = keep(moved.unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), "edges")
         # The forest is flat when no node is both below and above another.
         roots = after.select(F.col("b").alias("a")).distinct()
-        deeper = one_row(after.join(roots, "a", "left_semi").agg(F.count(F.lit(1)).alias("n")))["n"]
+        deeper = one_row(after.join(large(roots), "a", "left_semi").agg(F.count(F.lit(1)).alias("n")))["n"]
         several = one_row(after.groupBy("a").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")))["n"]
         pairs = after
         if not deeper and (several or 0) <= 1:

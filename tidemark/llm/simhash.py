@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import keep, narrow
+from tidemark.llm.common import keep, large, narrow
 from tidemark.llm.components import components
 
 SHINGLE = 3
@@ -99,29 +99,39 @@ def close(a: Column, b: Column, bits: int = 2) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= bits
 
 
-def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """``a, b``: links between distinct fingerprints (``fp``), or between one and a hub that
-    others share, such that exactly those joined by links of at most 2 bits are connected."""
+def shared_cells(distinct: DataFrame) -> DataFrame:
+    """``cell, fp, n``: cells that hold several fingerprints. Most hold one; they go before anything
+    else is joined."""
     cells = grid(distinct)
-    # Most cells hold one fingerprint; they go before anything is joined.
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = keep(cells.join(sizes, "cell"), "cells")
-    sparse = shared.where(F.col("n") <= crowded).select("cell", "fp")
-    left, right = sparse.withColumnRenamed("fp", "a"), sparse.withColumnRenamed("fp", "b")
-    pairs = left.join(right, (left["cell"] == right["cell"]) & (F.col("a") < F.col("b")) & close(F.col("a"), F.col("b")))
-    dense = shared.where(F.col("n") > crowded).select("fp").distinct()
+    return cells.join(large(sizes), "cell")
+
+
+def hub_links(dense: DataFrame) -> DataFrame:
+    """``a, b``: fingerprints of crowded cells, each with the hubs that others share with it."""
     flips = [F.col("fp").bitwiseXOR(F.shiftleft(F.lit(1).cast("bigint"), at)) for at in range(64)]
     hubs = dense.select(F.col("fp").alias("a"), F.explode(F.array(F.col("fp"), *flips)).alias("b"))
     # A hub that one fingerprint has links nothing.
     used = hubs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("b")
-    return pairs.select("a", "b").distinct().unionByName(hubs.join(used, "b").select("a", "b"))
+    return hubs.join(large(used), "b").select("a", "b")
+
+
+def links(distinct: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """``a, b``: links between distinct fingerprints (``fp``), or between one and a hub that
+    others share, such that exactly those joined by links of at most 2 bits are connected."""
+    shared = keep(shared_cells(distinct), "cells")
+    sparse = shared.where(F.col("n") <= crowded).select("cell", "fp")
+    left, right = sparse.withColumnRenamed("fp", "a"), large(sparse.withColumnRenamed("fp", "b"))
+    pairs = left.join(right, (left["cell"] == right["cell"]) & (F.col("a") < F.col("b")) & close(F.col("a"), F.col("b")))
+    dense = shared.where(F.col("n") > crowded).select("fp").distinct()
+    return pairs.select("a", "b").distinct().unionByName(hub_links(dense))
 
 
 def rooted(classes: DataFrame) -> DataFrame:
     """``fp, first, root`` of a written table of distinct fingerprints (``fp, first``): ``root`` is
     the same for fingerprints that are linked."""
     roots = components(links(classes.select("fp")))
-    found = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    found = classes.join(large(roots.withColumnRenamed("node", "fp")), "fp", "left")
     return found.select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
@@ -130,8 +140,8 @@ def group(prints: DataFrame) -> DataFrame:
     classes = keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     found = keep(rooted(classes), "roots")
     smallest = found.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = found.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = found.join(large(smallest), "root").select("fp", "component_id")
+    return prints.join(large(named), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
