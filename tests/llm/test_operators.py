@@ -238,6 +238,14 @@ def test_suffix_dedup_of_odd_rows(spark, odd, empty):
     assert dedup.digests(empty).count() == 0
 
 
+def test_anchors_are_not_sent_to_the_driver(spark):
+    rows = dedup.documents(spark.createDataFrame([(1, "word " * 60)], "doc_id long, text string"))
+    often = dedup.anchored(rows, only_hash=True).distinct()
+    found = dedup.repeated_runs(rows, often)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and found.count() > 0
+
+
 def test_only_cut_characters_are_dropped(spark):
     rng = random.Random(10)
     base = "".join(rng.choice("abcdefgh ") for _ in range(150))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import forget, keep, one_row, text_bytes
+from tidemark.llm.common import forget, keep, large, one_row, text_bytes
 from tidemark.llm.suffixes import suffix_array
 
 LENGTH = 100
@@ -351,13 +351,18 @@ def by_digest(crowded: DataFrame) -> DataFrame:
     return later.select("doc", "version", F.col("at").alias("lo"), F.col("at").alias("hi"))
 
 
+def repeated_runs(rows: DataFrame, often: DataFrame) -> DataFrame:
+    """Runs whose anchors' hashes are in ``often``. Both sides grow with the bytes of the texts."""
+    return anchored(rows).join(large(often), "h")
+
+
 def covered(rows: DataFrame) -> DataFrame:
     """``doc, version, lo, hi``: windows (by first and last start) that also start earlier."""
     # Written, so that the join below may split a hash that very many windows have.
     often = keep(
         anchored(rows, only_hash=True).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often"
     )
-    repeated = keep(anchored(rows).join(often, "h"), "anchors")
+    repeated = keep(repeated_runs(rows, often), "anchors")
     forget(often)
     classes = keep(
         repeated.groupBy("h", "context").agg(F.min(F.struct("doc", "lo", "version", "width", "reach")).alias("first")),
