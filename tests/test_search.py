@@ -362,3 +362,16 @@ def test_a_large_dictionary_grows_its_neighbourhoods_when_asked(spark, tmp_path)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "member" not in plan
     assert sorted(found.collect()) == sorted(lexical.spellings(asked, terms, 0, most=None).collect())
+
+
+def test_rounds_of_queries_write_matches_and_no_documents(spark, built):
+    """Beyond the bounds documents are neither shuffled nor written once per block of queries."""
+    asked = search.admit(requests(spark))
+    whole = lexical.bm25_matches(asked, built, 5)
+    divided = lexical.bm25_matches(asked, built, 5, max_query_block=2, doc_block=7)
+    plan = divided._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "MapInArrow" not in plan and "CoGroup" not in plan
+    assert "title_terms" not in plan
+    rows = [sorted(map(tuple, lexical.top_per_query(found, 5).collect())) for found in (whole, divided)]
+    assert rows[0] and rows[0] == rows[1]
+    assert divided.groupBy("query_id").count().agg(F.max("count")).first()[0] <= 5
